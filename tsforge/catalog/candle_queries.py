@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsforge.catalog import fixtures as fx
-from tsforge.catalog.registry import n, query, r
+from tsforge.catalog.registry import n, query, r, single
 from tsforge.catalog.sql import FREQ, ROOT2
 from tsforge.functions.clock import epoch_seconds, local_wall_time, weekday_monday0
 from tsforge.functions.numeric import day_cosine, day_sine, mean_of_present
@@ -380,7 +380,7 @@ def _(spark, sf_dir):
 
 @query(
     "sample_moments",
-    f"""SELECT instrument, session_date, slot, round(x_mean, 6) AS x_mean, round(x_std, 6) AS x_std
+    f"""SELECT instrument, session_date, slot, CAST(CAST(x_mean AS FLOAT) AS DOUBLE) AS x_mean, round(x_std, 6) AS x_std
         FROM (SELECT *, avg(price) OVER b AS x_mean,
                      CASE WHEN min(price) OVER b = max(price) OVER b THEN 0 ELSE stddev_pop(price) OVER b END
                      AS x_std, count(*) OVER b AS nb, count(*) OVER f AS nf
@@ -395,7 +395,7 @@ def _(spark, sf_dir):
     c = fx.MINUTELY
     filled = interpolate_linear(fx.grid(spark, sf_dir, c), ["price"])
     return rolling_targets(filled, c.n_back, c.n_forward).select(
-        *DAY_KEYS, n("slot"), r("x_mean"), r("x_std")
+        *DAY_KEYS, n("slot"), single("x_mean"), r("x_std")
     )
 
 
@@ -602,28 +602,29 @@ def _(spark, sf_dir):
 
 @query(
     "path_moments",
-    f"""SELECT {KEYS_SQL}, round(path_mean, 6) AS path_mean, round(path_std, 6) AS path_std
+    f"""SELECT {KEYS_SQL}, CAST(CAST(path_mean AS FLOAT) AS DOUBLE) AS path_mean, round(path_std, 6) AS path_std
         FROM targets_hour""",
 )
 def _(spark, sf_dir):
     return with_moments(_windows(spark, sf_dir), {"path": "y_path"}).select(
-        *_sample_keys(), r("path_mean"), r("path_std")
+        *_sample_keys(), single("path_mean"), r("path_std")
     )
 
 
 @query(
     "unscale",
-    f"""SELECT {KEYS_SQL}, CASE WHEN price_std > 0 THEN round(y_min, 4) END AS y_min,
-               CASE WHEN price_std > 0 THEN round(y_max, 4) END AS y_max
+    f"""SELECT {KEYS_SQL}, CASE WHEN price_std > 0 THEN CAST(CAST(y_min AS FLOAT) AS DOUBLE) END AS y_min,
+               CASE WHEN price_std > 0 THEN CAST(CAST(y_max AS FLOAT) AS DOUBLE) END AS y_max
         FROM targets_hour JOIN moments_hour USING (instrument, session_date, sample_slot)""",
 )
 def _(spark, sf_dir):
     scaled = scale_targets(with_moments(_windows(spark, sf_dir), {"price": "x_price"}))
 
     def back(c):
-        return r(unscale(F.col(f"{c}_scaled"), F.col("price_mean"), F.col("price_std")), 4).alias(c)
+        return unscale(F.col(f"{c}_scaled"), F.col("price_mean"), F.col("price_std")).alias(c)
 
-    return scaled.select(*_sample_keys(), back("y_min"), back("y_max"))
+    restored = scaled.select(*SAMPLE, back("y_min"), back("y_max"))
+    return restored.select(*_sample_keys(), single("y_min"), single("y_max"))
 
 
 @query("extra_feature", f"SELECT {KEYS_SQL}, step, round(extra, 5) + 0.0 AS extra FROM back_hour")

@@ -11,6 +11,7 @@ from tsforge.operators.grid import fill_series, regular_grid, resample_mean
 from tsforge.operators.position import chronological_split
 from tsforge.operators.windows import day_signals
 from tsforge.plans.candle_features import placed_signals
+from tsforge.session import cut_lineage
 from tsforge.sources.candles import CandleStar
 from tsforge.sources.events import INTERVAL_SECONDS, bars_from_events
 
@@ -132,8 +133,11 @@ def spot_daily(spark: SparkSession, sf_dir: str, bin_seconds: int = 86_400) -> D
 
 
 def spot_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily series without gaps."""
-    return fill_series(spot_daily(spark, sf_dir), "spot_price", SERIES)
+    """Daily series without gaps.
+
+    Every later step reads the means more than once, so the records are scanned and averaged once.
+    """
+    return fill_series(cut_lineage(spot_daily(spark, sf_dir)), "spot_price", SERIES)
 
 
 def spot_split(spark: SparkSession, sf_dir: str) -> DataFrame:

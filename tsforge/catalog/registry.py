@@ -30,10 +30,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def r(column: Column | str, digits: int = 6) -> Column:
-    """Round for comparison; keeps the column's name."""
-    if isinstance(column, str):
-        return F.round(F.col(column), digits).alias(column)
-    return F.round(column, digits)
+    """Round half away from zero in binary arithmetic, as the check engine does; keeps the name."""
+    x = F.col(column) if isinstance(column, str) else column
+    scale = float(10**digits)
+    rounded = F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
+    return rounded.alias(column) if isinstance(column, str) else rounded
+
+
+def single(column: str) -> Column:
+    """Single precision, for averages that may fall between two decimals; keeps the name."""
+    return F.col(column).cast("float").cast("double").alias(column)
 
 
 def n(column: str) -> Column:

@@ -231,7 +231,8 @@ SHARED: dict[str, str] = {
         SELECT series, d, n_obs, slope / sqrt((syy - sxy * sxy / sxx) / ((n_obs - 2) * sxx)) AS stat
         FROM df_sums""",
     "df_verdict": """
-        SELECT *, CASE WHEN stat <= -1.61 THEN 2.1659 + 1.4412 * stat + 0.038269 * stat * stat
+        SELECT *, CASE WHEN stat < -18.83 THEN '-infinity'::DOUBLE WHEN stat > 2.74 THEN 'infinity'::DOUBLE
+                  WHEN stat <= -1.61 THEN 2.1659 + 1.4412 * stat + 0.038269 * stat * stat
                   ELSE 1.7339 + 0.93202 * stat - 0.12745 * stat * stat - 0.010368 * stat * stat * stat END
                   AS p_quantile
         FROM (SELECT * FROM df_tests)""",

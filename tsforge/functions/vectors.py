@@ -11,22 +11,47 @@ from pyspark.sql import functions as F
 ExtraFeature = Callable[[Column], Column]
 
 
-def vector_mean(v: Column) -> Column:
-    """Mean, taken around the first element so that a constant vector gives exactly its value."""
-    first = F.element_at(v, 1)
-    offset = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x - first))
-    return first + F.try_divide(offset, F.size(v))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate value once per row and hand it on.
 
+    The optimiser inlines a column that a lambda mentions once, and would then compute it anew for
+    every element; a lambda variable stays computed.
+    """
+    return F.transform(F.array(value), use)[0]
 
-def vector_std(v: Column, mean: Column) -> Column:
-    """Population standard deviation; exactly 0 for a constant vector."""
-    squares = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-    return F.sqrt(F.try_divide(squares, F.size(v)))
+
+def dot(a: Column, b: Column) -> Column:
+    """Sum of products of two arrays of equal length."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def window_moments(v: Column) -> Column:
+    """Struct of mean and population deviation (std).
+
+    The mean is taken around the first element, so a constant vector gives exactly its value and a
+    deviation of exactly 0.
+    """
+
+    def around(x: Column, first: Column) -> Column:
+        return first + F.aggregate(x, F.lit(0.0), lambda s, e: s + (e - first)) / F.size(x)
+
+    def spread(x: Column, mean: Column) -> Column:
+        squares = F.aggregate(x, F.lit(0.0), lambda s, e: s + (e - mean) * (e - mean))
+        return F.sqrt(squares / F.size(x))
+
+    return let(
+        v,
+        lambda x: let(
+            around(x, F.element_at(x, 1)),
+            lambda mean: F.struct(mean.alias("mean"), spread(x, mean).alias("std")),
+        ),
+    )
 
 
 def standardise(v: Column, mean: Column, std: Column) -> Column:
     """(v - mean) / std per element; NULL where std is 0."""
-    return F.transform(v, lambda x: F.try_divide(x - mean, std))
+    pair = F.struct(mean.alias("mean"), std.alias("std"))
+    return let(pair, lambda m: F.transform(v, lambda x: F.try_divide(x - m["mean"], m["std"])))
 
 
 def one_step_change(v: Column) -> Column:

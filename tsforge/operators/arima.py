@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tsforge.functions.vectors import dot
 from tsforge.operators.lags import iterated_difference, with_neighbours
 from tsforge.operators.stats import cross_moments, square_matrices, standardised
 
@@ -247,10 +248,6 @@ def best_order(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def fitted_values(
     innov: DataFrame, fits: DataFrame, keys: Sequence[str], value: str, n: int = 6, position: str = "bin"
 ) -> DataFrame:
@@ -260,7 +257,7 @@ def fitted_values(
     unscaled = [F.col(f"_z{k}") * F.col("_std") + F.col("_mean") for k in range(1, n)]
     past = F.slice(F.array(*unscaled), F.lit(1), F.col("p"))
     shocks = F.slice(F.array(*(F.col(f"_e{k}") * F.col("_std") for k in range(1, n))), F.lit(1), F.col("q"))
-    predicted = F.col("intercept") + _dot(F.col("ar"), past) + _dot(F.col("ma"), shocks)
+    predicted = F.col("intercept") + dot(F.col("ar"), past) + dot(F.col("ma"), shocks)
     return near.withColumn("fitted", F.col(value) - (F.col("diff") - predicted)).filter(
         "fitted is not null"
     ).select(*keys, "p", "d", "q", position, value, "fitted")

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tsforge.functions.clock import SECONDS_PER_DAY, epoch_seconds, utc_wall_time
 from tsforge.functions.numeric import whole_steps
@@ -19,6 +20,17 @@ from tsforge.operators.lags import BLOCK
 DAY_KEYS = ("instrument", "session_date")
 
 
+def spread_days(rows: DataFrame, keys: Sequence[str] = DAY_KEYS) -> DataFrame:
+    """Partition by day into the configured number of shuffle partitions.
+
+    The steps that follow multiply each row (slots, then windows). Adaptive execution would merge
+    partitions by the small size before that; an explicit number is left alone. All day operators
+    work on this partitioning without another shuffle.
+    """
+    wanted = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(wanted, *keys)
+
+
 def length_consistent_days(aligned: DataFrame, keys: Sequence[str] = DAY_KEYS) -> DataFrame:
     """Rows of the days on which price, volume and timestamp are known equally often."""
     day = Window.partitionBy(*keys)
@@ -106,19 +118,30 @@ def between_known(before: Column, after: Column, at: Column) -> Column:
     )
 
 
+def _both_ways(keys: Sequence[str], position: str) -> tuple[WindowSpec, WindowSpec]:
+    """Running frames up to a row from the front and from the back.
+
+    A frame that ends at the last row would be read anew for every row; running over the reversed
+    order costs one more sort but reads each row once.
+    """
+    def running(order: Column) -> WindowSpec:
+        window = Window.partitionBy(*keys).orderBy(order)
+        return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    return running(F.col(position).asc()), running(F.col(position).desc())
+
+
 def interpolate_linear(
     grid: DataFrame, values: Sequence[str], keys: Sequence[str] = DAY_KEYS, position: str = "slot"
 ) -> DataFrame:
     """Fill NULL linearly by position within a group of bounded size; edges hold the nearest value."""
-    order = Window.partitionBy(*keys).orderBy(position)
-    back = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    back, ahead = _both_ways(keys, position)
     here = F.col(position)
     filled = {}
     for v in values:
         point = F.when(F.col(v).isNotNull(), F.struct(here.alias("i"), F.col(v).cast("double").alias("v")))
         before = F.last(point, ignorenulls=True).over(back)
-        after = F.first(point, ignorenulls=True).over(ahead)
+        after = F.last(point, ignorenulls=True).over(ahead)
         filled[v] = between_known(before, after, here)
     return grid.withColumns(filled)
 
@@ -139,22 +162,18 @@ def fill_series(
     edges = rows.withColumn("_pt", point).groupBy(*keys, "_block").agg(
         F.min("_pt").alias("_first"), F.max("_pt").alias("_last")
     )
-    blocks = Window.partitionBy(*keys).orderBy("_block")
+    earlier = Window.partitionBy(*keys).orderBy(F.col("_block").asc())
+    later = Window.partitionBy(*keys).orderBy(F.col("_block").desc())
+    others = (Window.unboundedPreceding, -1)
     carried = edges.select(
         *keys,
         "_block",
-        F.last("_last", ignorenulls=True)
-        .over(blocks.rowsBetween(Window.unboundedPreceding, -1))
-        .alias("_from"),
-        F.first("_first", ignorenulls=True)
-        .over(blocks.rowsBetween(1, Window.unboundedFollowing))
-        .alias("_to"),
+        F.last("_last", ignorenulls=True).over(earlier.rowsBetween(*others)).alias("_from"),
+        F.last("_first", ignorenulls=True).over(later.rowsBetween(*others)).alias("_to"),
     )
-    order = Window.partitionBy(*keys, "_block").orderBy(position)
-    back = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    back, ahead = _both_ways([*keys, "_block"], position)
     before = F.coalesce(F.last(point, ignorenulls=True).over(back), F.col("_from"))
-    after = F.coalesce(F.first(point, ignorenulls=True).over(ahead), F.col("_to"))
+    after = F.coalesce(F.last(point, ignorenulls=True).over(ahead), F.col("_to"))
     return (
         rows.join(carried, [*keys, "_block"])
         .withColumn(value, between_known(before, after, here))

@@ -10,8 +10,7 @@ from tsforge.functions.vectors import (
     ExtraFeature,
     one_step_change,
     standardise,
-    vector_mean,
-    vector_std,
+    window_moments,
 )
 
 CHANNELS = ("z_price", "z_volume", "z_extra", "sine", "cosine")
@@ -19,10 +18,9 @@ CHANNELS = ("z_price", "z_volume", "z_extra", "sine", "cosine")
 
 def with_moments(df: DataFrame, arrays: dict[str, str]) -> DataFrame:
     """Mean and population deviation per sample of every {name: array column}."""
-    means = df.withColumns({f"{n}_mean": vector_mean(F.col(a)) for n, a in arrays.items()})
-    return means.withColumns({
-        f"{n}_std": vector_std(F.col(a), F.col(f"{n}_mean")) for n, a in arrays.items()
-    })
+    both = df.withColumns({f"_{n}": window_moments(F.col(a)) for n, a in arrays.items()})
+    parts = {f"{n}_{part}": F.col(f"_{n}.{part}") for n in arrays for part in ("mean", "std")}
+    return both.withColumns(parts).drop(*(f"_{n}" for n in arrays))
 
 
 def zscore_window(df: DataFrame, array: str, name: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tsforge.functions.vectors import dot, let
 from tsforge.operators.lags import with_neighbours
 
 # Normal quantiles at 97.5 % and 5 %.
@@ -66,18 +67,20 @@ def partial_autocorrelations(r: Column) -> Column:
     empty = F.array().cast("array<double>")
     start = F.struct(empty.alias("phi"), F.array(F.lit(1.0)).alias("out"))
 
-    def dot(a: Column, b: Column) -> Column:
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
     def step(state: Column, k: Column) -> Column:
         phi = state["phi"]
         lower = F.slice(r, 2, k - 1)
         top = F.element_at(r, k + 1) - dot(phi, F.reverse(lower))
-        last = F.try_divide(top, 1.0 - dot(phi, lower))
-        moved = F.zip_with(phi, F.reverse(phi), lambda p, q: p - last * q)
-        return F.struct(
-            F.concat(moved, F.array(last)).alias("phi"), F.concat(state["out"], F.array(last)).alias("out")
-        )
+        newest = F.try_divide(top, 1.0 - dot(phi, lower))
+
+        def extended(last: Column) -> Column:
+            moved = F.zip_with(phi, F.reverse(phi), lambda p, q: p - last * q)
+            return F.struct(
+                F.concat(moved, F.array(last)).alias("phi"),
+                F.concat(state["out"], F.array(last)).alias("out"),
+            )
+
+        return let(newest, extended)
 
     return F.aggregate(F.sequence(F.lit(1), F.size(r) - 1), start, step, lambda s: s["out"])
 
@@ -112,7 +115,10 @@ def significant_lags(
         return F.lit(Z_975) * F.sqrt((1.0 + 2.0 * earlier) / F.col("n"))
 
     def count_before(array: str, band) -> Column:
-        inside = F.filter(lags, lambda k: F.abs(F.element_at(F.col(array), k + 1)) <= band(k))
+        inside = let(
+            F.col(array),
+            lambda values: F.filter(lags, lambda k: F.abs(F.element_at(values, k + 1)) <= band(k)),
+        )
         return F.coalesce(F.array_min(inside) - 1, F.lit(max_lag))
 
     return both.select(

@@ -11,7 +11,7 @@ from tsforge.config import PrepConfig
 from tsforge.functions.numeric import day_cosine, day_sine
 from tsforge.functions.vectors import ExtraFeature, one_step_change
 from tsforge.operators.calendar import align
-from tsforge.operators.grid import DAY_KEYS, length_consistent_days, place_on_slots
+from tsforge.operators.grid import DAY_KEYS, length_consistent_days, place_on_slots, spread_days
 from tsforge.operators.position import every_kth, global_position, seeded_shuffle, split_fractions
 from tsforge.operators.scaling import feature_tensor, scale_samples
 from tsforge.operators.windows import (
@@ -37,7 +37,7 @@ class CandleFeatures:
 
 def with_signals(aligned: DataFrame) -> DataFrame:
     """Aligned rows of consistent days with the four signals that get windows."""
-    return length_consistent_days(aligned).select(
+    return length_consistent_days(spread_days(aligned)).select(
         *DAY_KEYS,
         "timestamp",
         F.col("lhc").alias("price"),

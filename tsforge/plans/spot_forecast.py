@@ -69,10 +69,11 @@ def with_criteria(fits: DataFrame) -> DataFrame:
 def run(records: DataFrame, keys: Sequence[str], config: SpotConfig) -> SpotForecast:
     """The whole comparison for every series at once.
 
-    The split series and the innovations are each read by several later steps, so both are written
-    to the shared folder once.
+    The binned means, the split series and the innovations are each read by several later steps, so
+    they are written to the shared folder once.
     """
-    series = fill_series(daily_series(records, keys, config), VALUE, keys)
+    means = cut_lineage(daily_series(records, keys, config))
+    series = fill_series(means, VALUE, keys)
     split = cut_lineage(chronological_split(series, config.train_fraction, keys))
     train = split.filter("split = 'train'").select(*keys, "bin", VALUE)
     horizon = split.groupBy(*keys).agg(F.count(F.when(F.col("split") == "test", F.lit(1))).alias("h"))
