@@ -70,17 +70,9 @@ def scale_samples(windows: DataFrame, extra: ExtraFeature = one_step_change) ->
 
 def feature_tensor(scaled: DataFrame) -> DataFrame:
     """Replace the window columns by one array<struct> with five channels per step."""
-    channels = {
-        "z_price": "z_price", "z_volume": "z_volume", "z_extra": "z_extra",
-        "sine": "x_sine", "cosine": "x_cosine",
-    }
-    named = scaled.withColumns({f"_{n}": F.col(c) for n, c in channels.items()})
-    steps = F.transform(
-        F.arrays_zip(*(F.col(f"_{n}") for n in channels)),
-        lambda s: F.struct(*(s[f"_{n}"].alias(n) for n in channels)),
-    )
-    dropped = [c for c in scaled.columns if c.startswith(("x_", "z_"))]
-    return named.withColumn("tensor", steps).drop(*dropped, *(f"_{n}" for n in channels))
+    named = scaled.withColumnsRenamed({"x_sine": "sine", "x_cosine": "cosine"})
+    dropped = [c for c in named.columns if c.startswith("x_") or c in CHANNELS]
+    return named.withColumn("tensor", F.arrays_zip(*CHANNELS)).drop(*dropped)
 
 
 def tensor_long(tensors: DataFrame, *keys: str) -> DataFrame:

@@ -81,7 +81,7 @@ def feature_samples(
     per_day = index.groupBy(*DAY_KEYS).agg(
         F.collect_list(F.struct("sample_slot", "position", "split")).alias("_chosen")
     )
-    samples = days.join(per_day, list(DAY_KEYS)).select(*days.columns, F.inline("_chosen"))
+    samples = spread_days(days).join(spread_days(per_day), list(DAY_KEYS)).select(*days.columns, F.inline("_chosen"))
     windows = cut_windows(samples, config.n_back, config.n_forward, keep=("position", "split"))
     return scale_samples(with_lookahead_minmax(windows), extra)
 
