@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tsforge.functions.vectors import dot
+from tsforge.operators.keys import join_on
 from tsforge.operators.lags import iterated_difference, with_neighbours
 from tsforge.operators.stats import cross_moments, square_matrices, standardised
 
@@ -78,7 +79,7 @@ def ar1_fitted(
     by = [*keys, "d"]
     near = with_neighbours(rows, by, {"_before": ("diff", -1)}, position).filter("_before is not null")
     residual = F.col("diff") - (F.col("intercept") + F.col("slope") * F.col("_before"))
-    return near.join(fits.select(*by, "intercept", "slope"), by).select(
+    return join_on(near, fits.select(*by, "intercept", "slope"), by).select(
         *by, position, value, (F.col(value) - residual).alias("fitted")
     )
 
@@ -98,7 +99,7 @@ def ar1_forecast(
         F.max_by("diff", position).alias("_w"),
         F.max_by(value, position).alias("_y"),
     )
-    start = last.join(fits.select(*by, "intercept", "slope"), by).join(horizon, list(keys))
+    start = join_on(join_on(last, fits.select(*by, "intercept", "slope"), by), horizon, keys)
     steps = start.filter("h > 0").withColumn("step", F.explode(F.sequence(F.lit(1), F.col("h").cast("int"))))
     c, a, w, k = F.col("intercept"), F.col("slope"), F.col("_w"), F.col("step")
     power = F.pow(a, k)
@@ -154,7 +155,7 @@ def innovations(
     long_fit = cross_moments(complete, by, [*lags, "z"]).mapInPandas(solve, schema)
     predicted = sum((F.col("ar")[k] * F.col(f"_z{k}") for k in range(1, long_ar + 1)), F.col("ar")[0])
     return (
-        near.join(long_fit, by, "left")
+        join_on(near, long_fit, by, "left")
         .withColumn("e", F.col("z") - predicted)
         .select(*by, position, value, "diff", "z", "e", "_mean", "_std")
     )
@@ -228,7 +229,7 @@ def arima_fit(
         T.StructField("ar", T.ArrayType(T.DoubleType())),
         T.StructField("ma", T.ArrayType(T.DoubleType())),
     ])
-    return moments.join(orders.select(*labels), by).mapInPandas(fit, schema)
+    return join_on(moments, orders.select(*labels), by).mapInPandas(fit, schema)
 
 
 def arima_grid_fit(innov: DataFrame, keys: Sequence[str], n: int = 6, position: str = "bin") -> DataFrame:
@@ -253,7 +254,9 @@ def fitted_values(
 ) -> DataFrame:
     """In-sample one-step predictions of one chosen fit per series, in units of the series."""
     by = [*keys, "d"]
-    near = _lagged(innov, keys, n, position).join(fits.select(*by, "p", "q", "intercept", "ar", "ma"), by)
+    near = join_on(
+        _lagged(innov, keys, n, position), fits.select(*by, "p", "q", "intercept", "ar", "ma"), by
+    )
     unscaled = [F.col(f"_z{k}") * F.col("_std") + F.col("_mean") for k in range(1, n)]
     past = F.slice(F.array(*unscaled), F.lit(1), F.col("p"))
     shocks = F.slice(F.array(*(F.col(f"_e{k}") * F.col("_std") for k in range(1, n))), F.lit(1), F.col("q"))
@@ -273,9 +276,9 @@ def forecast(
     series that holds the last n differences, residuals and levels.
     """
     ends = innov.filter("d = 0").groupBy(*keys).agg(F.max(position).alias("_end"))
-    tail = innov.join(ends, list(keys)).filter(F.col(position) > F.col("_end") - n)
+    tail = join_on(innov, ends, keys).filter(F.col(position) > F.col("_end") - n)
     chosen = fits.select(*keys, F.col("d").alias("_chosen"), "p", "q", "intercept", "ar", "ma")
-    joined = tail.join(chosen, list(keys))
+    joined = join_on(tail, chosen, keys)
     is_chosen = F.col("d") == F.col("_chosen")
     newest_first = F.struct((-F.col(position)).alias("o"), F.col("diff").alias("w"), (F.col("e") * F.col("_std")).alias("e"))
     state = joined.groupBy(*keys, "_end").agg(
@@ -290,7 +293,7 @@ def forecast(
         ).alias("_l"),
         *(F.first(c).alias(c) for c in ("_chosen", "p", "q", "intercept", "ar", "ma")),
     )
-    ready = state.join(horizon, list(keys)).filter("h > 0").withColumns({
+    ready = join_on(state, horizon, keys).filter("h > 0").withColumns({
         "_w": F.col("_s.w"),
         "_e": F.transform("_s.e", lambda x: F.coalesce(x, F.lit(0.0))),
         "_levels": F.col("_l.w"),
@@ -343,7 +346,7 @@ def model_compare(
         rows = rows.unionByName(
             ahead.select(*keys, position, F.lit(None).cast("double").alias(f"fit_{label}"), F.col("forecast").alias(f"forecast_{label}"))
         )
-        out = out.join(rows, [*keys, position], "left")
+        out = join_on(out, rows, [*keys, position], "left")
     return out
 
 
@@ -352,7 +355,7 @@ def holdout_error(
 ) -> DataFrame:
     """Mean squared error of forecasts against the known future."""
     test = split.filter("split = 'test'").select(*keys, position, value)
-    joined = test.join(forecasts, [*keys, position])
+    joined = join_on(test, forecasts, [*keys, position])
     error = F.col(value) - F.col("forecast")
     extra = [c for c in ("p", "d", "q") if c in forecasts.columns]
     return joined.groupBy(*keys, *extra).agg(

@@ -8,6 +8,8 @@ Series operators (resample_mean, fill_series) take groups of any length and spli
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from pyspark.sql.window import WindowSpec
 
 from tsforge.functions.clock import SECONDS_PER_DAY, epoch_seconds, utc_wall_time
 from tsforge.functions.numeric import whole_steps
+from tsforge.operators.keys import join_on, key
 from tsforge.operators.lags import BLOCK
 
 DAY_KEYS = ("instrument", "session_date")
@@ -33,7 +36,9 @@ def spread_days(rows: DataFrame, keys: Sequence[str] = DAY_KEYS) -> DataFrame:
 
 def length_consistent_days(aligned: DataFrame, keys: Sequence[str] = DAY_KEYS) -> DataFrame:
     """Rows of the days on which price, volume and timestamp are known equally often."""
-    day = Window.partitionBy(*keys)
+    # The order is not needed for a count; it lets the day operators share one sort.
+    order = Window.partitionBy(*keys).orderBy("timestamp")
+    day = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
         aligned.withColumn("_p", F.count("lhc").over(day))
         .withColumn("_v", F.count("volume").over(day))
@@ -73,7 +78,7 @@ def place_on_slots(
             .filter("_gap is not null and slot >= 0")
         )
     elif rule == "own":
-        start = F.min("timestamp").over(Window.partitionBy(*keys))
+        start = F.first("timestamp").over(order)
         placed = rows.withColumn("slot", F.floor((F.col("timestamp") - start) / F.lit(divisor)))
     else:
         raise ValueError(f"unknown slot rule {rule!r}")
@@ -84,8 +89,16 @@ def place_on_slots(
 
 
 def timestamp_spine_join(rows: DataFrame, on: Sequence[str] = ("timestamp",)) -> DataFrame:
-    """Distinct instants full-outer-joined to the rows, as the basis of a complete time axis."""
-    return rows.select(*on).distinct().join(rows, list(on), "outer")
+    """Distinct instants full-outer-joined to the rows, as the basis of a complete time axis.
+
+    Every row finds its instant, except that a NULL instant matches nothing on either side. So the
+    join is a right outer one, which adaptive execution can split at a hot instant, plus the one
+    unmatched instant.
+    """
+    spine = rows.select(*on).distinct()
+    matched = spine.join(rows, list(on), "right")
+    unmatched = spine.filter(reduce(lambda a, b: a | b, (F.col(c).isNull() for c in on)))
+    return matched.unionByName(unmatched, allowMissingColumns=True)
 
 
 def regular_grid(
@@ -98,7 +111,7 @@ def regular_grid(
         .agg(end.alias("_last"))
         .select(*keys, F.explode(F.sequence(F.lit(0), F.col("_last").cast("int"))).alias("slot"))
     )
-    return spine.join(sparse, [*keys, "slot"], "left")
+    return join_on(spine, sparse, [*keys, "slot"], "left")
 
 
 def trim_trailing(grid: DataFrame, value: str, keys: Sequence[str] = DAY_KEYS) -> DataFrame:
@@ -175,7 +188,7 @@ def fill_series(
     before = F.coalesce(F.last(point, ignorenulls=True).over(back), F.col("_from"))
     after = F.coalesce(F.last(point, ignorenulls=True).over(ahead), F.col("_to"))
     return (
-        rows.join(carried, [*keys, "_block"])
+        join_on(rows, carried, [*keys, "_block"])
         .withColumn(value, between_known(before, after, here))
         .select(*grid.columns)
     )
@@ -192,40 +205,55 @@ def resample_mean(
 ) -> DataFrame:
     """Mean per fixed-width bin; empty bins between the first and last are rows with NULL.
 
-    Bins start at midnight of the first day of the group. Adds bin, the 0-based bin number.
+    Bins are counted from midnight of the first day of the group. Adds bin, 0 for the first one.
+    Records are summed into units that divide both a bin and a day before anything else is done, so
+    a hot series is reduced on the map side, and its start is found from the sums.
     """
-    epoch = epoch_seconds(ts)
-    width = F.lit(bin_seconds)
-    if SECONDS_PER_DAY % bin_seconds == 0:
-        # Every midnight is a bin border, so bins can be counted from the epoch.
-        origin = F.lit(0).cast("long")
-        tagged = records.withColumn("_origin", origin)
-    else:
-        midnight = F.floor(epoch / SECONDS_PER_DAY) * SECONDS_PER_DAY
-        start = records.groupBy(*keys).agg(F.min(midnight).alias("_origin"))
-        tagged = records.join(start, list(keys))
-    number = F.floor((epoch - F.col("_origin")) / width)
-    means = tagged.groupBy(*keys, "_origin", number.alias("_bin")).agg(F.avg(value).alias(name))
-    # Counting the means keeps this branch equal to the other one, so they share scan and shuffle.
-    span = (
-        means.groupBy(*keys, "_origin")
-        .agg(F.min("_bin").alias("_lo"), F.max("_bin").alias("_hi"), F.count(name).alias("_known"))
-        .filter("_known >= 0")
+    unit = gcd(bin_seconds, SECONDS_PER_DAY)
+    units = records.withColumn("_unit", F.floor(epoch_seconds(ts) / F.lit(unit)))
+    sums = (
+        units.groupBy(key([*keys, "_unit"]).alias("_key"))
+        .agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"))
+        .select("_key.*", "_sum", "_n")
     )
+    # Both columns are read here too, so that this branch and the other share scan and shuffle.
+    known = F.count(F.when(F.col("_n") > 0, F.col("_sum")))
+    ends = sums.groupBy(*keys).agg(
+        F.min("_unit").alias("_lo"), F.max("_unit").alias("_hi"), known.alias("_known")
+    ).filter("_known >= 0")
+    origin = F.floor(F.col("_lo") * F.lit(unit) / SECONDS_PER_DAY) * SECONDS_PER_DAY
+
+    def number(of: str) -> Column:
+        return F.floor((F.col(of) * F.lit(unit) - F.col("_origin")) / F.lit(bin_seconds))
+
+    span = ends.withColumn("_origin", origin).select(
+        *keys, "_origin", number("_lo").alias("_first"), number("_hi").alias("_last")
+    )
+    if unit == bin_seconds:
+        spine_key = (F.col("_origin") / F.lit(unit)).cast("long") + F.col("_bin")
+        means = sums.select(*keys, "_unit", F.try_divide("_sum", "_n").alias(name))
+    else:
+        spine_key = F.col("_bin")
+        means = (
+            join_on(sums, span, keys)
+            .groupBy(*keys, number("_unit").alias("_unit"))
+            .agg(F.try_divide(F.sum("_sum"), F.sum("_n")).alias(name))
+        )
     wide = F.lit(block)
-    blocks = F.sequence(F.floor(F.col("_lo") / wide), F.floor(F.col("_hi") / wide))
+    blocks = F.sequence(F.floor(F.col("_first") / wide), F.floor(F.col("_last") / wide))
     inside = F.sequence(
-        F.greatest(F.col("_lo"), F.col("_block") * wide),
-        F.least(F.col("_hi"), F.col("_block") * wide + wide - 1),
+        F.greatest(F.col("_first"), F.col("_block") * wide),
+        F.least(F.col("_last"), F.col("_block") * wide + wide - 1),
     )
     spine = (
         span.withColumn("_block", F.explode(blocks))
         .withColumn("_bin", F.explode(inside))
-        .select(*keys, "_origin", "_lo", "_bin")
+        .withColumn("_unit", spine_key)
+        .drop("_block", "_last")
     )
-    return spine.join(means, [*keys, "_origin", "_bin"], "left").select(
+    return join_on(spine, means, [*keys, "_unit"], "left").select(
         *keys,
-        utc_wall_time(F.col("_origin") + F.col("_bin") * width).alias(ts),
-        (F.col("_bin") - F.col("_lo")).alias("bin"),
+        utc_wall_time(F.col("_origin") + F.col("_bin") * F.lit(bin_seconds)).alias(ts),
+        (F.col("_bin") - F.col("_first")).alias("bin"),
         name,
     )

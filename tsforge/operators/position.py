@@ -7,22 +7,12 @@ small buckets, and each bucket starts where the ones before it end. No task sees
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsforge.config import SPLIT_ORDER
-
-
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    renamed = right.select(
-        *(F.col(k).alias(f"_r_{k}") for k in keys), *(c for c in right.columns if c not in keys)
-    )
-    condition = reduce(
-        lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys)
-    )
-    return left.join(renamed, condition).drop(*(f"_r_{k}" for k in keys))
+from tsforge.operators.keys import join_on, key
 
 
 def global_position(
@@ -40,21 +30,27 @@ def global_position(
     counts = df.groupBy(*within, *levels).agg(F.count("*").alias("_rows"))
     starts = None
     for depth in range(1, len(levels) + 1):
-        keys = [*within, *levels[:depth]]
-        upper = keys[:-1]
-        sums = counts.groupBy(*keys).agg(F.sum("_rows").alias("_sum"))
+        columns = [*within, *levels[:depth]]
+        upper = columns[:-1]
+        sums = counts.groupBy(*columns).agg(F.sum("_rows").alias("_rows"))
         window = Window.partitionBy(*upper) if upper else Window.partitionBy()
         before = window.orderBy(levels[depth - 1]).rowsBetween(Window.unboundedPreceding, -1)
-        step = sums.select(*keys, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias(f"_s{depth}"))
-        starts = step if starts is None else _join_null_safe(step, starts, upper)
-    keys = [*within, *levels]
-    offset = sum((F.col(f"_s{d}") for d in range(1, len(levels) + 1)), F.lit(0).cast("long"))
-    starts = starts.select(*keys, offset.alias("_start"))
-    inside = Window.partitionBy(*keys).orderBy(*order)
+        step = sums.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+        if starts is None:
+            starts = step.drop("_rows")
+        else:
+            above = starts.withColumnRenamed("_start", "_above")
+            starts = join_on(step, above, upper).select(
+                *columns, (F.col("_start") + F.col("_above")).alias("_start")
+            )
+    full = [*within, *levels]
+    inside = Window.partitionBy("_key").orderBy(*order)
+    numbered = df.withColumn("_key", key(full)).withColumn("_at", F.row_number().over(inside) - 1)
+    # Numbering and join partition by the same key: one shuffle of the rows.
     return (
-        _join_null_safe(df, starts, keys)
-        .withColumn(name, F.col("_start") + F.row_number().over(inside) - 1)
-        .drop("_start")
+        numbered.join(starts.select(key(full).alias("_key"), "_start"), "_key")
+        .withColumn(name, F.col("_start") + F.col("_at"))
+        .drop("_key", "_start", "_at")
     )
 
 
@@ -105,7 +101,7 @@ def chronological_split(
     """
     n = series.groupBy(*keys).agg(F.count("*").alias("n_rows"))
     return (
-        series.join(n, list(keys))
+        join_on(series, n, keys)
         .withColumn("n_train", F.rint(F.lit(fraction) * F.col("n_rows")).cast("long"))
         .withColumn("split", F.when(F.col(position) < F.col("n_train"), "train").otherwise("test"))
     )

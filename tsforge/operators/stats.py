@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tsforge.functions.vectors import dot, let
+from tsforge.operators.keys import join_on
 from tsforge.operators.lags import with_neighbours
 
 # Normal quantiles at 97.5 % and 5 %.
@@ -42,7 +43,7 @@ def acf_array(
 ) -> DataFrame:
     """Autocorrelations of lags 0..max_lag per series as one array, with the series length."""
     centre = series.groupBy(*keys).agg(F.avg(value).alias("_mean"))
-    centred = series.join(centre, list(keys)).withColumn("_x", F.col(value) - F.col("_mean"))
+    centred = join_on(series, centre, keys).withColumn("_x", F.col(value) - F.col("_mean"))
     near = with_neighbours(
         centred.select(*keys, position, "_x"),
         keys,
@@ -200,7 +201,7 @@ def standardised(series: DataFrame, keys: Sequence[str], value: str, name: str =
     scale = series.groupBy(*keys).agg(
         F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std")
     )
-    return series.join(scale, list(keys)).withColumn(
+    return join_on(series, scale, keys).withColumn(
         name, F.try_divide(F.col(value) - F.col("_mean"), F.col("_std"))
     )
 
@@ -291,7 +292,7 @@ def unit_root_augmented(
         )
     else:
         chosen = series.select(*keys).distinct().withColumn("used_lag", F.lit(max_lag))
-    allowed = rows.join(chosen, list(keys)).filter(F.col(position) > F.col("used_lag"))
+    allowed = join_on(rows, chosen, keys).filter(F.col(position) > F.col("used_lag"))
     # Lags beyond the chosen number are not read, so their missing leading values may count as 0.
     full = cross_moments(allowed.fillna(0.0, subset=variables), [*keys, "used_lag"], variables)
 

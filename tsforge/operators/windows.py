@@ -40,8 +40,9 @@ def day_lengths(rows: DataFrame, keys: Sequence[str] = DAY_KEYS) -> DataFrame:
 
 
 def with_constants(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row frame to every row, as scalar subqueries."""
-    return df.withColumns({c: one_row.select(c).scalar() for c in one_row.columns})
+    """Attach the columns of a one-row frame to every row, as one scalar subquery."""
+    row = one_row.select(F.struct(*one_row.columns)).scalar()
+    return df.withColumn("_row", row).select(*df.columns, *(f"_row.{c}" for c in one_row.columns))
 
 
 def day_signals(

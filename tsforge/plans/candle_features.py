@@ -12,6 +12,7 @@ from tsforge.functions.numeric import day_cosine, day_sine
 from tsforge.functions.vectors import ExtraFeature, one_step_change
 from tsforge.operators.calendar import align
 from tsforge.operators.grid import DAY_KEYS, length_consistent_days, place_on_slots, spread_days
+from tsforge.operators.keys import join_on
 from tsforge.operators.position import every_kth, global_position, seeded_shuffle, split_fractions
 from tsforge.operators.scaling import feature_tensor, scale_samples
 from tsforge.operators.windows import (
@@ -81,7 +82,7 @@ def feature_samples(
     per_day = index.groupBy(*DAY_KEYS).agg(
         F.collect_list(F.struct("sample_slot", "position", "split")).alias("_chosen")
     )
-    samples = spread_days(days).join(spread_days(per_day), list(DAY_KEYS)).select(*days.columns, F.inline("_chosen"))
+    samples = join_on(days, per_day, DAY_KEYS, spread=True).select(*days.columns, F.inline("_chosen"))
     windows = cut_windows(samples, config.n_back, config.n_forward, keep=("position", "split"))
     return scale_samples(with_lookahead_minmax(windows), extra)
 

@@ -22,6 +22,7 @@ from tsforge.operators.arima import (
     model_compare,
 )
 from tsforge.operators.grid import fill_series, resample_mean
+from tsforge.operators.keys import join_on
 from tsforge.operators.position import chronological_split
 from tsforge.operators.stats import choose_d, significant_lags
 from tsforge.session import cut_lineage
@@ -56,7 +57,7 @@ def visual_orders(train: DataFrame, keys: Sequence[str], config: SpotConfig) ->
     """Orders read off the correlations (p from ACF, q from PACF) and the unit-root search (d)."""
     lags = significant_lags(train, keys, VALUE, config.max_lag)
     d = choose_d(train, keys, VALUE, config.max_difference)
-    return lags.join(d, list(keys)).select(
+    return join_on(lags, d, keys).select(
         *keys, F.col("n_acf").alias("p"), "d", F.col("n_pacf").alias("q")
     )
 
