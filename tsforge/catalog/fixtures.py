@@ -141,15 +141,18 @@ def spot_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spot_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily series with their chronological split."""
     return chronological_split(spot_series(spark, sf_dir), 0.9, SERIES)
 
 
-def spot_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spot_split(spark, sf_dir).filter("split = 'train'").select("series", "bin", "spot_price")
+def train_of(split: DataFrame) -> DataFrame:
+    return split.filter("split = 'train'").select("series", "bin", "spot_price")
 
 
-def spot_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
+def horizon_of(split: DataFrame) -> DataFrame:
     """Length of the test set of every series."""
-    return spot_split(spark, sf_dir).groupBy(*SERIES).agg(
-        F.count(F.when(F.col("split") == "test", F.lit(1))).alias("h")
-    )
+    return split.groupBy(*SERIES).agg(F.count(F.when(F.col("split") == "test", F.lit(1))).alias("h"))
+
+
+def spot_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return train_of(spot_split(spark, sf_dir))

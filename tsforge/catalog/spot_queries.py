@@ -225,7 +225,7 @@ def _(spark, sf_dir):
 
 @query("unit_root_augmented")
 def _(spark, sf_dir):
-    return unit_root_augmented(fx.spot_train(spark, sf_dir), KEYS, VALUE, LAGS)
+    return unit_root_augmented(fx.train_of(_split(spark, sf_dir)), KEYS, VALUE, LAGS)
 
 
 @query(
@@ -250,8 +250,13 @@ def _(spark, sf_dir):
     return grid.select(*KEYS, n("p"), n("d"), n("q"))
 
 
-def _fits(spark, sf_dir, orders=(0, 1, 2)) -> DataFrame:
-    return ar1_fit(fx.spot_train(spark, sf_dir), KEYS, VALUE, orders)
+def _split(spark, sf_dir) -> DataFrame:
+    """The split series, written once: models read it several times."""
+    return cut_lineage(fx.spot_split(spark, sf_dir))
+
+
+def _fits(train: DataFrame, orders=(0, 1, 2)) -> DataFrame:
+    return ar1_fit(train, KEYS, VALUE, orders)
 
 
 @query(
@@ -260,7 +265,7 @@ def _fits(spark, sf_dir, orders=(0, 1, 2)) -> DataFrame:
               round(rss / n_obs, 0) AS mse, round(rss / (n_obs - 2), 0) AS residual_variance FROM ar1_fits""",
 )
 def _(spark, sf_dir):
-    return _fits(spark, sf_dir).select(
+    return _fits(fx.train_of(_split(spark, sf_dir))).select(
         *KEYS, n("d"), "n_obs", r("intercept", 3), r("slope"), r("mse", 0), r("residual_variance", 0)
     )
 
@@ -271,8 +276,8 @@ def _(spark, sf_dir):
        FROM ar1_fitted GROUP BY 1, 2""",
 )
 def _(spark, sf_dir):
-    train = fx.spot_train(spark, sf_dir)
-    fitted = ar1_fitted(train, _fits(spark, sf_dir), KEYS, VALUE, (0, 1, 2))
+    train = fx.train_of(_split(spark, sf_dir))
+    fitted = ar1_fitted(train, _fits(train), KEYS, VALUE, (0, 1, 2))
     return mse(fitted, VALUE, "fitted", *KEYS, "d").select(*KEYS, n("d"), r("mse", 0))
 
 
@@ -282,7 +287,7 @@ def _(spark, sf_dir):
               round(min(rss / n_obs), 0) AS mse FROM ar1_fits GROUP BY 1""",
 )
 def _(spark, sf_dir):
-    fits = _fits(spark, sf_dir).withColumns({"p": F.lit(1), "q": F.lit(0)})
+    fits = _fits(fx.train_of(_split(spark, sf_dir))).withColumns({"p": F.lit(1), "q": F.lit(0)})
     return best_order(fits, KEYS).select(*KEYS, n("p"), n("d"), n("q"), r("mse", 0))
 
 
@@ -291,15 +296,14 @@ def _(spark, sf_dir):
     "SELECT series, CAST(d AS BIGINT) AS d, bin, round(fitted, 3) AS fitted FROM ar1_fitted",
 )
 def _(spark, sf_dir):
-    train = fx.spot_train(spark, sf_dir)
-    fitted = ar1_fitted(train, _fits(spark, sf_dir), KEYS, VALUE, (0, 1, 2))
+    train = fx.train_of(_split(spark, sf_dir))
+    fitted = ar1_fitted(train, _fits(train), KEYS, VALUE, (0, 1, 2))
     return fitted.select(*KEYS, n("d"), "bin", r("fitted", 3))
 
 
-def _ahead(spark, sf_dir) -> DataFrame:
-    return ar1_forecast(
-        fx.spot_train(spark, sf_dir), _fits(spark, sf_dir, (0, 1)), KEYS, VALUE, fx.spot_horizon(spark, sf_dir)
-    )
+def _ahead(split: DataFrame) -> DataFrame:
+    train = fx.train_of(split)
+    return ar1_forecast(train, _fits(train, (0, 1)), KEYS, VALUE, fx.horizon_of(split))
 
 
 @query(
@@ -307,7 +311,7 @@ def _ahead(spark, sf_dir) -> DataFrame:
     "SELECT series, CAST(d AS BIGINT) AS d, bin, step, round(forecast, 3) AS forecast FROM ar1_forecast",
 )
 def _(spark, sf_dir):
-    return _ahead(spark, sf_dir).select(*KEYS, n("d"), "bin", n("step"), r("forecast", 3))
+    return _ahead(_split(spark, sf_dir)).select(*KEYS, n("d"), "bin", n("step"), r("forecast", 3))
 
 
 @query(
@@ -316,7 +320,7 @@ def _(spark, sf_dir):
               round(n_obs * ln(rss / n_obs) + 3 * ln(n_obs), 4) AS bic FROM ar1_fits""",
 )
 def _(spark, sf_dir):
-    return information_criteria(_fits(spark, sf_dir), F.lit(3)).select(*KEYS, n("d"), r("aic", 4), r("bic", 4))
+    return information_criteria(_fits(fx.train_of(_split(spark, sf_dir))), F.lit(3)).select(*KEYS, n("d"), r("aic", 4), r("bic", 4))
 
 
 @query(
@@ -331,9 +335,10 @@ def _(spark, sf_dir):
        LEFT JOIN ar1_forecast a1 ON a1.series = s.series AND a1.bin = s.bin AND a1.d = 1""",
 )
 def _(spark, sf_dir):
-    split = fx.spot_split(spark, sf_dir)
-    fitted = ar1_fitted(fx.spot_train(spark, sf_dir), _fits(spark, sf_dir, (0, 1)), KEYS, VALUE, (0, 1))
-    ahead = _ahead(spark, sf_dir)
+    split = _split(spark, sf_dir)
+    train = fx.train_of(split)
+    fitted = ar1_fitted(train, _fits(train, (0, 1)), KEYS, VALUE, (0, 1))
+    ahead = _ahead(split)
     models = {f"d{d}": (fitted.filter(F.col("d") == d), ahead.filter(F.col("d") == d)) for d in (0, 1)}
     return model_compare(split, KEYS, VALUE, models).select(
         *KEYS, "bin", "Timestamp", "split",
@@ -349,12 +354,14 @@ def _(spark, sf_dir):
        WHERE s.split = 'test' GROUP BY 1, 2""",
 )
 def _(spark, sf_dir):
-    error = holdout_error(fx.spot_split(spark, sf_dir), _ahead(spark, sf_dir), KEYS, VALUE)
+    split = _split(spark, sf_dir)
+    error = holdout_error(split, _ahead(split), KEYS, VALUE)
     return error.select(*KEYS, n("d"), "n_test", r("mse", 0))
 
 
 def _innov(spark, sf_dir) -> DataFrame:
-    return innovations(fx.spot_train(spark, sf_dir), KEYS, VALUE, range(6))
+    """Residuals that several steps read, written once."""
+    return cut_lineage(innovations(fx.train_of(_split(spark, sf_dir)), KEYS, VALUE, range(6)))
 
 
 @query("arima_grid_fit")
@@ -369,15 +376,16 @@ def _(spark, sf_dir):
 
 @query("arima_fitted")
 def _(spark, sf_dir):
-    innov = cut_lineage(_innov(spark, sf_dir))
+    innov = _innov(spark, sf_dir)
     return fitted_values(innov, best_order(arima_grid_fit(innov, KEYS), KEYS), KEYS, VALUE)
 
 
 @query("arima_forecast")
 def _(spark, sf_dir):
-    innov = cut_lineage(_innov(spark, sf_dir))
+    split = _split(spark, sf_dir)
+    innov = cut_lineage(innovations(fx.train_of(split), KEYS, VALUE, range(6)))
     best = best_order(arima_grid_fit(innov, KEYS), KEYS)
-    return forecast(innov, best, KEYS, fx.spot_horizon(spark, sf_dir))
+    return forecast(innov, best, KEYS, fx.horizon_of(split))
 
 
 @query("spot_forecast_comparison")

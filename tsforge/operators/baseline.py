@@ -8,6 +8,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tsforge.session import cut_lineage
+
 
 def window_regression(
     vectors: DataFrame,
@@ -18,8 +20,10 @@ def window_regression(
 ) -> DataFrame:
     """Fit each target on split = 'train' with L1 + L2 penalty; return MSE per target and split.
 
-    Samples without a scaled target (a flat window) cannot be learned from and are not used.
+    Samples without a scaled target (a flat window) cannot be learned from and are not used. The
+    learner passes over its input many times, so the vectors are written once first.
     """
+    vectors = cut_lineage(vectors.select("features", "split", *targets))
     penalty = l1 + l2
     share = l1 / penalty if penalty else 0.0
     reports = []

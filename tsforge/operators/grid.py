@@ -104,14 +104,22 @@ def timestamp_spine_join(rows: DataFrame, on: Sequence[str] = ("timestamp",)) ->
 def regular_grid(
     sparse: DataFrame, last: Column | None = None, keys: Sequence[str] = DAY_KEYS
 ) -> DataFrame:
-    """Every slot from 0 to the last one of the group (or to `last`); unknown values are NULL."""
-    end = F.max("slot") if last is None else F.greatest(F.max("slot"), last)
-    spine = (
-        sparse.groupBy(*keys)
-        .agg(end.alias("_last"))
-        .select(*keys, F.explode(F.sequence(F.lit(0), F.col("_last").cast("int"))).alias("slot"))
+    """Every slot from 0 to the last one of the group (or to `last`); unknown values are NULL.
+
+    Each row emits its own slot and the empty ones up to the next row, so no spine has to be joined
+    and the partitioning by group is kept.
+    """
+    order = Window.partitionBy(*keys).orderBy("slot")
+    values = [c for c in sparse.columns if c not in (*keys, "slot")]
+    end = F.col("slot") if last is None else F.greatest(F.col("slot"), last)
+    bounded = sparse.withColumns({
+        "_to": F.coalesce(F.lead("slot").over(order) - 1, end).cast("int"),
+        "_from": F.when(F.lag("slot").over(order).isNull(), F.lit(0)).otherwise(F.col("slot")),
+    })
+    own = F.col("_slot") == F.col("slot")
+    return bounded.withColumn("_slot", F.explode(F.sequence("_from", "_to"))).select(
+        *keys, F.col("_slot").alias("slot"), *(F.when(own, F.col(v)).alias(v) for v in values)
     )
-    return join_on(spine, sparse, [*keys, "slot"], "left")
 
 
 def trim_trailing(grid: DataFrame, value: str, keys: Sequence[str] = DAY_KEYS) -> DataFrame:
