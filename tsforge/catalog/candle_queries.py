@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -653,10 +654,20 @@ def _(spark, sf_dir):
     )
 
 
-@query("feature_vectors")
+@query(
+    "feature_vectors",
+    f"""SELECT {KEYS_SQL}, step * 5 + c AS at, round(CASE c
+               WHEN 0 THEN coalesce((price - price_mean) / nullif(price_std, 0), 0)
+               WHEN 1 THEN coalesce((volume - volume_mean) / nullif(volume_std, 0), 0)
+               WHEN 2 THEN coalesce((extra - extra_mean) / nullif(extra_std, 0), 0)
+               WHEN 3 THEN sine ELSE cosine END, 5) + 0.0 AS feature
+        FROM back_hour JOIN moments_hour USING (instrument, session_date, sample_slot), range(5) channel(c)""",
+)
 def _(spark, sf_dir):
     vectors = feature_vectors(_prepared(spark, sf_dir).samples)
-    return vectors.select(*_sample_keys(), "position", "split", "features")
+    return vectors.select(
+        *_sample_keys(), F.posexplode(vector_to_array("features")).alias("at", "feature")
+    ).select(*SAMPLE, n("at"), (r("feature", 5) + 0.0).alias("feature"))
 
 
 @query(

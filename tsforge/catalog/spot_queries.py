@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tsforge.catalog import fixtures as fx
-from tsforge.catalog.registry import n, query, r
+from tsforge.catalog.registry import n, query, r, single
 from tsforge.config import SpotConfig
 from tsforge.functions.numeric import price_to_double
 from tsforge.operators.arima import (
@@ -369,6 +369,21 @@ def _(spark, sf_dir):
     return arima_grid_fit(_innov(spark, sf_dir), KEYS)
 
 
+@query(
+    "arima_grid_ar",
+    """SELECT series, CAST(k AS BIGINT) AS p, CAST(d AS BIGINT) AS d, count(*) AS n_obs,
+              CAST(CAST(CASE WHEN k = 0 THEN var_pop(w) ELSE (regr_syy(w, v) - regr_sxy(w, v) * regr_sxy(w, v)
+                   / regr_sxx(w, v)) / count(*) END AS FLOAT) AS DOUBLE) AS mse,
+              CASE WHEN k = 1 THEN round(regr_slope(w, v), 6) END AS slope
+       FROM ar1_rows, range(2) o(k) WHERE bin >= d + 15 GROUP BY series, k, d""",
+)
+def _(spark, sf_dir):
+    # The part of the grid that has a closed form: no moving average, at most one lag.
+    fits = arima_grid_fit(_innov(spark, sf_dir), KEYS).filter("p <= 1 and q = 0 and d <= 2")
+    slope = r(F.try_element_at("ar", F.lit(1)))
+    return fits.select(*KEYS, n("p"), n("d"), "n_obs", single("mse"), slope.alias("slope"))
+
+
 @query("arima_best_order")
 def _(spark, sf_dir):
     return best_order(arima_grid_fit(_innov(spark, sf_dir), KEYS), KEYS)
