@@ -37,7 +37,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 def task_count(df: DataFrame, bytes_per_task: int = 64 << 20) -> int:
     """Partitions for a shuffle of df: the session's number, or more where the input's size asks for it."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / bytes_per_task))
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsforge.llm import block_naming, exact_topk, url_filter
+from tsforge.llm import block_naming, exact_topk, packing, token_files, url_filter
 from tsforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +84,17 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op7_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op1_token_files")
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = token_files.write_shards(table(spark, sf_dir, "documents"), tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_documents(folder, manifest)
+
+
+@query("op2_best_fit_packing")
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, tokenizers.path("byte_bpe_50k.json"), with_ids=False).withColumn(
+        "length", F.col("length").cast("long")
+    )
