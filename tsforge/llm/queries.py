@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsforge.llm import block_naming, exact_topk, packing, token_files, url_filter
+from tsforge.llm import block_naming, exact_topk, packing, stream_viterbi, token_files, trie_counts, url_filter
 from tsforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +98,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizers.path("byte_bpe_50k.json"), with_ids=False).withColumn(
         "length", F.col("length").cast("long")
     )
+
+
+@query("op3_stream_viterbi")
+def op3_stream_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_viterbi.round_trip(table(spark, sf_dir, "documents"), tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op10_trie_counts")
+def op10_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_counts.token_counts(table(spark, sf_dir, "documents"), tokenizers.path("piece_bpe_32k.model"))
