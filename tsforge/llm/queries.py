@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsforge.llm import block_naming, exact_topk, packing, stream_viterbi, token_files, trie_counts, url_filter
+from tsforge.llm import block_naming, exact_topk, odd_sketches, packing, stream_viterbi, token_files, trie_counts, url_filter
 from tsforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,37 @@ def op3_stream_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_trie_counts")
 def op10_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_counts.token_counts(table(spark, sf_dir, "documents"), tokenizers.path("piece_bpe_32k.model"))
+
+
+@query(
+    "op9_odd_sketches",
+    r"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, list_filter(
+            string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                               '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+        FROM documents),
+    s AS (
+        SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(
+            range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i : i + 3], ' '))) END AS s
+        FROM d),
+    c AS (SELECT s AS set_, min(doc_id) AS rep, len(s) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM s)
+          WHERE len(s) > 0 GROUP BY s),
+    x AS (SELECT rep, n, unnest(set_) AS g FROM c),
+    p AS (
+        SELECT a.rep AS u, b.rep AS v FROM x a JOIN x b
+            ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+        GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+    e AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p),
+    r(node, root) AS (
+        SELECT rep, rep FROM c
+        UNION
+        SELECT e.v, r.root FROM r JOIN e ON e.u = r.node),
+    k AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+    SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(k.component_id, s.doc_id) AS component_id,
+           s.doc_id = coalesce(k.component_id, s.doc_id) AS kept
+    FROM s LEFT JOIN c ON list_sort(s.s) = c.set_ LEFT JOIN k ON k.node = c.rep
+    """,
+)
+def op9_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketches.near_duplicates(table(spark, sf_dir, "documents"), k=4)
