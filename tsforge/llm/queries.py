@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsforge.llm import block_naming, exact_topk, odd_sketches, packing, stream_viterbi, token_files, trie_counts, url_filter
+from tsforge.llm import block_naming, exact_topk, odd_sketches, packing, sentence_spans, stream_viterbi, token_files, trie_counts, url_filter
 from tsforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,3 +142,15 @@ def op10_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op9_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketches.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
+@query("op8_sentence_spans")
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentence_spans.cleaned(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        "text",
+        F.col("_n_removed").alias("n_removed"),
+        F.col("_removed_bytes").alias("removed_bytes"),
+        (F.length(F.trim("text")) > 0).alias("kept"),
+    )
