@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsforge.llm import block_naming, exact_topk, odd_sketches, packing, sentence_spans, stream_viterbi, token_files, trie_counts, url_filter
+from tsforge.llm import block_naming, exact_topk, odd_sketches, packing, quality, sentence_spans, stream_viterbi, token_files, trie_counts, url_filter
 from tsforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,3 +154,15 @@ def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_removed_bytes").alias("removed_bytes"),
         (F.length(F.trim("text")) > 0).alias("kept"),
     )
+
+
+@query("op5_naive_bayes_svm")
+def op5_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        quality.held_out().alias("held_out"),
+        F.col("_score").alias("score"),
+        (F.col("_score") >= quality.CUT).cast("int").alias("predicted"),
+    )
