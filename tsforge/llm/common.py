@@ -36,9 +36,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def task_count(df: DataFrame, bytes_per_task: int = 64 << 20) -> int:
-    """Partitions for a shuffle of df: the session's number, or more where the input's size asks for it."""
+    """Partitions for a shuffle of df: the session's number, or more where the input's size asks for it.
+
+    Spark knows the size of files; where it does not know a size it tells an absurdly large one.
+    """
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / bytes_per_task))
+    known = size if size < 1 << 60 else 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(known / bytes_per_task))
 
 
 def worker_state(name: str, build: Callable[[], Any]) -> Any:

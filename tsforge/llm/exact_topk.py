@@ -10,7 +10,7 @@ The stated queries meet all candidates in blocks: candidates are dealt into grou
 often a vector repeats, and the number of cells follows the row counts.
 
 Components become integers, floor(scale * x) of x as double. Sums are exact: in doubles where they fit into 53 bits, else
-in Python integers; scores beyond a long are cut to its range in the output only.
+in Python integers; scores beyond a long are cut to its range.
 
 Defined cases: vectors that are NULL or hold NULL or non-finite components, and rows without vec_id, take no part; short
 vectors count as padded with zeros, so an empty one scores 0; a row never meets rows of its own vec_id; rows repeated
@@ -92,9 +92,11 @@ def _search_large(candidates, ids, queries, own, k):
     for q, row in enumerate(queries):
         numbers = [int(x) for x in row]
         scored = sorted(
-            (-sum(a * b for a, b in zip(numbers, c)), int(i)) for c, i in zip(whole, ids) if i != own[q]
+            (-min(max(sum(a * b for a, b in zip(numbers, c)), LONG[0]), LONG[1]), int(i))
+            for c, i in zip(whole, ids)
+            if i != own[q]
         )[:k]
-        yield q, np.array([i for _, i in scored], dtype=np.int64), [min(max(-s, LONG[0]), LONG[1]) for s, _ in scored]
+        yield q, np.array([i for _, i in scored], dtype=np.int64), [-s for s, _ in scored]
 
 
 def cell_function(k: int, scale: int, block: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
