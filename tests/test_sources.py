@@ -9,7 +9,7 @@ from tsforge.sources.candles import candle_scan, duplicate_bars, star_join
 from tsforge.sources.events import bars_from_events
 from tsforge.sources.spot import read_pages, read_series, records_of_pages, save_series
 from tsforge.sources.splits import read_splits, split_summary, write_splits
-from tsforge.streaming.series import run_to_end, stream_dedupe, stream_resample
+from tsforge.streaming.series import merge_bins, run_to_end, stream_bins, stream_dedupe, stream_resample
 
 SMALL = "/root/testdata/sf0.001"
 T = dt.datetime
@@ -73,6 +73,41 @@ def test_pages(spark, tmp_path):
     assert records.count() == 3 and records.distinct().count() == 2
 
 
+def page(*records):
+    fields = ", ".join('{"Timestamp": "%s", "SpotPrice": "0.1", "InstanceType": "%s"}' % r for r in records)
+    return '{"SpotPriceHistory": [%s]}' % fields
+
+
+def test_page_times_and_series(spark, tmp_path):
+    times = ["2024-09-01T03:44:06+00:00", "2024-09-01T03:44:06Z", "2024-09-01T05:44:06.5+02:00", "2024-03-10T02:30:00Z", "2024-09-01 03:44:06"]
+    (tmp_path / "p.json").write_text(page(*((t, k) for t in times for k in "xy")))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        rows = records_of_pages(read_pages(spark, str(tmp_path))).collect()
+        half = T(2024, 9, 1, 3, 44, 6, 500_000)
+        found = {(r.InstanceType, r.Timestamp) for r in rows}
+        assert found == {(k, t) for k in "xy" for t in (T(2024, 9, 1, 3, 44, 6), half, T(2024, 3, 10, 2, 30))}
+        assert len(rows) == 10
+    spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_page_with_a_broken_time_is_an_error(spark, tmp_path):
+    (tmp_path / "p.json").write_text(page(("soon", "x")))
+    with pytest.raises(Exception, match="not a time: soon"):
+        records_of_pages(read_pages(spark, str(tmp_path))).collect()
+
+
+def test_series_file_across_clock_changes(spark, tmp_path):
+    times = ["2024-03-10 01:30", "2024-03-10 02:30", "2024-03-10 07:30", "2024-11-03 05:30", "2024-11-03 06:30"]
+    (tmp_path / "s.csv").write_text("Timestamp,spot_price\n" + "".join(f"{t}:00+00:00,0.5\n" for t in times))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    out = sorted(str(r.Timestamp)[:16] for r in read_series(spark, str(tmp_path)).collect())
+    spark.conf.set("spark.sql.session.timeZone", before)
+    assert out == sorted(times)
+
+
 def test_splits_round_trip(spark):
     rows = spark.createDataFrame([(0, "train"), (1, "train"), (2, "test"), (3, None)], "position long, split string")
     path = scratch_path(spark, "test")
@@ -89,10 +124,14 @@ def test_lineage_is_cut_into_the_shared_folder(spark):
     assert shared_root(spark) == spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def stream_of(spark, rows, schema, files=1):
+def stream_of(spark, rows, schema, files=1, per_batch=1_000):
     path = scratch_path(spark, "input")
-    spark.createDataFrame(rows, schema).repartition(files).write.parquet(path)
-    return spark.readStream.schema(schema).parquet(path)
+    if files == 1:
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
+    else:  # one file per row, in the order given
+        for i, row in enumerate(rows):
+            spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
 def test_stream_resample_emits_closed_windows(spark):
@@ -102,7 +141,21 @@ def test_stream_resample_emits_closed_windows(spark):
     assert sorted((r.ts, r.mean) for r in out) == [(T(2024, 1, d), float(d)) for d in (1, 2, 3)]
 
 
-def test_stream_dedupe(spark):
-    rows = [("a", T(2024, 1, 1, 0, 0, 0, 250000), "1"), ("a", T(2024, 1, 1, 0, 0, 0, 250000), "1"), ("a", T(2024, 1, 1, 0, 0, 0, 750000), "1")]
-    source = stream_of(spark, rows, "k string, ts timestamp_ntz, p string", 2)
-    assert run_to_end(spark, stream_dedupe(source, ["k", "ts", "p"], "1 day", "ts"), "test").count() == 2
+# June before January, so that a watermark would call the latter late.
+OUT_OF_ORDER = [("a", T(2024, m, d, 1), float(10 * m + d)) for m in (6, 1) for d in (5, 5, 7)]
+
+
+@pytest.mark.parametrize("per_batch", [1, 100])
+def test_merged_bins_are_complete(spark, per_batch):
+    source = stream_of(spark, OUT_OF_ORDER, "k string, ts timestamp_ntz, v double", 6, per_batch)
+    landed = run_to_end(spark, stream_bins(source, ["k"], "1 day", "ts", "v"), "test")
+    out = merge_bins(landed, ["k"], "ts", "mean").collect()
+    assert sorted((r.ts, r.mean) for r in out) == [(T(2024, m, d), float(10 * m + d)) for m in (1, 6) for d in (5, 7)]
+
+
+@pytest.mark.parametrize("per_batch", [1, 100])
+def test_stream_dedupe_loses_no_record(spark, per_batch):
+    rows = [("a", T(2024, m, 1, 0, 0, 0, us), p) for m in (6, 1) for us in (250_000, 750_000) for p in ("1", None, "1")]
+    source = stream_of(spark, rows, "k string, ts timestamp_ntz, p string", len(rows), per_batch)
+    out = run_to_end(spark, stream_dedupe(source, ["k", "ts", "p"]), "test").collect()
+    assert sorted(map(str, out)) == sorted(map(str, spark.createDataFrame(rows, "k string, ts timestamp_ntz, p string").distinct().collect()))

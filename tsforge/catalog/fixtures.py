@@ -119,10 +119,21 @@ def page_copies(records: DataFrame) -> DataFrame:
 
 
 def spot_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping response pages as the price service delivers them."""
+    """Overlapping response pages as the price service delivers them: times as text, every other one with an offset
+    of two hours, and the series among the fields of a record."""
     copies = page_copies(spot_records(spark, sf_dir))
+    layout = "yyyy-MM-dd'T'HH:mm:ss"
+    ahead = F.date_format(F.col("Timestamp") + F.expr("INTERVAL 2 HOURS"), layout)
+    time = F.when(F.col("page") % 2 == 0, F.concat(F.date_format("Timestamp", layout), F.lit("Z"))).otherwise(
+        F.concat(ahead, F.lit("+02:00"))
+    )
+    none = F.lit(None).cast("string")
+    record = F.struct(
+        none.alias("AvailabilityZone"), F.col("series").alias("InstanceType"), none.alias("ProductDescription"),
+        "SpotPrice", time.alias("Timestamp"),
+    )
     return copies.groupBy("series", "page").agg(
-        F.collect_list(F.struct("Timestamp", "SpotPrice")).alias("SpotPriceHistory"),
+        F.collect_list(record).alias("SpotPriceHistory"),
         F.concat(F.lit("page-"), (F.col("page") + 1).cast("string")).alias("NextToken"),
     )
 

@@ -39,7 +39,7 @@ from tsforge.operators.stats import (
 from tsforge.plans import spot_forecast
 from tsforge.session import cut_lineage, scratch_path
 from tsforge.sources.spot import read_pages, read_series, records_of_pages, save_series
-from tsforge.streaming.series import run_to_end, stream_dedupe, stream_resample
+from tsforge.streaming.series import merge_bins, run_to_end, stream_bins, stream_dedupe
 
 KEYS = fx.SERIES
 VALUE = "spot_price"
@@ -49,12 +49,17 @@ LAGS = 10
 # --- sources, cleaning, resampling ---
 
 
-@query("spot_pages_ingest", 'SELECT "Timestamp", "SpotPrice", count(*) AS copies FROM page_copies GROUP BY 1, 2')
+@query(
+    "spot_pages_ingest",
+    'SELECT series, "Timestamp", "SpotPrice", count(*) AS copies FROM page_copies GROUP BY 1, 2, 3',
+)
 def _(spark, sf_dir):
     path = scratch_path(spark, "pages")
     fx.spot_pages(spark, sf_dir).select("SpotPriceHistory", "NextToken").write.json(path)
     records = records_of_pages(read_pages(spark, path))
-    return records.groupBy("Timestamp", "SpotPrice").agg(F.count("*").alias("copies"))
+    return records.groupBy(F.col("InstanceType").alias("series"), "Timestamp", "SpotPrice").agg(
+        F.count("*").alias("copies")
+    )
 
 
 @query(
@@ -91,10 +96,11 @@ def _(spark, sf_dir):
 
 @query("dedupe_union", 'SELECT DISTINCT series, "Timestamp", "SpotPrice" FROM spot_records')
 def _(spark, sf_dir):
-    batches = records_of_pages(fx.spot_pages(spark, sf_dir), "series", "page")
+    batches = records_of_pages(fx.spot_pages(spark, sf_dir), "page")
     even = batches.filter("page % 2 = 0").drop("page")
     odd = batches.filter("page % 2 = 1").drop("page")
-    return spot_forecast.merge_batches(even, odd)
+    merged = spot_forecast.merge_batches(even, odd)
+    return merged.select(F.col("InstanceType").alias("series"), "Timestamp", "SpotPrice")
 
 
 @query("resample_mean", 'SELECT series, "Timestamp", bin, round(spot_price, 4) AS spot_price FROM spot_daily')
@@ -416,15 +422,14 @@ def _(spark, sf_dir):
 @query(
     "stream_resample",
     """SELECT instrument, date_trunc('day', ts) AS ts, round(avg(value), 6) AS value
-       FROM (SELECT event_type AS instrument, CAST(ts AS TIMESTAMP) AS ts, value FROM events) GROUP BY 1, 2
-       HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
+       FROM (SELECT event_type AS instrument, CAST(ts AS TIMESTAMP) AS ts, value FROM events) GROUP BY 1, 2""",
 )
 def _(spark, sf_dir):
     schema = fx.table(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = source.select(F.col("event_type").alias("instrument"), "ts", "value")
-    means = stream_resample(rows, ["instrument"], "1 day", "1 day", "ts", "value", "value")
-    return run_to_end(spark, means, "stream-resample").select("instrument", "ts", r("value"))
+    landed = run_to_end(spark, stream_bins(rows, ["instrument"], "1 day", "ts", "value"), "stream-resample")
+    return merge_bins(landed, ["instrument"], "ts", "value").select("instrument", "ts", r("value"))
 
 
 @query("stream_dedupe", 'SELECT DISTINCT series, "Timestamp", "SpotPrice" FROM spot_records')
@@ -438,5 +443,5 @@ def _(spark, sf_dir):
         "o_orderkey",
     )
     copies = fx.page_copies(records).drop("page")
-    once = stream_dedupe(copies, ["series", "Timestamp", "SpotPrice"], "30 days", "Timestamp")
+    once = stream_dedupe(copies, ["series", "Timestamp", "SpotPrice"])
     return run_to_end(spark, once, "stream-dedupe")

@@ -24,6 +24,21 @@ def utc_wall_time(epoch: Column | str) -> Column:
     return origin + F.make_dt_interval(days, zero, zero, F.pmod(epoch, F.lit(SECONDS_PER_DAY)))
 
 
+def utc_of_text(text: Column | str) -> Column:
+    """TIMESTAMP_NTZ with the UTC wall time of an ISO time; without an offset the text is UTC already.
+
+    Fractions of a second are kept. Text that is no time is an error, NULL stays NULL.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    zoned = F.when(text.rlike(r"(Z|[+-]\d\d:?\d\d)$"), text).otherwise(F.concat(text, F.lit("Z")))
+    micros = F.unix_micros(F.try_to_timestamp(zoned))
+    zero = F.lit(0)
+    fraction = F.make_dt_interval(zero, zero, zero, (F.pmod(micros, F.lit(1_000_000)) / 1e6).cast("decimal(18,6)"))
+    found = utc_wall_time(F.floor(micros / F.lit(1_000_000)).cast("long")) + fraction
+    wrong = F.raise_error(F.concat(F.lit("not a time: "), text)).cast("timestamp_ntz")
+    return F.when(text.isNotNull() & micros.isNull(), wrong).otherwise(found)
+
+
 def local_wall_time(epoch: Column | str, tz: str) -> Column:
     """TIMESTAMP_NTZ with the wall time in tz; two instants share an hour when clocks fall back."""
     return F.convert_timezone(F.lit("UTC"), F.lit(tz), utc_wall_time(epoch))

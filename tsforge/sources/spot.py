@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tsforge.functions.clock import utc_of_text, utc_wall_time
+
+# The fields of a price record; all but time and price name its series.
+KEY_FIELDS = ("AvailabilityZone", "InstanceType", "ProductDescription")
+RECORD_FIELDS = (*KEY_FIELDS, "SpotPrice", "Timestamp")
+
 PAGE_SCHEMA = T.StructType([
     T.StructField(
         "SpotPriceHistory",
-        T.ArrayType(
-            T.StructType([
-                T.StructField("Timestamp", T.TimestampNTZType()),
-                T.StructField("SpotPrice", T.StringType()),
-            ])
-        ),
+        T.ArrayType(T.StructType([T.StructField(name, T.StringType()) for name in RECORD_FIELDS])),
     ),
     T.StructField("NextToken", T.StringType()),
 ])
@@ -29,8 +30,13 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def records_of_pages(pages: DataFrame, *keep: str) -> DataFrame:
-    """One row per price record, duplicates included; columns named in keep are carried along."""
-    return pages.select(*keep, F.inline("SpotPriceHistory")).select(*keep, "Timestamp", "SpotPrice")
+    """One row per price record, duplicates included; columns named in keep are carried along.
+
+    Timestamp is UTC wall time: offsets, Z and fractions in the text are resolved, and text that is no
+    time is an error.
+    """
+    records = pages.select(*keep, F.inline("SpotPriceHistory"))
+    return records.select(*keep, *KEY_FIELDS, utc_of_text("Timestamp").alias("Timestamp"), "SpotPrice")
 
 
 def save_series(series: DataFrame, path: str, *keys: str) -> None:
@@ -53,5 +59,4 @@ def read_series(spark: SparkSession, path: str, *keys: str) -> DataFrame:
     ]
     raw = spark.read.schema(T.StructType(fields)).csv(path, header=True)
     instant = F.to_timestamp("Timestamp", SERIES_TIMESTAMP_FORMAT)
-    utc = F.to_utc_timestamp(instant, F.current_timezone()).cast("timestamp_ntz")
-    return raw.withColumn("Timestamp", utc)
+    return raw.withColumn("Timestamp", utc_wall_time(F.unix_seconds(instant)))

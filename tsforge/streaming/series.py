@@ -1,4 +1,7 @@
-"""Stream forms of resampling and de-duplication."""
+"""Stream forms of resampling and de-duplication.
+
+Both give the same rows however the input is cut into micro-batches and in whatever order it arrives.
+"""
 
 from __future__ import annotations
 
@@ -20,8 +23,9 @@ def instant(utc: str) -> Column:
 def stream_resample(
     records: DataFrame, keys: Sequence[str], width: str, delay: str, ts: str, value: str, name: str
 ) -> DataFrame:
-    """Tumbling mean per key. A window is emitted once the watermark passes its end; later rows for
-    it are dropped. Empty windows are not emitted."""
+    """Tumbling mean per key for a stream without end: a window is emitted once the watermark passes
+    its end, and rows that come later than that are dropped, so that state stays bounded. Empty windows
+    are not emitted. For a complete result use stream_bins with merge_bins."""
     timed = records.withColumn("_at", instant(ts)).withWatermark("_at", delay)
     return (
         timed.groupBy(*keys, F.window("_at", width).alias("_w"))
@@ -30,10 +34,27 @@ def stream_resample(
     )
 
 
-def stream_dedupe(records: DataFrame, columns: Sequence[str], delay: str, ts: str) -> DataFrame:
-    """Each distinct record once, as long as its copies arrive within the delay."""
-    timed = records.withColumn("_at", instant(ts)).withWatermark("_at", delay)
-    return timed.dropDuplicatesWithinWatermark(list(columns)).drop("_at")
+def stream_bins(records: DataFrame, keys: Sequence[str], width: str, ts: str, value: str) -> DataFrame:
+    """Every record with the start of its window: what a stream lands for merge_bins. It keeps no state, so no
+    record is ever late."""
+    window = F.window(instant(ts), width)
+    return records.select(*keys, window.alias("_w"), F.col(value).alias("_value")).select(
+        *keys, utc_wall_time(F.unix_seconds("_w.start")).alias(ts), "_value"
+    )
+
+
+def merge_bins(landed: DataFrame, keys: Sequence[str], ts: str, name: str) -> DataFrame:
+    """Mean per key and window over all that has landed so far: sums of each task first, then by key."""
+    return landed.groupBy(*keys, ts).agg(F.avg("_value").alias(name))
+
+
+def stream_dedupe(records: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Each distinct record once, however far apart its copies arrive.
+
+    The state holds every distinct record, keyed and spread like any shuffle; choose the RocksDB state store
+    for large ones. NULLs are equal to each other.
+    """
+    return records.dropDuplicates(list(columns))
 
 
 def run_to_end(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
