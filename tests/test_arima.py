@@ -24,8 +24,9 @@ from tsforge.plans import spot_forecast
 LONG = 10
 
 
-def regress(y, columns):
-    a = np.stack([np.ones(len(y)), *columns], axis=1)
+def regress(y, columns, constant=True):
+    """Coefficients with the constant first (0 where the model has none), and the residual sum."""
+    a = np.stack([np.ones(len(y)) * constant, *columns], axis=1)
     beta, *_ = np.linalg.lstsq(a, y, rcond=None)
     return beta, ((y - a @ beta) ** 2).sum()
 
@@ -34,12 +35,12 @@ def two_step(x, p, d, q, reach):
     """Coefficients, residual sum and sample size of the two-step regression, with its residuals."""
     w = np.diff(x, d)
     n = len(w)
-    beta, _ = regress(w[LONG:], [w[LONG - k : n - k] for k in range(1, LONG + 1)])
+    beta, _ = regress(w[LONG:], [w[LONG - k : n - k] for k in range(1, LONG + 1)], d == 0)
     e = np.full(n, np.nan)
     e[LONG:] = w[LONG:] - beta[0] - sum(beta[k] * w[LONG - k : n - k] for k in range(1, LONG + 1))
     start = LONG + reach - 1
     columns = [w[start - k : n - k] for k in range(1, p + 1)] + [e[start - k : n - k] for k in range(1, q + 1)]
-    beta, rss = regress(w[start:], columns)
+    beta, rss = regress(w[start:], columns, d == 0)
     return beta, rss, n - start, w, e
 
 
@@ -93,9 +94,14 @@ def test_fitted_and_forecast_match_the_recursion(spark, fitted):
 
 
 def test_singular_series_has_null_error(spark):
-    df = series(spark, flat=[1.0] * 60)
-    rows = arima_grid_fit(innovations(df, ["s"], "x", [0]), ["s"], 2).collect()
-    assert all(r.mse is None for r in rows)
+    df = series(spark, flat=[1.0] * 60, short=[1.0, 2.0, 1.5], long=list(ar1(60, 0.5, 1)))
+    fits = arima_grid_fit(innovations(df, ["s"], "x", range(2)), ["s"], 2)
+    rows = fits.collect()
+    assert len(rows) == 3 * 8
+    assert all((r.mse is None) == (r.s != "long") for r in rows)
+    best = {r.s: r for r in best_order(fits, ["s"]).collect()}
+    assert set(best) == {"flat", "short", "long"}
+    assert best["flat"].mse is None and best["short"].p is None and best["long"].mse is not None
 
 
 def test_best_order_takes_the_first_of_a_tie(spark):
@@ -122,7 +128,7 @@ def test_ar1_and_its_forecast(spark):
         ahead[r.s, r.d, r.step] = r.forecast
     for (s, d), r in found.items():
         w = np.diff(values[s], d)
-        beta, rss = regress(w[1:], [w[:-1]])
+        beta, rss = regress(w[1:], [w[:-1]], d == 0)
         assert (r.intercept, r.slope, r.rss) == (pytest.approx(beta[0]), pytest.approx(beta[1]), pytest.approx(rss))
         assert r.mse == pytest.approx(rss / (len(w) - 1))
         path, last = [], w[-1]
@@ -174,6 +180,11 @@ def test_whole_comparison(spark):
     assert {r.model for r in out.errors.collect()} >= {"best"}
     fit = arima_fit(
         innovations(out.split.filter("split = 'train'").select("s", "bin", "spot_price"), ["s"], "spot_price", range(3)),
-        out.best.select("s", "p", "d", "q"), ["s"], 3,
+        out.best.select("s", "p", "d", "q"), ["s"], 5, first=10 + 5 - 1 + 2,
     ).collect()
+    # Both models are fitted on the same rows, so that their criteria can be compared.
+    visual = {r.s: r for r in out.visual.collect()}
+    assert set(visual) == {"a", "b"}
+    assert all(r.n_obs in (None, best[r.s].n_obs) for r in visual.values())
+    assert len({r.n_obs for r in best.values()}) == 1
     assert all(r.mse == pytest.approx(best[r.s].mse) for r in fit)

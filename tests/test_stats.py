@@ -57,9 +57,12 @@ def test_blocks_do_not_change_neighbours(spark, block):
         assert r.p == (v[r.bin + 2] if r.bin + 2 < len(v) else None)
 
 
-def test_block_must_hold_the_longest_offset(spark):
-    with pytest.raises(ValueError):
-        with_neighbours(series(spark, a=[1.0]), ["s"], {"m": ("x", -3)}, block=2)
+def test_blocks_are_as_long_as_the_longest_offset(spark):
+    x = [float(i) for i in range(20)]
+    out = with_neighbours(series(spark, a=x), ["s"], {"m": ("x", -7), "p": ("x", 5)}, block=2).collect()
+    assert sorted((r.bin, r.m, r.p) for r in out) == [
+        (i, x[i - 7] if i >= 7 else None, x[i + 5] if i + 5 < 20 else None) for i in range(20)
+    ]
 
 
 def test_differences(spark):

@@ -200,8 +200,8 @@ def _(spark, sf_dir):
 
 @query(
     "significant_lags",
-    """SELECT series, coalesce(min(lag) FILTER (WHERE abs(r) <= acf_band) - 1, 10) AS n_acf,
-              coalesce(min(lag) FILTER (WHERE abs(last) <= pacf_band) - 1, 10) AS n_pacf
+    """SELECT series, min(lag) FILTER (WHERE abs(r) <= acf_band) - 1 AS n_acf,
+              min(lag) FILTER (WHERE abs(last) <= pacf_band) - 1 AS n_pacf
        FROM (SELECT a.series, a.lag, a.r, v.last, 1.959963984540054 / sqrt(a.n) AS pacf_band,
                     1.959963984540054 * sqrt((1 + 2 * coalesce(sum(a.r * a.r) OVER (PARTITION BY a.series
                     ORDER BY a.lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / a.n) AS acf_band
@@ -268,7 +268,7 @@ def _fits(train: DataFrame, orders=(0, 1, 2)) -> DataFrame:
 @query(
     "ar1_fit",
     """SELECT series, CAST(d AS BIGINT) AS d, n_obs, round(intercept, 3) AS intercept, round(slope, 6) AS slope,
-              round(rss / n_obs, 0) AS mse, round(rss / (n_obs - 2), 0) AS residual_variance FROM ar1_fits""",
+              round(rss / n_obs, 0) AS mse, round(rss / (n_obs - CASE WHEN d = 0 THEN 2 ELSE 1 END), 0) AS residual_variance FROM ar1_fits""",
 )
 def _(spark, sf_dir):
     return _fits(fx.train_of(_split(spark, sf_dir))).select(
@@ -322,11 +322,13 @@ def _(spark, sf_dir):
 
 @query(
     "aic_bic",
-    """SELECT series, CAST(d AS BIGINT) AS d, round(n_obs * ln(rss / n_obs) + 2 * 3, 4) AS aic,
-              round(n_obs * ln(rss / n_obs) + 3 * ln(n_obs), 4) AS bic FROM ar1_fits""",
+    """SELECT series, CAST(d AS BIGINT) AS d, round(n_obs * ln(rss / n_obs) + 2 * CASE WHEN d = 0 THEN 3 ELSE 2 END, 4) AS aic,
+              round(n_obs * ln(rss / n_obs) + CASE WHEN d = 0 THEN 3 ELSE 2 END * ln(n_obs), 4) AS bic FROM ar1_fits""",
 )
 def _(spark, sf_dir):
-    return information_criteria(_fits(fx.train_of(_split(spark, sf_dir))), F.lit(3)).select(*KEYS, n("d"), r("aic", 4), r("bic", 4))
+    parameters = F.when(F.col("d") == 0, 3).otherwise(2)
+    fits = information_criteria(_fits(fx.train_of(_split(spark, sf_dir))), parameters)
+    return fits.select(*KEYS, n("d"), r("aic", 4), r("bic", 4))
 
 
 @query(
@@ -378,9 +380,11 @@ def _(spark, sf_dir):
 @query(
     "arima_grid_ar",
     """SELECT series, CAST(k AS BIGINT) AS p, CAST(d AS BIGINT) AS d, count(*) AS n_obs,
-              CAST(CAST(CASE WHEN k = 0 THEN var_pop(w) ELSE (regr_syy(w, v) - regr_sxy(w, v) * regr_sxy(w, v)
-                   / regr_sxx(w, v)) / count(*) END AS FLOAT) AS DOUBLE) AS mse,
-              CASE WHEN k = 1 THEN round(regr_slope(w, v), 6) END AS slope
+              CAST(CAST(CASE WHEN k = 0 AND d = 0 THEN var_pop(w) WHEN k = 0 THEN avg(w * w)
+                   WHEN d = 0 THEN (regr_syy(w, v) - regr_sxy(w, v) * regr_sxy(w, v) / regr_sxx(w, v)) / count(*)
+                   ELSE (sum(w * w) - sum(w * v) * sum(w * v) / sum(v * v)) / count(*) END AS FLOAT) AS DOUBLE) AS mse,
+              CASE WHEN k = 1 AND d = 0 THEN round(regr_slope(w, v), 6)
+                   WHEN k = 1 THEN round(sum(w * v) / sum(v * v), 6) END AS slope
        FROM ar1_rows, range(2) o(k) WHERE bin >= d + 15 GROUP BY series, k, d""",
 )
 def _(spark, sf_dir):

@@ -251,9 +251,11 @@ SHARED: dict[str, str] = {
         SELECT * FROM (SELECT *, lag(w) OVER (PARTITION BY series, d ORDER BY bin) AS v FROM ar1_diffs)
         WHERE v IS NOT NULL""",
     "ar1_fits": """
-        SELECT series, d, CAST(count(*) AS BIGINT) AS n_obs, regr_intercept(w, v) AS intercept,
-               regr_slope(w, v) AS slope,
-               regr_syy(w, v) - regr_sxy(w, v) * regr_sxy(w, v) / regr_sxx(w, v) AS rss
+        SELECT series, d, CAST(count(*) AS BIGINT) AS n_obs,
+               CASE WHEN d = 0 THEN regr_intercept(w, v) ELSE 0.0 END AS intercept,
+               CASE WHEN d = 0 THEN regr_slope(w, v) ELSE sum(w * v) / sum(v * v) END AS slope,
+               CASE WHEN d = 0 THEN regr_syy(w, v) - regr_sxy(w, v) * regr_sxy(w, v) / regr_sxx(w, v)
+                    ELSE sum(w * w) - sum(w * v) * sum(w * v) / sum(v * v) END AS rss
         FROM ar1_rows GROUP BY 1, 2""",
     "ar1_fitted": """
         SELECT series, d, bin, spot_price, spot_price - (w - (intercept + slope * v)) AS fitted

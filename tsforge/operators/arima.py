@@ -4,6 +4,10 @@ Models are fitted by conditional least squares: AR(1) directly, ARIMA orders by
 regression of Hannan and Rissanen (1982). Estimates differ slightly from exact maximum likelihood,
 and the first rows, which lack lags, are not part of the error. Rows are handled by DataFrame
 expressions; only moment matrices, one small row per series and differencing order, reach Python.
+
+A model has a constant for d = 0 and none for d >= 1, where a constant would be a drift; moments are then taken about
+zero. Every series keeps its row in every result: where a fit is not possible (series too short, constant, or without
+an order), the results are NULL.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import types as T
 from tsforge.functions.vectors import dot
 from tsforge.operators.keys import join_on
 from tsforge.operators.lags import iterated_difference, with_neighbours
-from tsforge.operators.stats import cross_moments, square_matrices, standardised
+from tsforge.operators.stats import cross_moments, square_matrices
 
 # A moment matrix worse conditioned than this counts as singular.
 MAX_CONDITION = 1e12
@@ -53,20 +57,31 @@ def differenced(
 def ar1_fit(
     series: DataFrame, keys: Sequence[str], value: str, orders: Sequence[int] = (0,), position: str = "bin"
 ) -> DataFrame:
-    """AR(1) with intercept on the d-fold difference, for every series and d."""
+    """AR(1) on the d-fold difference, for every series and d; with a constant for d = 0 only."""
     rows = differenced(series, keys, value, orders, position)
     by = [*keys, "d"]
     near = with_neighbours(rows, by, {"_before": ("diff", -1)}, position).filter("_before is not null")
-    y, x = F.col("diff"), F.col("_before")
+    y, x, plain = F.col("diff"), F.col("_before"), F.col("d") == 0
     sums = near.groupBy(*by).agg(
         F.count("*").alias("n_obs"),
-        F.regr_intercept(y, x).alias("intercept"),
-        F.regr_slope(y, x).alias("slope"),
-        (F.regr_syy(y, x) - F.try_divide(F.regr_sxy(y, x) * F.regr_sxy(y, x), F.regr_sxx(y, x))).alias("rss"),
+        F.regr_intercept(y, x).alias("_c"),
+        F.regr_slope(y, x).alias("_b"),
+        (F.regr_syy(y, x) - F.try_divide(F.regr_sxy(y, x) * F.regr_sxy(y, x), F.regr_sxx(y, x))).alias("_rss"),
+        *(F.sum(a * b).alias(n) for a, b, n in ((y, y, "_yy"), (x, y, "_xy"), (x, x, "_xx"))),
+    )
+    through_zero = F.col("_yy") - F.try_divide(F.col("_xy") * F.col("_xy"), F.col("_xx"))
+    fits = sums.select(
+        *by,
+        "n_obs",
+        F.when(plain, F.col("_c")).otherwise(F.lit(0.0)).alias("intercept"),
+        F.when(plain, F.col("_b")).otherwise(F.try_divide("_xy", "_xx")).alias("slope"),
+        F.when(plain, F.col("_rss")).otherwise(through_zero).alias("rss"),
     )
-    return sums.withColumns({
+    every = series.select(*keys).distinct().withColumn("d", F.explode(F.array(*(F.lit(d) for d in orders))))
+    used = F.when(plain, 2).otherwise(1)
+    return join_on(every, fits, by, "left").withColumns({
         "mse": F.try_divide("rss", "n_obs"),
-        "residual_variance": F.try_divide(F.col("rss"), F.col("n_obs") - 2),
+        "residual_variance": F.try_divide(F.col("rss"), F.col("n_obs") - used),
     })
 
 
@@ -137,10 +152,10 @@ def innovations(
 ) -> DataFrame:
     """Differences (standardised as z) with the residuals e of a long autoregression.
 
-    A singular system leaves e NULL.
+    For d >= 1 they are scaled by their root mean square about zero. A singular system leaves e NULL.
     """
     by = [*keys, "d"]
-    rows = standardised(differenced(series, keys, value, orders, position), by, "diff")
+    rows = _scaled(differenced(series, keys, value, orders, position), by)
     lags = [f"_z{k}" for k in range(1, long_ar + 1)]
     near = with_neighbours(rows, by, {f"_z{k}": ("z", -k) for k in range(1, long_ar + 1)}, position)
     complete = near.filter(f"_z{long_ar} is not null and z is not null")
@@ -148,8 +163,12 @@ def innovations(
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            solved = solve_blocks(square_matrices(pdf["moments"], size), np.arange(size - 1))
-            yield pdf[by].assign(ar=[None if b is None else b.tolist() for b, _ in solved])
+            matrices, out = square_matrices(pdf["moments"], size), [None] * len(pdf)
+            for first, same in ((0, (pdf["d"] == 0).to_numpy()), (1, (pdf["d"] != 0).to_numpy())):
+                solved = solve_blocks(matrices[same], np.arange(first, size - 1))
+                for at, (beta, _) in zip(np.flatnonzero(same), solved):
+                    out[at] = None if beta is None else [*([0.0] * first), *beta.tolist()]
+            yield pdf[by].assign(ar=out)
 
     schema = T.StructType([*(rows.schema[k] for k in by), T.StructField("ar", T.ArrayType(T.DoubleType()))])
     long_fit = cross_moments(complete, by, [*lags, "z"]).mapInPandas(solve, schema)
@@ -161,8 +180,23 @@ def innovations(
     )
 
 
+def _scaled(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """diff as z, in units of its mean and deviation (d = 0) or of its root mean square about zero."""
+    plain, x = F.col("d") == 0, F.col("diff")
+    scale = rows.groupBy(*by).agg(
+        F.avg(x).alias("_m"), F.stddev_pop(x).alias("_s"), F.sqrt(F.avg(x * x)).alias("_r")
+    ).select(
+        *by,
+        F.when(plain, F.col("_m")).otherwise(F.lit(0.0)).alias("_mean"),
+        F.when(plain, F.col("_s")).otherwise(F.col("_r")).alias("_std"),
+    )
+    return join_on(rows, scale, by).withColumn("z", F.try_divide(F.col("diff") - F.col("_mean"), F.col("_std")))
+
+
 def solve_blocks(matrices: np.ndarray, use: np.ndarray) -> list[tuple[np.ndarray | None, float | None]]:
     """Least squares of the last variable on the variables `use`, for a stack of moment matrices."""
+    if not len(use):
+        return [(np.zeros(0), float(m[-1, -1])) if np.isfinite(m[-1, -1]) else (None, None) for m in matrices]
     a = matrices[:, use[:, None], use]
     b = matrices[:, use, -1]
     good = np.isfinite(a).all(axis=(1, 2)) & np.isfinite(b).all(axis=1)
@@ -184,38 +218,61 @@ def _lagged(innov: DataFrame, keys: Sequence[str], n: int, position: str) -> Dat
 
 
 def arima_fit(
-    innov: DataFrame, orders: DataFrame, keys: Sequence[str], n: int = 6, position: str = "bin"
+    innov: DataFrame, orders: DataFrame, keys: Sequence[str], n: int = 6, position: str = "bin", first: int = 0
 ) -> DataFrame:
     """Fit the given orders (keys, p, d, q with p and q below n): coefficients and in-sample MSE.
 
     All orders of one (series, d) share a common sample, so each fit is a block of one moment matrix
-    and the rows are read once. mse is in units of the series. Singular fits have NULL results.
+    and the rows are read once. `first` is the first position of the sample: with a common one, fits of different d
+    have as many observations too. mse is in units of the series. A matrix reaches Python once, with all its orders.
+    Orders that cannot be fitted have NULL results.
     """
     by = [*keys, "d"]
-    near = _lagged(innov, keys, n, position)
+    near = _lagged(innov, keys, n, position).filter(F.col(position) >= first)
     lags = range(1, n)
     needed = " and ".join(["e is not null", *(f"_z{k} is not null and _e{k} is not null" for k in lags)])
     names = [*(f"_z{k}" for k in lags), *(f"_e{k}" for k in lags), "z"]
     moments = cross_moments(near.filter(needed), [*by, "_mean", "_std"], names)
     size = len(names) + 1
-    labels = [*keys, "p", "d", "q"]
+    wanted = orders.groupBy(*by).agg(F.collect_list(F.struct("p", "q")).alias("orders"))  # at most n * n
+
+    def whole(x: float | None) -> int | None:
+        return None if x is None or x != x else int(x)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        results = ["n_obs", "rss", "mse", "intercept", "ar", "ma"]
         for pdf in batches:
-            for (p, q), same in pdf.groupby(["p", "q"]):
-                use = np.r_[0, 1 : 1 + p, n : n + q].astype(int)
-                rows = []
-                solved = solve_blocks(square_matrices(same["moments"], size), use)
-                for (beta, rss), mean, std, count in zip(solved, same["_mean"], same["_std"], same["n_obs"]):
+            there = pdf["moments"].notna().to_numpy()
+            matrices = np.full((len(pdf), size, size), np.nan)
+            if there.any():
+                matrices[there] = square_matrices(pdf.loc[there, "moments"], size)
+            long = [(i, whole(o["p"]), whole(o["q"])) for i, given in enumerate(pdf["orders"]) for o in given]
+            out = pdf[[*keys]].iloc[[i for i, _, _ in long]].reset_index(drop=True)
+            out["p"], out["q"] = (pd.Series([x[j] for x in long], dtype=object) for j in (1, 2))
+            out["d"] = pd.Series([whole(pdf["d"].iloc[i]) for i, _, _ in long], dtype=object)
+            plain = (pdf["d"] == 0).to_numpy()
+            found: list[tuple] = [(None,) * len(results)] * len(long)
+            groups: dict[tuple, list[int]] = {}
+            for at, (i, p, q) in enumerate(long):
+                if there[i] and p is not None and q is not None:
+                    groups.setdefault((p, q, bool(plain[i])), []).append(at)
+            for (p, q, constant), places in groups.items():
+                use = np.r_[([0] if constant else []), 1 : 1 + p, n : n + q].astype(int)
+                owners = [long[at][0] for at in places]
+                for at, i, (beta, rss) in zip(places, owners, solve_blocks(matrices[owners], use)):
+                    count = int(pdf["n_obs"].iloc[i])
                     if beta is None:
-                        rows.append((None, None, None, None, None))
+                        found[at] = (count, *((None,) * 5))
                         continue
-                    ar, ma = beta[1 : 1 + p], beta[1 + p :]
-                    start = beta[0] * std + mean * (1.0 - ar.sum())
+                    mean, std = pdf["_mean"].iloc[i], pdf["_std"].iloc[i]
+                    c, rest = (beta[0], beta[1:]) if constant else (0.0, beta)
+                    ar, ma = rest[:p], rest[p:]
+                    start = c * std + mean * (1.0 - ar.sum())
                     error = rss * std * std
-                    rows.append((error, error / count, start, ar.tolist(), ma.tolist()))
-                out = pd.DataFrame(rows, columns=["rss", "mse", "intercept", "ar", "ma"], index=same.index)
-                yield pd.concat([same[[*labels, "n_obs"]], out], axis=1)
+                    found[at] = (count, error, error / count, float(start), ar.tolist(), ma.tolist())
+            for j, name in enumerate(results):
+                out[name] = pd.Series([f[j] for f in found], dtype=object)
+            yield out[[*keys, "p", "d", "q", *results]]
 
     schema = T.StructType([
         *(innov.schema[k] for k in keys),
@@ -229,7 +286,7 @@ def arima_fit(
         T.StructField("ar", T.ArrayType(T.DoubleType())),
         T.StructField("ma", T.ArrayType(T.DoubleType())),
     ])
-    return join_on(moments, orders.select(*labels), by).mapInPandas(fit, schema)
+    return join_on(wanted, moments, by, "left").mapInPandas(fit, schema)
 
 
 def arima_grid_fit(innov: DataFrame, keys: Sequence[str], n: int = 6, position: str = "bin") -> DataFrame:
@@ -238,15 +295,13 @@ def arima_grid_fit(innov: DataFrame, keys: Sequence[str], n: int = 6, position:
 
 
 def best_order(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The fit of least MSE per series; on ties the first in the order of p, d, q."""
-    rank = F.struct("mse", "p", "d", "q")
+    """The fit of least MSE per series; on ties the first in the order of p, d, q.
+
+    A series without any fit has one row of NULLs.
+    """
+    rank = F.when(F.col("mse").isNotNull(), F.struct("mse", "p", "d", "q"))
     row = F.struct(*(c for c in fits.columns if c not in keys))
-    return (
-        fits.filter("mse is not null")
-        .groupBy(*keys)
-        .agg(F.min_by(row, rank).alias("_best"))
-        .select(*keys, "_best.*")
-    )
+    return fits.groupBy(*keys).agg(F.min_by(row, rank).alias("_best")).select(*keys, "_best.*")
 
 
 def fitted_values(

@@ -104,7 +104,8 @@ def pacf(series: DataFrame, keys: Sequence[str], value: str, max_lag: int, posit
 def significant_lags(
     series: DataFrame, keys: Sequence[str], value: str, max_lag: int, position: str = "bin"
 ) -> DataFrame:
-    """Lags after 0 before the first one inside the 95 % band, for ACF (Bartlett) and PACF.
+    """Lags after 0 before the first one inside the 95 % band, for ACF (Bartlett) and PACF; NULL if none of the
+    first max_lag lags is inside.
 
     The published procedure takes p from n_acf and q from n_pacf; textbooks do the reverse.
     """
@@ -120,7 +121,7 @@ def significant_lags(
             F.col(array),
             lambda values: F.filter(lags, lambda k: F.abs(F.element_at(values, k + 1)) <= band(k)),
         )
-        return F.coalesce(F.array_min(inside) - 1, F.lit(max_lag))
+        return F.array_min(inside) - 1
 
     return both.select(
         *keys,
@@ -253,21 +254,34 @@ def _augmented_rows(df: DataFrame, keys: Sequence[str], value: str, max_lag: int
     )
 
 
+def default_max_lag(n: Column) -> Column:
+    """Fixed rule of the usual test: 12 * (n / 100)^(1/4) lags at most, and fewer than half the rows."""
+    by_length = F.ceil(F.lit(12.0) * F.pow(n / F.lit(100.0), F.lit(0.25)))
+    return F.greatest(F.least(by_length, F.floor(n / 2) - 2), F.lit(0)).cast("int")
+
+
 def unit_root_augmented(
     series: DataFrame,
     keys: Sequence[str],
     value: str,
-    max_lag: int,
+    max_lag: int | None = None,
     choose: bool = True,
     position: str = "bin",
 ) -> DataFrame:
     """Augmented Dickey-Fuller test with a constant.
 
     With choose, the number of lagged differences 0..max_lag is the one of least AIC on the common
-    sample, and the statistic is computed on all rows which that number allows. Positions start at 0.
+    sample, and the statistic is computed on all rows which that number allows. Without max_lag each series has the
+    usual one of its length. Positions start at 0. Series too short or constant have NULL results.
     Only the moment matrices (one small row per series) reach Python.
     """
-    rows = _augmented_rows(series, keys, value, max_lag, position)
+    lengths = series.groupBy(*keys).agg(F.count(value).alias("_n"))
+    if max_lag is None:
+        limits = lengths.select(*keys, default_max_lag(F.col("_n")).alias("_limit"))
+        max_lag = limits.agg(F.max("_limit")).first()[0] or 0
+    else:
+        limits = lengths.select(*keys, F.lit(max_lag).alias("_limit"))
+    rows = join_on(_augmented_rows(series, keys, value, max_lag, position), limits, keys)
     variables = ["level", *(f"change{k}" for k in range(1, max_lag + 1)), "change0"]
     size = len(variables) + 1
     key_fields = [series.schema[k] for k in keys]
@@ -275,9 +289,9 @@ def unit_root_augmented(
         def best_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 used = []
-                for matrix, n in zip(square_matrices(pdf["moments"], size), pdf["n_obs"]):
+                for matrix, n, limit in zip(square_matrices(pdf["moments"], size), pdf["n_obs"], pdf["_limit"]):
                     scores = []
-                    for lags in range(max_lag + 1):
+                    for lags in range(limit + 1):
                         try:
                             rss = _dickey_fuller_fit(matrix, lags, n)[1]
                             scores.append(n * np.log(rss / n) + 2 * (2 + lags) if rss > 0 else -np.inf)
@@ -286,22 +300,23 @@ def unit_root_augmented(
                     used.append(int(np.argmin(scores)))
                 yield pdf[list(keys)].assign(used_lag=used)
 
-        complete = rows.filter(F.col(position) > max_lag)
-        chosen = cross_moments(complete, keys, variables).mapInPandas(
+        complete = rows.filter(F.col(position) > F.col("_limit")).fillna(0.0, subset=variables)
+        chosen = cross_moments(complete, [*keys, "_limit"], variables).mapInPandas(
             best_of, T.StructType([*key_fields, T.StructField("used_lag", T.IntegerType())])
         )
     else:
-        chosen = series.select(*keys).distinct().withColumn("used_lag", F.lit(max_lag))
+        chosen = limits.select(*keys, F.col("_limit").alias("used_lag"))
     allowed = join_on(rows, chosen, keys).filter(F.col(position) > F.col("used_lag"))
     # Lags beyond the chosen number are not read, so their missing leading values may count as 0.
-    full = cross_moments(allowed.fillna(0.0, subset=variables), [*keys, "used_lag"], variables)
+    full = cross_moments(allowed.dropna(subset=["level", "change0"]).fillna(0.0, subset=variables), [*keys, "used_lag"], variables)
 
     def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             stats = []
             for matrix, n, lags in zip(square_matrices(pdf["moments"], size), pdf["n_obs"], pdf["used_lag"]):
                 try:
-                    stats.append(_dickey_fuller_fit(matrix, lags, n)[0])
+                    stat = _dickey_fuller_fit(matrix, lags, n)[0] if n > 2 + lags else None
+                    stats.append(stat if stat is not None and np.isfinite(stat) else None)
                 except np.linalg.LinAlgError:
                     stats.append(None)
             yield pdf[[*keys, "used_lag", "n_obs"]].assign(stat=stats)
@@ -312,7 +327,7 @@ def unit_root_augmented(
         T.StructField("n_obs", T.LongType()),
         T.StructField("stat", T.DoubleType()),
     ])
-    return _with_verdict(full.mapInPandas(final, schema))
+    return _with_verdict(join_on(lengths.select(*keys), full.mapInPandas(final, schema), keys, "left"))
 
 
 def choose_d(
@@ -320,16 +335,17 @@ def choose_d(
     keys: Sequence[str],
     value: str,
     max_d: int,
-    max_lag: int = 0,
+    max_lag: int | None = 0,
     position: str = "bin",
 ) -> DataFrame:
     """Smallest d in 0..max_d whose lag-d difference rejects a unit root at 5 %; NULL when none does.
 
-    All d are tested in one pass. max_lag > 0 uses the augmented test with chosen lag number.
+    All d are tested in one pass. max_lag 0 is the plain test; more, or None for the usual number of the length, is the
+    augmented test with chosen lag number.
     """
     rows = lag_differences(series, keys, value, max_d, position)
     by = [*keys, "d"]
-    if max_lag:
+    if max_lag != 0:
         tests = unit_root_augmented(rows, by, "diff", max_lag, True, position)
     else:
         tests = unit_root(rows, by, "diff", position)

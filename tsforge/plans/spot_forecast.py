@@ -12,7 +12,6 @@ from tsforge.config import SpotConfig
 from tsforge.functions.numeric import price_to_double
 from tsforge.operators.arima import (
     arima_fit,
-    arima_grid_fit,
     best_order,
     fitted_values,
     forecast,
@@ -20,6 +19,7 @@ from tsforge.operators.arima import (
     information_criteria,
     innovations,
     model_compare,
+    order_grid,
 )
 from tsforge.operators.grid import fill_series, resample_mean
 from tsforge.operators.keys import join_on
@@ -28,6 +28,7 @@ from tsforge.operators.stats import choose_d, significant_lags
 from tsforge.session import cut_lineage
 
 VALUE = "spot_price"
+LONG_AR = 10
 
 
 @dataclass(frozen=True)
@@ -56,22 +57,23 @@ def daily_series(records: DataFrame, keys: Sequence[str], config: SpotConfig) ->
 def visual_orders(train: DataFrame, keys: Sequence[str], config: SpotConfig) -> DataFrame:
     """Orders read off the correlations (p from ACF, q from PACF) and the unit-root search (d)."""
     lags = significant_lags(train, keys, VALUE, config.max_lag)
-    d = choose_d(train, keys, VALUE, config.max_difference)
+    d = choose_d(train, keys, VALUE, config.max_difference, None)
     return join_on(lags, d, keys).select(
         *keys, F.col("n_acf").alias("p"), "d", F.col("n_pacf").alias("q")
     )
 
 
 def with_criteria(fits: DataFrame) -> DataFrame:
-    """AIC and BIC; parameters are intercept, variance and all coefficients."""
-    return information_criteria(fits, F.col("p") + F.col("q") + 2)
+    """AIC and BIC; parameters are variance, all coefficients and, for d = 0, the constant."""
+    return information_criteria(fits, F.col("p") + F.col("q") + 1 + (F.col("d") == 0).cast("int"))
 
 
 def run(records: DataFrame, keys: Sequence[str], config: SpotConfig) -> SpotForecast:
     """The whole comparison for every series at once.
 
     The binned means, the split series and the innovations are each read by several later steps, so
-    they are written to the shared folder once.
+    they are written to the shared folder once. Both models are fitted on one common sample, whatever their
+    orders, so that their criteria can be compared.
     """
     means = cut_lineage(daily_series(records, keys, config))
     series = fill_series(means, VALUE, keys)
@@ -79,19 +81,22 @@ def run(records: DataFrame, keys: Sequence[str], config: SpotConfig) -> SpotFore
     train = split.filter("split = 'train'").select(*keys, "bin", VALUE)
     horizon = split.groupBy(*keys).agg(F.count(F.when(F.col("split") == "test", F.lit(1))).alias("h"))
     orders = range(max(config.n_grid, config.max_difference + 1))
-    innov = cut_lineage(innovations(train, keys, VALUE, orders))
+    innov = cut_lineage(innovations(train, keys, VALUE, orders, LONG_AR))
 
-    visual_reach = config.max_lag + 1
-    visual = with_criteria(arima_fit(innov, visual_orders(train, keys, config), keys, visual_reach))
-    best = with_criteria(best_order(arima_grid_fit(innov, keys, config.n_grid), keys))
+    reach = max(config.max_lag + 1, config.n_grid)
+    first = LONG_AR + reach - 1 + max(orders)
+    grid = order_grid(train, keys, config.n_grid)
+    visual = with_criteria(arima_fit(innov, visual_orders(train, keys, config), keys, reach, first=first))
+    best = with_criteria(best_order(arima_fit(innov, grid, keys, reach, first=first), keys))
     visual, best = cut_lineage(visual), cut_lineage(best)
 
     models, errors = {}, None
-    for label, fits, reach in (("visual", visual, visual_reach), ("best", best, config.n_grid)):
+    every = split.select(*keys).distinct()
+    for label, fits in (("visual", visual), ("best", best)):
         usable = fits.filter("mse is not null")
         ahead = forecast(innov, usable, keys, horizon, reach)
         models[label] = (fitted_values(innov, usable, keys, VALUE, reach), ahead)
-        error = holdout_error(split, ahead, keys, VALUE).withColumn("model", F.lit(label))
+        error = join_on(every, holdout_error(split, ahead, keys, VALUE), keys, "left").withColumn("model", F.lit(label))
         errors = error if errors is None else errors.unionByName(error)
     comparison = model_compare(split, keys, VALUE, models)
     return SpotForecast(split, visual, best, comparison, errors)
