@@ -198,22 +198,29 @@ def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
     )
 
 
-def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts = batch.column(1), batch.column(2)
-        flat = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-        offsets = ids.offsets.to_numpy()
-        crcs = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
-        shas = [hashlib.sha256(t.as_py().encode()).hexdigest() for t in texts]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(crcs, pa.int64()), pa.array(shas)],
-            ["doc_id", "n_ids", "ids_crc32", "decoded_sha256"],
-        )
+def _round_trip_batches(path: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, model = word_pieces(path), piece_model(path)
+        for batch in batches:
+            rows = []
+            for text in batch.column(1):
+                ids = words.encode(text.as_py())
+                back = model.decode(memoryview(ids).cast("I"))
+                rows.append((len(ids) // 4, zlib.crc32(ids), hashlib.sha256(back.encode()).hexdigest()))
+            n, crcs, shas = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.int64()), pa.array(shas, pa.string())],
+                ["doc_id", "n_ids", "ids_crc32", "decoded_sha256"],
+            )
+
+    return run
 
 
 def round_trip(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
-    """doc_id, n_ids, ids_crc32 of the encoded text, decoded_sha256 of what the ids decode to."""
-    decoded = decode_pieces(encode_pieces(docs, model_path, text), model_path)
-    return decoded.mapInArrow(
-        _digest_batches, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string"
+    """doc_id, n_ids, ids_crc32 (of the ids as little-endian unsigned 32-bit integers) of the encoded text, and
+    decoded_sha256 of what these ids decode to; encoded and decoded in one pass."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
+    return rows.mapInArrow(
+        _round_trip_batches(model_path), "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string"
     )
