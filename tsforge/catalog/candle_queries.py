@@ -654,6 +654,16 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "sample_time",
+    f"""SELECT {KEYS_SQL}, CAST(start + sample_slot * 3600 AS BIGINT) AS sample_epoch
+        FROM samples_hour JOIN (SELECT instrument, session_date, min(timestamp) AS start FROM signals_hour
+                                GROUP BY 1, 2) USING (instrument, session_date)""",
+)
+def _(spark, sf_dir):
+    return _prepared(spark, sf_dir).samples.select(*_sample_keys(), "sample_epoch")
+
+
 @query(
     "feature_vectors",
     f"""SELECT {KEYS_SQL}, step * 5 + c AS at, round(CASE c

@@ -10,7 +10,7 @@ from tsforge.operators.calendar import align
 from tsforge.operators.grid import fill_series, regular_grid, resample_mean
 from tsforge.operators.position import chronological_split
 from tsforge.operators.windows import day_signals
-from tsforge.plans.candle_features import placed_signals
+from tsforge.plans.candle_features import DAY_START, placed_signals
 from tsforge.session import cut_lineage
 from tsforge.sources.candles import CandleStar
 from tsforge.sources.events import INTERVAL_SECONDS, bars_from_events
@@ -86,7 +86,7 @@ def aligned(spark: SparkSession, sf_dir: str, interval: str = "Hour") -> DataFra
 
 
 def placed(spark: SparkSession, sf_dir: str, config: PrepConfig = HOURLY) -> DataFrame:
-    return placed_signals(aligned(spark, sf_dir, config.interval_name), config)
+    return placed_signals(aligned(spark, sf_dir, config.interval_name), config).drop(DAY_START)
 
 
 def grid(spark: SparkSession, sf_dir: str, config: PrepConfig = HOURLY) -> DataFrame:

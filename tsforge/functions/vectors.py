@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A plug-in feature maps a look-back window to an array of the same length.
-ExtraFeature = Callable[[Column], Column]
+# A plug-in feature maps a look-back window and the number of its steps to an array of the same length.
+ExtraFeature = Callable[[Column, int], Column]
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -54,7 +54,7 @@ def standardise(v: Column, mean: Column, std: Column) -> Column:
     return let(pair, lambda m: F.transform(v, lambda x: F.try_divide(x - m["mean"], m["std"])))
 
 
-def one_step_change(v: Column) -> Column:
+def one_step_change(v: Column, steps: int | None = None) -> Column:
     """Change from the previous element inside the window; the first element gets 0."""
     shifted = F.concat(F.slice(v, 1, 1), F.slice(v, 1, F.size(v) - 1))
     return F.zip_with(v, shifted, lambda now, before: now - before)

@@ -49,18 +49,20 @@ def unscale(value: Column, mean: Column, std: Column) -> Column:
     return value * std + mean
 
 
-def with_extra_feature(df: DataFrame, extra: ExtraFeature = one_step_change) -> DataFrame:
-    """Add x_extra, a plug-in feature computed from each price window.
+def with_extra_feature(df: DataFrame, extra: ExtraFeature = one_step_change, steps: int | None = None) -> DataFrame:
+    """Add x_extra, a plug-in feature computed from each price window and its number of steps.
 
     The default stands in for a feature whose definition is not public: the change from step to
     step inside the window.
     """
-    return df.withColumn("x_extra", extra(F.col("x_price")))
+    return df.withColumn("x_extra", extra(F.col("x_price"), steps))
 
 
-def scale_samples(windows: DataFrame, extra: ExtraFeature = one_step_change) -> DataFrame:
+def scale_samples(
+    windows: DataFrame, extra: ExtraFeature = one_step_change, steps: int | None = None
+) -> DataFrame:
     """All scaled columns of a sample: channels, targets, path and the moments to undo them."""
-    df = with_extra_feature(windows, extra)
+    df = with_extra_feature(windows, extra, steps)
     arrays = {"price": "x_price", "volume": "x_volume", "extra": "x_extra", "path": "y_path"}
     df = with_moments(df, arrays)
     for name in ("price", "volume", "extra"):

@@ -46,10 +46,12 @@ def with_constants(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def day_signals(
-    sparse: DataFrame, signals: Sequence[str] = SIGNALS, keys: Sequence[str] = DAY_KEYS
+    sparse: DataFrame, signals: Sequence[str] = SIGNALS, keys: Sequence[str] = DAY_KEYS, keep: Sequence[str] = ()
 ) -> DataFrame:
     """One row per day with dense, interpolated signal arrays, straight from placed observations.
 
+    Columns in keep have one value a day and are carried along.
+
     Equal to regular_grid, interpolate_linear and collecting the slots, but each observation builds
     its own stretch up to the next one, so there is neither a spine nor a join. Observations must be
     known on every listed slot (length_consistent_days sees to that).
@@ -68,10 +70,10 @@ def day_signals(
         )
         return F.concat(F.array_repeat(here, F.col("_lead")), filled).alias(v)
 
-    stretches = rows.select(*keys, "slot", *(stretch(v) for v in signals))
+    stretches = rows.select(*keys, "slot", *keep, *(stretch(v) for v in signals))
     packed = F.sort_array(F.collect_list(F.struct("slot", *signals)))
-    return stretches.groupBy(*keys).agg(packed.alias("_d")).select(
-        *keys, *(F.flatten(F.col(f"_d.{v}")).alias(v) for v in signals)
+    return stretches.groupBy(*keys).agg(packed.alias("_d"), *(F.min(c).alias(c) for c in keep)).select(
+        *keys, *keep, *(F.flatten(F.col(f"_d.{v}")).alias(v) for v in signals)
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsforge.config import PrepConfig
@@ -25,6 +25,8 @@ from tsforge.operators.windows import (
 from tsforge.session import cut_lineage
 from tsforge.sources.candles import CandleStar, candle_scan
 
+DAY_START = "day_start"
+
 
 @dataclass(frozen=True)
 class CandleFeatures:
@@ -37,10 +39,14 @@ class CandleFeatures:
 
 
 def with_signals(aligned: DataFrame) -> DataFrame:
-    """Aligned rows of consistent days with the four signals that get windows."""
+    """Aligned rows of consistent days with the four signals that get windows, and the epoch of the day's slot 0."""
+    day = Window.partitionBy(*DAY_KEYS).orderBy("timestamp").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
     return length_consistent_days(spread_days(aligned)).select(
         *DAY_KEYS,
         "timestamp",
+        F.min("timestamp").over(day).alias(DAY_START),
         F.col("lhc").alias("price"),
         "volume",
         day_sine("timestamp").alias("sine"),
@@ -49,7 +55,7 @@ def with_signals(aligned: DataFrame) -> DataFrame:
 
 
 def placed_signals(aligned: DataFrame, config: PrepConfig) -> DataFrame:
-    return place_on_slots(with_signals(aligned), SIGNALS, config.seconds_divisor, config.slot_rule)
+    return place_on_slots(with_signals(aligned), (*SIGNALS, DAY_START), config.seconds_divisor, config.slot_rule)
 
 
 def chosen_samples(days: DataFrame, config: PrepConfig) -> DataFrame:
@@ -74,7 +80,7 @@ def chosen_samples(days: DataFrame, config: PrepConfig) -> DataFrame:
 def feature_samples(
     days: DataFrame, index: DataFrame, config: PrepConfig, extra: ExtraFeature = one_step_change
 ) -> DataFrame:
-    """Scaled windows of the chosen samples.
+    """Scaled windows of the chosen samples; sample_epoch is the time of the first slot ahead.
 
     The chosen slots of a day travel to its arrays as one list, at most one entry per slot, so the
     arrays are shuffled once and windows are cut for kept samples only.
@@ -83,8 +89,11 @@ def feature_samples(
         F.collect_list(F.struct("sample_slot", "position", "split")).alias("_chosen")
     )
     samples = join_on(days, per_day, DAY_KEYS, spread=True).select(*days.columns, F.inline("_chosen"))
-    windows = cut_windows(samples, config.n_back, config.n_forward, keep=("position", "split"))
-    return scale_samples(with_lookahead_minmax(windows), extra)
+    # Slot k of a day lies k steps after its first bar, under either slot rule.
+    epoch = F.col(DAY_START) + F.col("sample_slot").cast("long") * config.seconds_divisor
+    timed = samples.withColumn("sample_epoch", epoch)
+    windows = cut_windows(timed, config.n_back, config.n_forward, keep=("sample_epoch", "position", "split"))
+    return scale_samples(with_lookahead_minmax(windows), extra, config.n_back)
 
 
 def prepare(
@@ -100,7 +109,7 @@ def prepare(
     written once to the shared folder instead of being computed twice.
     """
     aligned = align(bars, lookup, config.tz)
-    days = day_signals(placed_signals(aligned, config))
+    days = day_signals(placed_signals(aligned, config), keep=(DAY_START,))
     if materialise:
         days = cut_lineage(days)
     index = chosen_samples(days, config)
