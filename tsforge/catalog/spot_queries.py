@@ -229,6 +229,22 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "unit_root_one_lag",
+    """SELECT series, n_obs, round(b / sqrt((yy - b * vy - g * cy) / (n_obs - 3) * cc / (vv * cc - vc * vc)), 5) AS stat
+       FROM (SELECT *, (vy * cc - cy * vc) / (vv * cc - vc * vc) AS b, (cy * vv - vy * vc) / (vv * cc - vc * vc) AS g
+             FROM (SELECT series, CAST(count(*) AS BIGINT) AS n_obs, regr_sxx(y, v) AS vv, regr_sxx(y, c) AS cc,
+                          regr_syy(y, v) AS yy, regr_sxy(y, v) AS vy, regr_sxy(y, c) AS cy, regr_sxy(c, v) AS vc
+                   FROM (SELECT series, spot_price - lag(spot_price) OVER o AS y, lag(spot_price) OVER o AS v,
+                                lag(spot_price) OVER o - lag(spot_price, 2) OVER o AS c
+                         FROM spot_train WINDOW o AS (PARTITION BY series ORDER BY bin)) WHERE c IS NOT NULL
+                   GROUP BY 1))""",
+)
+def _(spark, sf_dir):
+    tests = unit_root_augmented(fx.train_of(_split(spark, sf_dir)), KEYS, VALUE, 1, choose=False)
+    return tests.select(*KEYS, "n_obs", r("stat", 5))
+
+
 @query("unit_root_augmented")
 def _(spark, sf_dir):
     return unit_root_augmented(fx.train_of(_split(spark, sf_dir)), KEYS, VALUE, LAGS)
@@ -394,6 +410,66 @@ def _(spark, sf_dir):
     return fits.select(*KEYS, n("p"), n("d"), "n_obs", single("mse"), slope.alias("slope"))
 
 
+def _small(spark, sf_dir):
+    """Split and residuals of a one-lag autoregression: orders up to one have a closed form to check against."""
+    split = _split(spark, sf_dir)
+    return split, cut_lineage(innovations(fx.train_of(split), KEYS, VALUE, range(2), 1))
+
+
+@query(
+    "arima_small_grid",
+    """SELECT series, CAST(p AS BIGINT) AS p, CAST(d AS BIGINT) AS d, CAST(q AS BIGINT) AS q, n_obs,
+              CAST(CAST(mse AS FLOAT) AS DOUBLE) AS mse, CASE WHEN p = 1 THEN round(a, 5) END AS ar,
+              CASE WHEN q = 1 THEN round(b, 5) END AS ma FROM small_fits""",
+)
+def _(spark, sf_dir):
+    fits = arima_grid_fit(_small(spark, sf_dir)[1], KEYS, 2)
+    ar, ma = (r(F.try_element_at(c, F.lit(1)), 5).alias(c) for c in ("ar", "ma"))
+    return fits.select(*KEYS, n("p"), n("d"), n("q"), "n_obs", single("mse"), ar, ma)
+
+
+@query(
+    "arima_small_best",
+    """SELECT series, CAST(best.p AS BIGINT) AS p, CAST(best.d AS BIGINT) AS d, CAST(best.q AS BIGINT) AS q,
+              CAST(CAST(best.mse AS FLOAT) AS DOUBLE) AS mse
+       FROM (SELECT series, arg_min({'p': p, 'd': d, 'q': q, 'mse': mse}, mse) AS best FROM small_fits GROUP BY 1)""",
+)
+def _(spark, sf_dir):
+    best = best_order(arima_grid_fit(_small(spark, sf_dir)[1], KEYS, 2), KEYS)
+    return best.select(*KEYS, n("p"), n("d"), n("q"), single("mse"))
+
+
+SMALL_ORDER = "p = 1 and d = 1 and q = 1"
+
+
+@query(
+    "arima_small_fitted",
+    """SELECT series, bin, round(spot_price - (w - (c + a * v + b * e1)), 2) AS fitted
+       FROM small_rows JOIN (SELECT * FROM small_fits WHERE p = 1 AND d = 1 AND q = 1) USING (series, d)""",
+)
+def _(spark, sf_dir):
+    innov = _small(spark, sf_dir)[1]
+    chosen = arima_grid_fit(innov, KEYS, 2).filter(SMALL_ORDER)
+    return fitted_values(innov, chosen, KEYS, VALUE, 2).select(*KEYS, "bin", r("fitted", 2))
+
+
+@query(
+    "arima_small_forecast",
+    """SELECT series, bin_end + k AS bin, k AS step,
+              round(y_end + (a * w_end + b * e_end) * (1 - power(a, k)) / (1 - a), 2) AS forecast
+       FROM (SELECT *, unnest(range(1, h + 1)) AS k
+             FROM (SELECT series, max(bin) AS bin_end, arg_max(w, bin) AS w_end, arg_max(e, bin) AS e_end,
+                          arg_max(spot_price, bin) AS y_end FROM small_rows WHERE d = 1 GROUP BY 1)
+             JOIN (SELECT series, a, b FROM small_fits WHERE p = 1 AND d = 1 AND q = 1) USING (series)
+             JOIN (SELECT series, count(*) AS h FROM spot_split WHERE split = 'test' GROUP BY 1) USING (series))""",
+)
+def _(spark, sf_dir):
+    split, innov = _small(spark, sf_dir)
+    chosen = arima_grid_fit(innov, KEYS, 2).filter(SMALL_ORDER)
+    ahead = forecast(innov, chosen, KEYS, fx.horizon_of(split), 2)
+    return ahead.select(*KEYS, "bin", n("step"), r("forecast", 2))
+
+
 @query("arima_best_order")
 def _(spark, sf_dir):
     return best_order(arima_grid_fit(_innov(spark, sf_dir), KEYS), KEYS)

@@ -271,6 +271,28 @@ SHARED: dict[str, str] = {
               JOIN ar1_fits USING (series, d)
               JOIN (SELECT series, count(*) AS h FROM spot_split WHERE split = 'test' GROUP BY 1)
                    USING (series))""",
+    # ARIMA with at most one lag of either kind, two-step regression in closed form; no constant for d = 1.
+    "small_rows": """
+        SELECT * FROM (SELECT *, lag(e) OVER (PARTITION BY series, d ORDER BY bin) AS e1
+                       FROM (SELECT series, d, bin, spot_price, w, v, w - (intercept + slope * v) AS e
+                             FROM ar1_rows JOIN ar1_fits USING (series, d) WHERE d < 2))
+        WHERE e1 IS NOT NULL""",
+    "small_sums": """
+        SELECT series, d, mw, mv, me, CAST(count(*) AS BIGINT) AS n_obs,
+               sum((w - mw) * (w - mw)) AS yy, sum((v - mv) * (v - mv)) AS vv, sum((e1 - me) * (e1 - me)) AS ee,
+               sum((w - mw) * (v - mv)) AS vy, sum((w - mw) * (e1 - me)) AS ey, sum((v - mv) * (e1 - me)) AS ve
+        FROM small_rows JOIN (SELECT series, d, CASE WHEN d = 0 THEN avg(w) ELSE 0.0 END AS mw,
+                                     CASE WHEN d = 0 THEN avg(v) ELSE 0.0 END AS mv,
+                                     CASE WHEN d = 0 THEN avg(e1) ELSE 0.0 END AS me
+                              FROM small_rows GROUP BY 1, 2) USING (series, d)
+        GROUP BY series, d, mw, mv, me""",
+    "small_fits": """
+        SELECT series, p, d, q, n_obs, a, b, mw - a * mv - b * me AS c, (yy - a * vy - b * ey) / n_obs AS mse
+        FROM (SELECT *, p, q, CASE WHEN p = 0 THEN 0.0 WHEN q = 0 THEN vy / vv
+                                   ELSE (vy * ee - ey * ve) / (vv * ee - ve * ve) END AS a,
+                     CASE WHEN q = 0 THEN 0.0 WHEN p = 0 THEN ey / ee
+                          ELSE (ey * vv - vy * ve) / (vv * ee - ve * ve) END AS b
+              FROM small_sums, range(2) x(p), range(2) y(q))""",
 }
 
 RECURSIVE = {"levinson"}
