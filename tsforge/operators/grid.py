@@ -19,19 +19,19 @@ from tsforge.functions.clock import SECONDS_PER_DAY, epoch_seconds, utc_wall_tim
 from tsforge.functions.numeric import whole_steps
 from tsforge.operators.keys import join_on, key
 from tsforge.operators.lags import BLOCK
+from tsforge.session import task_count
 
 DAY_KEYS = ("instrument", "session_date")
 
 
 def spread_days(rows: DataFrame, keys: Sequence[str] = DAY_KEYS) -> DataFrame:
-    """Partition by day into the configured number of shuffle partitions.
+    """Partition by day into as many partitions as the input's size asks for.
 
     The steps that follow multiply each row (slots, then windows). Adaptive execution would merge
     partitions by the small size before that; an explicit number is left alone. All day operators
     work on this partitioning without another shuffle.
     """
-    wanted = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(wanted, *keys)
+    return rows.repartition(task_count(rows), *keys)
 
 
 def length_consistent_days(aligned: DataFrame, keys: Sequence[str] = DAY_KEYS) -> DataFrame:

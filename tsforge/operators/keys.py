@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tsforge.session import task_count
+
 
 def key(columns: Sequence[str]) -> Column:
     """The columns as one value. Structs are equal when their NULL fields agree."""
@@ -20,13 +22,13 @@ def join_on(
 
     The key is never NULL, so the optimiser adds no filter to one side only, and two branches of the
     same source stay equal and share their scan and shuffle. With spread both sides are partitioned
-    into the configured number of shuffle partitions, which adaptive execution leaves alone: for
-    joins whose small result is multiplied afterwards.
+    into a number of partitions that follows the input's size and that adaptive execution leaves alone:
+    for joins whose small result is multiplied afterwards.
     """
     rest = [c for c in right.columns if c not in keys]
     left_keyed = left.withColumn("_key", key(keys))
     right_keyed = right.select(key(keys).alias("_key"), *rest)
     if spread:
-        wanted = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        wanted = max(task_count(left), task_count(right))
         left_keyed, right_keyed = left_keyed.repartition(wanted, "_key"), right_keyed.repartition(wanted, "_key")
     return left_keyed.join(right_keyed, "_key", how).drop("_key")

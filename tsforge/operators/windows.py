@@ -88,7 +88,7 @@ def collect_day_signals(
 
 
 def sample_index(
-    days: DataFrame, n_back: int, n_forward: int, tail_guard: int | None = None, signal: str = "price"
+    days: DataFrame, n_back: int, n_forward: int, tail_guard: int | None = None, n_slots: Column | None = None
 ) -> DataFrame:
     """One row per sample: sample_slot is the first look-ahead slot of a window.
 
@@ -96,7 +96,7 @@ def sample_index(
     has tail_guard = n_back; 0 gives every complete window.
     """
     guard = n_back if tail_guard is None else tail_guard
-    last = F.size(signal) - guard - n_forward - 1
+    last = (F.size("price") if n_slots is None else n_slots) - guard - n_forward - 1
     return days.filter(last >= n_back).withColumn(
         "sample_slot", F.explode(F.sequence(F.lit(n_back), last))
     )

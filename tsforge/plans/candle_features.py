@@ -22,10 +22,10 @@ from tsforge.operators.windows import (
     sample_index,
     with_lookahead_minmax,
 )
-from tsforge.session import cut_lineage
+from tsforge.session import stored
 from tsforge.sources.candles import CandleStar, candle_scan
 
-DAY_START = "day_start"
+DAY_START, N_SLOTS = "day_start", "n_slots"
 
 
 @dataclass(frozen=True)
@@ -61,13 +61,15 @@ def placed_signals(aligned: DataFrame, config: PrepConfig) -> DataFrame:
 def chosen_samples(days: DataFrame, config: PrepConfig) -> DataFrame:
     """Key, position and split of every sample that is kept, before any window is cut."""
     keys = [*DAY_KEYS, "sample_slot"]
-    index = sample_index(days, config.n_back, config.n_forward, config.guard).select(*keys)
+    # Lengths only: of stored days no array is read here.
+    days = days.select(*DAY_KEYS, N_SLOTS)
+    index = sample_index(days, config.n_back, config.n_forward, config.guard, F.col(N_SLOTS)).select(*keys)
     if config.shuffle_it:
         placed = seeded_shuffle(index, config.seed, keys)
     else:
         placed = global_position(index, ["session_date", "instrument"], ["sample_slot"])
     windows = F.greatest(
-        F.size("price") - config.guard - config.n_forward - config.n_back, F.lit(0)
+        F.col(N_SLOTS) - config.guard - config.n_forward - config.n_back, F.lit(0)
     ).cast("long")
     total = days.agg(F.coalesce(F.sum(windows), F.lit(0).cast("long")).alias("n"))
     if config.reduce_vector_sizes:
@@ -88,6 +90,7 @@ def feature_samples(
     per_day = index.groupBy(*DAY_KEYS).agg(
         F.collect_list(F.struct("sample_slot", "position", "split")).alias("_chosen")
     )
+    days = days.drop(N_SLOTS)
     samples = join_on(days, per_day, DAY_KEYS, spread=True).select(*days.columns, F.inline("_chosen"))
     # Slot k of a day lies k steps after its first bar, under either slot rule.
     epoch = F.col(DAY_START) + F.col("sample_slot").cast("long") * config.seconds_divisor
@@ -109,9 +112,9 @@ def prepare(
     written once to the shared folder instead of being computed twice.
     """
     aligned = align(bars, lookup, config.tz)
-    days = day_signals(placed_signals(aligned, config), keep=(DAY_START,))
+    days = day_signals(placed_signals(aligned, config), keep=(DAY_START,)).withColumn(N_SLOTS, F.size("price"))
     if materialise:
-        days = cut_lineage(days)
+        days = stored(days, "days")
     index = chosen_samples(days, config)
     samples = feature_tensor(feature_samples(days, index, config, extra))
     return CandleFeatures(aligned, days, index, samples)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -51,3 +52,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared folder once, so that later steps neither recompute it nor lose it."""
     shared_root(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written once as Parquet below the shared folder and read back: unlike a checkpoint, it can be read by column."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Size of the tables that df reads, where Spark knows it; unknown sizes count as 0."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return sum(x for x in sizes if x < 1 << 60)
+
+
+def task_count(df: DataFrame, bytes_per_task: int = 64 << 20) -> int:
+    """Partitions for a shuffle of df: the session's number, or more where its input asks for it."""
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(configured, math.ceil(input_bytes(df) / bytes_per_task))
