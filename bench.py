@@ -16,20 +16,20 @@ from tsforge.plans.candle_features import prepare
 from tsforge.session import local_session
 
 
-def feature_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+def feature_tensor_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The published geometry: minute bars, 120 steps back, 15 ahead, every 30th sample."""
     return prepare(fx.bars(spark, sf_dir, "Minute"), fx.shift_lookup(spark), PrepConfig()).samples
 
 
-def feature_tensor_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def feature_tensor_minute_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with every sample kept."""
     config = PrepConfig(reduce_vector_sizes=False)
     return prepare(fx.bars(spark, sf_dir, "Minute"), fx.shift_lookup(spark), config).samples
 
 
 HEADLINE = {
-    "feature_tensor": feature_tensor,
-    "feature_tensor_all": feature_tensor_all,
+    "feature_tensor_minute": feature_tensor_minute,
+    "feature_tensor_minute_all": feature_tensor_minute_all,
     **{
         name: QUERIES[name]
         for name in (
