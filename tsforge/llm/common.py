@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import sys
+import time
 import types
 from collections.abc import Callable, Sequence
 from typing import Any
@@ -11,7 +13,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsforge.session import scratch_path
+from tsforge.session import scratch_path, stored, task_count
+
+__all__ = [
+    "discard", "ranked", "release", "scratch_path", "small_batches", "stored", "table", "task_count", "text_or_empty", "worker_state",
+]
 
 #: Rows in one Arrow batch on the way to Python: whole texts are wide, so the default of 10,000 is too many.
 BATCH_ROWS = 500
@@ -28,21 +34,21 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written once to the shared folder and read back: cut lineage that survives lost executors."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+def discard(table: DataFrame) -> None:
+    """Delete the files of a stored table that nothing reads any more."""
+    spark, files = table.sparkSession, table.inputFiles()
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
-def task_count(df: DataFrame, bytes_per_task: int = 64 << 20) -> int:
-    """Partitions for a shuffle of df: the session's number, or more where the input's size asks for it.
 
-    Spark knows the size of files; where it does not know a size it tells an absurdly large one.
-    """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    known = size if size < 1 << 60 else 0
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(known / bytes_per_task))
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps now: it does so when their plans are collected as garbage,
+    which on a driver with memory to spare may be long after a stored result has replaced them."""
+    for _ in range(2):  # plans first, then what only they held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def worker_state(name: str, build: Callable[[], Any]) -> Any:
