@@ -15,11 +15,11 @@ from array import array
 
 from tsforge.llm.common import worker_state
 
-CACHED_WORDS = 250_000
+CACHED_WORDS = 500_000
 CACHED_LENGTH = 48
 
-#: White space that is neither a lone space nor a lone newline.
-_UNEVEN = re.compile(r"\s\s|[^\S \n]")
+#: White space other than space and newline.
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Beyond Latin letters normal forms and lower case may depend on neighbours.
 _NOT_PLAIN = re.compile("[İɐ-\U0010ffff]")
 _ENDS = frozenset(".,;:!?")
@@ -35,6 +35,12 @@ def _byte_characters() -> dict[int, str]:
     return table
 
 
+def _uneven(text: str) -> bool:
+    """Whether white space is anything but lone spaces and lone newlines."""
+    doubled = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+    return doubled or _OTHER_SPACE.search(text) is not None
+
+
 class WordIds(dict):
     """Ids (packed little-endian) by word; keeps the recent two generations of a bounded number of words."""
 
@@ -117,7 +123,7 @@ class WordIds(dict):
             return b"".join([self[p] for p in text.lower().replace("\n", " ").split(" ")])
         if self.kind == "whole":
             return self._whole(text)
-        if _UNEVEN.search(text) or "\r" in text:
+        if _uneven(text):
             return b"".join([self["\r" + p] for p in _SAFE_CUT.split(text)])
         parts = text.replace("\n", " \n").split(" ")
         head = self["\r" + parts[0]] if parts[0] else b""
