@@ -17,7 +17,6 @@ comes before all others; of different texts under one doc_id the order is that o
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tsforge.llm.common import small_batches, stored, text_or_empty
+from tsforge.llm.common import discard, release, small_batches, stored, text_or_empty
 from tsforge.llm.words import LOWER, mix, word_hashes
 
 MIN_SENTENCES = 2
@@ -34,30 +33,28 @@ MIN_WORDS = 30
 LONG_SENTENCE = 16
 CUT_EVERY = 6
 
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_ENDS = frozenset(b".!?")
-_PAUSES = frozenset(b",;:")
+_ENDS, _PAUSES = (np.isin(np.arange(256), list(signs)) for signs in (b".!?", b",;:"))
 _ODD_FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
 def sentences(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a UTF-8 text: hash and first byte of each word, first word of each sentence (and the number of words)."""
-    found = list(_WORD.finditer(raw))
-    if not found:
+    data = np.frombuffer(raw, np.uint8)
+    blank = np.ones(len(data) + 2, np.int8)
+    blank[1:-1] = (data == 32) | ((data >= 9) & (data <= 13))
+    starts, ends = np.flatnonzero(np.diff(blank)).reshape(-1, 2).T
+    if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
     hashed = word_hashes().of(raw.translate(LOWER).split())
-    starts = np.fromiter((m.start() for m in found), np.int64, len(found))
-    ends = np.fromiter((m.end() for m in found), np.int64, len(found))
-    data = np.frombuffer(raw, np.uint8)
     last = data[ends - 1]
-    stop = np.isin(last, list(_ENDS))
+    stop = _ENDS[last]
     breaks = np.cumsum(data == 10)
     stop[:-1] |= breaks[ends[:-1] - 1] != breaks[starts[1:]]
     stop[-1] = True
     whole = np.flatnonzero(stop) + 1
     lengths = np.diff(np.concatenate(([0], whole)))
     long = np.repeat(lengths > LONG_SENTENCE, lengths)
-    finer = np.isin(last, list(_PAUSES)) | (mix(hashed) % np.uint64(CUT_EVERY) == 0)
+    finer = _PAUSES[last] | (mix(hashed) % np.uint64(CUT_EVERY) == 0)
     firsts = np.concatenate(([0], np.flatnonzero(stop | (long & finer)) + 1))
     return hashed, starts, firsts[:-1], firsts
 
@@ -115,15 +112,30 @@ def _mark(text: str) -> Column:
 
 
 def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, place (mark of the text plus first sentence): every span that occurred before."""
-    small_batches(docs.sparkSession)
+    """_key (doc_id and mark of a text), _firsts: first sentences of all its spans that occurred before."""
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(text_or_empty(text).alias("_text"), _doc_id(), _mark(text).alias("mark"))
     found = stored(rows.mapInArrow(_span_batches, "doc_id long, place long, h1 long, h2 long"), "spans")
     at = F.struct("doc_id", "place")
-    # A span that occurs once has one place; repeated rows have the same places.
-    counted = found.groupBy("h1", "h2").agg(F.min(at).alias("low"), F.max(at).alias("high"))
-    again = counted.filter("low <> high").select("h1", "h2", "low")
-    return found.join(again, ["h1", "h2"]).filter(~at.eqNullSafe(F.col("low"))).select("doc_id", "place")
+    # Half the hash finds the spans that may recur: most do not, and only the others go on with both halves.
+    halves = stored(found.groupBy("h1").agg(F.count("*").alias("times")).filter("times > 1").select("h1"), "halves")
+    release(spark)
+    some = stored(found.join(halves, "h1", "left_semi"), "recurring")
+    discard(found)
+    release(spark)
+    # Spans of repeated rows share their places, so that none of them lies after the first.
+    counted = some.groupBy("h1", "h2").agg(F.min(at).alias("low"), F.count("*").alias("times"))
+    again = counted.filter("times > 1").select("h1", "h2", "low")
+    later = some.join(again, ["h1", "h2"]).filter(~at.eqNullSafe(F.col("low"))).select("doc_id", "place")
+    number = F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
+    key = F.struct("doc_id", (F.col("place") - number).alias("mark")).alias("_key")
+    hits = later.groupBy(key).agg(F.collect_set(number.cast("int")).alias("_firsts"))  # sentences of one text
+    hits = stored(hits, "hits")
+    discard(some)
+    del found, halves, some, counted, again, later
+    release(spark)
+    return hits
 
 
 def covered(hashed: np.ndarray, bounds: np.ndarray, firsts: list[int]) -> np.ndarray:
@@ -170,11 +182,7 @@ def _removal_batches(names: list[str], text: str) -> Callable:
 
 def cleaned(docs: DataFrame, text: str = "text") -> DataFrame:
     """All rows and columns of docs with the text cleaned, and _n_removed, _removed_bytes ([from, to) in UTF-8)."""
-    places = repeated_spans(docs, text)
-    low = F.lit((1 << 32) - 1)
-    hits = places.groupBy(F.struct("doc_id", (F.col("place") - F.col("place").bitwiseAND(low)).alias("mark")).alias("_key")).agg(
-        F.collect_set(F.col("place").bitwiseAND(low).cast("int")).alias("_firsts")  # sentences of one text
-    )
+    hits = repeated_spans(docs, text)
     found = docs.withColumn("_key", F.struct(_doc_id(), _mark(text).alias("mark"))).join(hits, "_key", "left")
     schema = T.StructType([*docs.schema.fields]).add("_n_removed", T.IntegerType())
     schema = schema.add("_removed_bytes", T.ArrayType(T.ArrayType(T.LongType())))
