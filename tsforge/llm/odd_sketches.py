@@ -1,18 +1,23 @@
 """Near duplicates: MinHash bands for candidates, odd sketches to verify them, full sets to confirm.
 
 1. Every whole text becomes its set of distinct word shingles (64-bit hashes). From the set come BANDS * ROWS MinHash
-   values, a key per band, and an odd sketch: each MinHash value flips one bit of a SKETCH_BITS bitmap, so the bits in
-   which two sketches differ count the samples in which the sets differ, and the estimate is sharpest for high
-   similarities. Texts with equal sets are one node from here on, however many there are.
+   values, a key per band, and two odd sketches, bitmaps in which every folded value flips one bit, so that the bits in
+   which two of them differ count where the sets differ: one of the MinHash values, which estimates the similarity of
+   sets of any size, and one of all shingles. The latter never differs in more bits than the sets do in shingles, so it
+   rejects only pairs that are surely not alike, and for sets up to some thousand shingles hardly any other is left.
+   Texts with equal sets are one node from here on, however many there are.
 2. Nodes that share a band key are candidates. In the first round each node is compared with the smallest node of each
    of its buckets, and only the pair with the closest sketches is confirmed: one pair per node. Confirmed links join
    nodes to components.
-3. In the second round all pairs of nodes that share a bucket but not yet a component are compared by their sketches,
-   in cells of a bounded number of nodes. Nothing is capped; pairs inside a component need no further look.
-4. Pairs that pass the sketches are confirmed on the full sets by integer arithmetic: 100 * |A and B| >= 80 * |A or B|.
+3. Then all pairs of nodes that share a bucket but not a component are compared by their sketches, in cells of a bounded
+   number of nodes. A cell gives out only pairs that join different components, one less than it holds components at
+   most. They are confirmed, components are joined, and the cells of those buckets look again, until no pair is left;
+   a node of which a pair has failed then gives out all its others. Nothing is capped: every pair of a bucket is alike,
+   is rejected by its sketches or on its full sets, or lies inside one component.
+4. Pairs are confirmed on the full sets by integer arithmetic: 100 * |A and B| >= 80 * |A or B|.
 
-With 40 bands of 5 rows a pair at similarity 0.8 shares no band with probability 1.3e-7; the sketch threshold lies six
-standard deviations below 0.8.
+With 40 bands of 5 rows a pair at similarity 0.8 shares no band with probability 1.3e-7; the limit on the MinHash sketch
+lies six standard deviations below 0.8.
 
 Defined cases: a text with fewer words than a shingle is one shingle; NULL, empty and blank texts have no shingles and
 no links; a row's component_id is the smallest doc_id of its component (rows without doc_id count only if it has no
@@ -31,12 +36,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsforge.llm.common import small_batches, stored, text_or_empty
+from tsforge.llm.common import discard, release, small_batches, stored, text_or_empty
 from tsforge.llm.components import components
 from tsforge.llm.words import mix, shingles
 
 BANDS, ROWS = 40, 5
 SKETCH_BITS = 512
+PARITY_BITS = 2_048
+MAX_ROUNDS = 100
 THRESHOLD = 80  # per cent
 SURELY_BELOW = 0.62  # estimated similarity under which a pair is not confirmed
 CELL = 256
@@ -78,6 +85,12 @@ def odd_sketch(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     return np.packbits(parity, bitorder="little").view(np.int64)
 
 
+def parity_of(hashed: np.ndarray, bits: int = PARITY_BITS) -> np.ndarray:
+    """Odd sketch of the whole set."""
+    parity = (np.bincount((hashed % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(parity, bitorder="little").view(np.int64)
+
+
 def most_differing(estimate: float, samples: int = BANDS * ROWS, bits: int = SKETCH_BITS) -> int:
     """Differing bits expected of two sketches at this similarity."""
     return math.floor(bits / 2 * (1 - math.exp(-4 * samples * (1 - estimate) / bits)))
@@ -86,7 +99,7 @@ def most_differing(estimate: float, samples: int = BANDS * ROWS, bits: int = SKE
 def _sketch_batches(k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, bands, sketches = [], [], [], []
+            n, keys, bands, sketches, parities = [], [], [], [], []
             for text in batch.column(1):
                 hashed = shingles(text.as_py(), k)
                 n.append(len(hashed))
@@ -95,17 +108,17 @@ def _sketch_batches(k: int) -> Callable:
                     keys.append(set_key(hashed))
                     bands.append(band_keys(samples))
                     sketches.append(odd_sketch(samples))
+                    parities.append(parity_of(hashed))
                 else:
-                    keys.append(None)
-                    bands.append(None)
-                    sketches.append(None)
+                    for column in (keys, bands, sketches, parities):
+                        column.append(None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()),
                     pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
-                    pa.array(sketches, pa.list_(pa.int64())),
+                    pa.array(sketches, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "t1", "t2", "n", "node", "bands", "sketch"],
+                ["doc_id", "t1", "t2", "n", "node", "bands", "sketch", "parity"],
             )
 
     return run
@@ -155,8 +168,7 @@ def _confirm_batches(threshold: int) -> Callable:
 
 
 def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, threshold: int, text: str) -> DataFrame:
-    """Those pairs (u, v) whose full sets are alike. A node's set is made again from one of its texts."""
-    pairs = stored(pairs.distinct(), "pairs")
+    """Those of the stored, distinct pairs (u, v) whose full sets are alike. A set is made again from one of its texts."""
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     ids = wanted.join(nodes.select("node", "doc_id"), "node").select(F.col("node").alias("wanted"), "doc_id")
     texts = docs.select(F.struct("doc_id").alias("_key"), text_or_empty(text).alias("_text"))
@@ -171,9 +183,11 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, thresho
         partners.select("u", F.col("node").alias("v"), "shingles", "chunk")
     )
     dealt = rows.repartition("u", "chunk").sortWithinPartitions("u", "chunk", F.asc_nulls_first("v"))
-    return stored(
-        dealt.select("u", "v", "shingles").mapInArrow(_confirm_batches(threshold), "u binary, v binary").distinct(), "links"
-    )
+    links = dealt.select("u", "v", "shingles").mapInArrow(_confirm_batches(threshold), "u binary, v binary")
+    links = stored(links.distinct(), "links")
+    discard(sets)
+    release(docs.sparkSession)
+    return links
 
 
 def _differing(a: str, b: str) -> Column:
@@ -184,6 +198,11 @@ def _differing(a: str, b: str) -> Column:
     return total
 
 
+def _parity_differing(a: str, b: str) -> Column:
+    counts = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long"))
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
+
+
 def _sizes_allow(a: str, b: str, threshold: int) -> Column:
     return 100 * F.least(a, b) >= threshold * F.greatest(a, b)
 
@@ -198,47 +217,83 @@ def _first_pairs(nodes: DataFrame, members: DataFrame, threshold: int, limit: in
     scored = met.join(own, "node").join(other, "leader").filter(_sizes_allow("n1", "n2", threshold))
     scored = scored.withColumn("apart", _differing("s1", "s2")).filter(F.col("apart") <= limit)
     best = scored.groupBy("node").agg(F.min(F.struct("apart", "leader")).alias("best"))
-    return best.select(F.col("best.leader").alias("u"), F.col("node").alias("v"))
+    pair = best.select(F.least("best.leader", "node").alias("u"), F.greatest("best.leader", "node").alias("v")).distinct()
+    sides = [
+        nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"p_{x}")) for x in "uv"
+    ]
+    return pair.join(sides[0], "u").join(sides[1], "v").filter(
+        _parity_differing("p_u", "p_v") * (100 + threshold) <= (100 - threshold) * (F.col("n_u") + F.col("n_v"))
+    ).select("u", "v")
 
 
 def _cell_batches(threshold: int, limit: int) -> Callable:
-    bits = np.array([bin(i).count("1") for i in range(65_536)], np.uint16)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            us: list[bytes] = []
-            vs: list[bytes] = []
-            for row in batch.column(0):
-                cell = row.as_py()
-                n = np.array([x["n"] for x in cell])
-                side = np.array([x["side"] for x in cell])
-                label = np.unique([x["label"] for x in cell], return_inverse=True)[1]
-                sketch = np.array([x["sketch"] for x in cell], np.int64).view(np.uint16)
-                for i in range(len(cell) - 1):
-                    later = np.arange(i + 1, len(cell))
-                    # In a cell of two blocks only pairs across them: pairs inside have their own cell.
-                    keep = (label[later] != label[i]) & ((side[later] != side[i]) | (side[i] < 0))
-                    keep &= 100 * np.minimum(n[later], n[i]) >= threshold * np.maximum(n[later], n[i])
-                    later = later[keep]
-                    if len(later):
-                        apart = bits[sketch[later] ^ sketch[i]].sum(axis=1)
-                        for j in later[apart <= limit]:
-                            a, b = sorted((cell[i]["node"], cell[j]["node"]))
-                            us.append(a)
-                            vs.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
+            buckets, us, vs = [], [], []
+            for bucket, row in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for a, b in joining_pairs(row.as_py(), threshold, limit):
+                    buckets.append(bucket)
+                    us.append(a)
+                    vs.append(b)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(buckets, pa.int64()), pa.array(us, pa.binary()), pa.array(vs, pa.binary())],
+                ["bucket", "u", "v"],
+            )
 
     return run
 
 
-def _second_pairs(nodes: DataFrame, members: DataFrame, labels: DataFrame, threshold: int, limit: int) -> DataFrame:
-    """All pairs of a bucket that lie in different components, by their sketches."""
+def joining_pairs(cell: list[dict], threshold: int, limit: int) -> list[tuple[bytes, bytes]]:
+    """Pairs of a cell that its sketches allow and that join its components, each pair two that were apart before.
+
+    Where a pair of a node has failed in an earlier round, all other pairs of that node are given out.
+    """
+    n = np.array([x["n"] for x in cell])
+    side = np.array([x["side"] for x in cell])
+    label = np.unique([x["label"] for x in cell], return_inverse=True)[1]
+    sketch = np.array([x["sketch"] for x in cell], np.int64).view(np.uint64)
+    parity = np.array([x["parity"] for x in cell], np.int64).view(np.uint64)
+    place = {x["node"]: i for i, x in enumerate(cell)}
+    out = []
+    for i, own in enumerate(cell[:-1]):
+        later = np.arange(i + 1, len(cell))
+        # In a cell of two blocks only pairs across them: pairs inside a block have a cell of their own.
+        keep = (label[later] != label[i]) & ((side[later] != side[i]) | (side[i] < 0))
+        keep &= 100 * np.minimum(n[later], n[i]) >= threshold * np.maximum(n[later], n[i])
+        later = later[keep]
+        if len(later):
+            # Alike sets differ in (100 - t) / (100 + t) of the sum of their sizes at most.
+            apart = np.bitwise_count(parity[later] ^ parity[i]).sum(axis=1, dtype=np.int64)
+            later = later[apart * (100 + threshold) <= (100 - threshold) * (n[later] + n[i])]
+        if len(later):
+            later = later[np.bitwise_count(sketch[later] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= limit]
+        failed = [place[x] for x in own["failed"] or () if x in place] if len(later) else []
+        if failed:
+            later = later[~np.isin(later, failed)]
+            out += [tuple(sorted((own["node"], cell[j]["node"]))) for j in later]
+            continue
+        while len(later):
+            j = int(later[0])
+            out.append(tuple(sorted((own["node"], cell[j]["node"]))))
+            label[label == label[j]] = label[i]
+            later = later[label[later] != label[i]]
+    return out
+
+
+def _next_pairs(
+    nodes: DataFrame, members: DataFrame, labels: DataFrame, failed: DataFrame, threshold: int, limit: int
+) -> DataFrame:
+    """bucket, u, v: nodes that share a bucket, lie in different components and may be alike; not all that join the same
+    two components."""
     named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = named.groupBy("bucket").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")
     )
     mixed = mixed.filter("low <> high").select("bucket", F.ceil(F.col("size") / CELL).cast("int").alias("blocks"))
-    dealt = named.join(mixed, "bucket").join(nodes.select("node", "n", "sketch"), "node")
+    both = failed.select(F.col("u").alias("node"), "v").union(failed.select("v", "u"))
+    known = both.groupBy("node").agg(F.collect_set("v").alias("failed"))  # of one node; narrow
+    facts = nodes.select("node", "n", "sketch", "parity").join(known, "node", "left")
+    dealt = named.join(mixed, "bucket").join(facts, "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # A block meets every other block of its bucket, and itself.
     dealt = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -247,12 +302,12 @@ def _second_pairs(nodes: DataFrame, members: DataFrame, labels: DataFrame, thres
     ).agg(
         F.collect_list(  # some 2 * CELL nodes
             F.struct(
-                "node", "label", "n", "sketch",
+                "node", "label", "n", "sketch", "parity", "failed",
                 F.when(F.col("block") == F.col("other"), -1).otherwise(F.col("block")).alias("side"),
             )
         ).alias("cell")
     )
-    return cells.select("cell").mapInArrow(_cell_batches(threshold, limit), "u binary, v binary").distinct()
+    return cells.select("bucket", "cell").mapInArrow(_cell_batches(threshold, limit), "bucket long, u binary, v binary")
 
 
 def _row_key(text: str) -> list[Column]:
@@ -267,21 +322,36 @@ def _decided(docs: DataFrame, k: int, threshold: int, surely_below: float, text:
     small_batches(docs.sparkSession)
     doc_id, *hashes = _row_key(text)
     rows = docs.select(doc_id, text_or_empty(text).alias("_text"), *hashes)
-    schema = "doc_id long, t1 long, t2 long, n long, node binary, bands array<long>, sketch array<long>"
+    schema = (
+        "doc_id long, t1 long, t2 long, n long, node binary, bands array<long>, sketch array<long>, parity array<long>"
+    )
     signed = stored(rows.mapInArrow(_sketch_batches(k), schema), "sketches")
     nodes = stored(
         signed.filter("n > 0").groupBy("node").agg(
-            F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"),
-            F.first("sketch").alias("sketch"),
+            F.min("doc_id").alias("doc_id"),
+            *(F.first(c).alias(c) for c in ("n", "bands", "sketch", "parity")),
         ),
         "nodes",
     )
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     limit = most_differing(surely_below)
-    first = confirm(_first_pairs(nodes, members, threshold, limit), nodes, docs, k, threshold, text)
-    labels = stored(components(first), "labels")
-    second = confirm(_second_pairs(nodes, members, labels, threshold, limit), nodes, docs, k, threshold, text)
-    labels = components(first.union(second))
+    pairs = stored(_first_pairs(nodes, members, threshold, limit), "pairs")
+    links = failed = None
+    release(docs.sparkSession)
+    for _ in range(MAX_ROUNDS):
+        good = confirm(pairs, nodes, docs, k, threshold, text)
+        bad = pairs.join(good, ["u", "v"], "left_anti")
+        links, failed = (good, bad) if links is None else (links.union(good), failed.union(bad))
+        labels = stored(components(links), "labels")
+        found = stored(_next_pairs(nodes, members, labels, failed, threshold, limit), "bucket-pairs")
+        release(docs.sparkSession)
+        if found.isEmpty():
+            break
+        pairs = stored(found.select("u", "v").distinct(), "pairs")
+        # A bucket that gives no pair now never will: components only grow.
+        members = stored(members.join(found.select("bucket").distinct(), "bucket", "left_semi"), "open-buckets")
+    else:
+        raise RuntimeError(f"pairs are still left after {MAX_ROUNDS} rounds")
     grouped = nodes.select("node", "doc_id").join(labels, "node", "left")
     grouped = grouped.withColumn("label", F.coalesce("label", "node"))
     ids = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
