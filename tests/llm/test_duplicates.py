@@ -199,3 +199,38 @@ def test_spans_without_ids_and_of_nothing(spark):
     assert dict(rows)[None] == 0 and dict(rows)[3] > 0
     assert sentence_spans.remove_repeats(frame(spark, [])).count() == 0
     assert rows_of(sentence_spans.remove_repeats(frame(spark, [(1, None), (2, "")])).select("doc_id", "text")) == [(1, None), (2, "")]
+
+
+def every_run(docs):
+    """By all runs of sentences (texts whose sentences end with a full stop only): number of removed words by doc_id."""
+    seen, out = {}, {}
+    for i, t in sorted(docs):
+        parts = [s.split() for s in re.findall(r"[^.]+\.", t)]
+        gone = set()
+        for a in range(len(parts)):
+            for b in range(a + 2, len(parts) + 1):
+                run = tuple(w for s in parts[a:b] for w in s)
+                if len(run) >= 30:
+                    if seen.setdefault(run, (i, a)) != (i, a):
+                        gone |= set(range(a, b))
+        out[i] = sum(len(parts[s]) for s in gone)
+    return out
+
+
+def plain_sentences(seed, lengths):
+    rnd = random.Random(seed)
+    return [" ".join(f"w{seed}x{rnd.randrange(10**6)}" for _ in range(n)) + "." for n in lengths]
+
+
+def test_every_repeated_run_is_removed_whole(spark):
+    """Runs longer than the shortest span lose their last sentences too."""
+    passage = plain_sentences(1, [14, 12, 12, 13, 4])
+    docs = [(i, " ".join(plain_sentences(10 + i, [9, 40]) + passage + plain_sentences(20 + i, [35, 8]))) for i in range(2)]
+    rnd = random.Random(5)
+    pool = plain_sentences(2, [rnd.randint(1, 16) for _ in range(60)])
+    for i in range(10, 40):
+        at = rnd.randrange(50)
+        docs.append((i, " ".join(plain_sentences(100 + i, [7, 12]) + pool[at : at + rnd.randint(2, 10)] + plain_sentences(200 + i, [3]))))
+    rows = {r["doc_id"]: r["text"] for r in sentence_spans.cleaned(frame(spark, docs)).collect()}
+    got = {i: len(t.split()) - len(rows[i].split()) for i, t in docs}
+    assert got == every_run(docs) and got[1] == 55

@@ -2,8 +2,10 @@
 
 A text is cut into sentences after . ! ? and line ends. Sentences of more than LONG_SENTENCE words are cut further, after
 commas and at words chosen by their hash, so that a passage set into different surroundings is still cut at the same
-words inside. From every sentence on, the shortest run of at least MIN_SENTENCES sentences with at least MIN_WORDS words is
-one span; its 128-bit hash covers its words (A-Z lower-cased, white space aside). Spans are counted over the whole corpus;
+words inside. Every run of at least MIN_SENTENCES sentences with at least MIN_WORDS words counts. The shortest such run from
+each sentence on and the shortest one up to the end of each sentence are the spans, two a sentence at most: together those
+inside a longer run cover it, so that what any repeated run covers is found. A span's 128-bit hash covers its words (A-Z
+lower-cased, white space aside). Spans are counted over the whole corpus;
 the first occurrence, by (doc_id, place), stays and the sentences of every other occurrence are removed, with the
 white space after them. What no repeated span covers is not touched.
 
@@ -66,12 +68,14 @@ def _powers(factor: int, n: int) -> np.ndarray:
 
 
 def spans(hashed: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First sentence, end sentence and both hash halves (n x 2) of each span."""
+    """First sentence, end sentence and both hash halves (n x 2) of each span, in the order of first and end sentence."""
     n = len(bounds) - 1
-    first = np.arange(n)
-    end = np.maximum(np.searchsorted(bounds, bounds[:-1] + MIN_WORDS), first + MIN_SENTENCES)
-    there = end <= n
-    first, end = first[there], end[there]
+    place = np.arange(n + 1)
+    until = np.maximum(np.searchsorted(bounds, bounds + MIN_WORDS), place + MIN_SENTENCES)
+    since = np.minimum(np.searchsorted(bounds, bounds - MIN_WORDS, "right") - 1, place - MIN_SENTENCES)
+    onward, back = until <= n, since >= 0
+    pairs = np.concatenate((place[onward] * (n + 1) + until[onward], since[back] * (n + 1) + place[back]))
+    first, end = np.divmod(np.unique(pairs), n + 1)
     halves = []
     for factor in _ODD_FACTORS:
         # Sum of word * factor^place, all modulo 2^64; an odd factor has an inverse.
@@ -92,7 +96,7 @@ def _span_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if len(firsts) < MIN_SENTENCES:
                 continue
             first, _, halves = spans(hashed, bounds)
-            place = marks[row] + first
+            place = marks[row] + np.arange(len(first))
             for column, values in zip(columns, (np.full(len(first), row), place, halves[:, 0], halves[:, 1])):
                 column.append(values)
         row, place, h1, h2 = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns)
@@ -107,12 +111,12 @@ def _doc_id() -> Column:
 
 
 def _mark(text: str) -> Column:
-    """31 bits of the text's hash, above 32 bits for the number of a sentence: tells texts of one doc_id apart."""
+    """31 bits of the text's hash, above 32 bits for the number of a span: tells texts of one doc_id apart."""
     return F.shiftleft(F.shiftrightunsigned(F.xxhash64(text_or_empty(text)), 33), 32)
 
 
 def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """_key (doc_id and mark of a text), _firsts: first sentences of all its spans that occurred before."""
+    """_key (doc_id and mark of a text), _spans: numbers of all its spans that occurred before."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(text_or_empty(text).alias("_text"), _doc_id(), _mark(text).alias("mark"))
@@ -130,7 +134,7 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     later = some.join(again, ["h1", "h2"]).filter(~at.eqNullSafe(F.col("low"))).select("doc_id", "place")
     number = F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
     key = F.struct("doc_id", (F.col("place") - number).alias("mark")).alias("_key")
-    hits = later.groupBy(key).agg(F.collect_set(number.cast("int")).alias("_firsts"))  # sentences of one text
+    hits = later.groupBy(key).agg(F.collect_set(number.cast("int")).alias("_spans"))  # of one text
     hits = stored(hits, "hits")
     discard(some)
     del found, halves, some, counted, again, later
@@ -138,14 +142,12 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return hits
 
 
-def covered(hashed: np.ndarray, bounds: np.ndarray, firsts: list[int]) -> np.ndarray:
-    """Which sentences lie in the spans that start at these sentences."""
-    starts, ends, _ = spans(hashed, bounds)
-    until = dict(zip(starts.tolist(), ends.tolist()))
+def covered(hashed: np.ndarray, bounds: np.ndarray, numbers: list[int]) -> np.ndarray:
+    """Which sentences lie in the spans of these numbers."""
+    first, end, _ = spans(hashed, bounds)
     change = np.zeros(len(bounds), np.int64)
-    for first in firsts:
-        change[first] += 1
-        change[until[first]] -= 1
+    np.add.at(change, first[numbers], 1)
+    np.add.at(change, end[numbers], -1)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -153,8 +155,8 @@ def _removal_batches(names: list[str], text: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, removed, cuts = [], [], []
-            for whole, firsts in zip(batch.column(text), batch.column("_firsts")):
-                value, runs = whole.as_py(), firsts.as_py()
+            for whole, numbers in zip(batch.column(text), batch.column("_spans")):
+                value, runs = whole.as_py(), numbers.as_py()
                 where: list[list[int]] = []
                 gone = 0
                 if runs:
