@@ -234,3 +234,28 @@ def test_every_repeated_run_is_removed_whole(spark):
     rows = {r["doc_id"]: r["text"] for r in sentence_spans.cleaned(frame(spark, docs)).collect()}
     got = {i: len(t.split()) - len(rows[i].split()) for i, t in docs}
     assert got == every_run(docs) and got[1] == 55
+
+
+@pytest.mark.parametrize("kind", ["bare", "repeating", "prose"])
+def test_passages_of_51_words_at_any_offset_are_found(spark, kind):
+    """Set into the middle of other sentences, all but the words beside the first and after the last common cut go."""
+    docs, at = [], {}
+    for n in range(60):
+        words = prose(9_000 + n, 51).replace("\n", "").split()
+        if kind != "prose":
+            words = [re.sub("[.,]", "", w) for w in words]
+        if kind == "repeating":
+            words = [words[x % 3] for x in range(51)]
+        for copy in range(2):
+            before, after = (plain_sentences(10 * n + 2 * copy + side + 1_000, [30])[0][:-1].split() for side in range(2))
+            k = (7 * n + 11 * copy) % 30
+            docs.append((2 * n + copy, " ".join(before[:k] + words + after[: 29 - k] + ["end."])))
+            at[2 * n + copy] = (k, 29 - k + 1)
+    rows = {r["doc_id"]: r["text"].split() for r in sentence_spans.cleaned(frame(spark, docs)).collect()}
+    for i, t in docs:
+        k, rest = at[i]
+        kept, given = rows[i], t.split()
+        if i % 2:
+            assert len(kept) <= k + rest + 14 and kept[:k] == given[:k] and kept[-rest:] == given[-rest:]
+        elif kind != "repeating":  # a passage that repeats itself loses its own later part
+            assert kept == given

@@ -1,8 +1,9 @@
 """Repeated passages: runs of consecutive sentences that occurred before are removed.
 
-A text is cut into sentences after . ! ? and line ends. Sentences of more than LONG_SENTENCE words are cut further, after
-commas and at words chosen by their hash, so that a passage set into different surroundings is still cut at the same
-words inside. Every run of at least MIN_SENTENCES sentences with at least MIN_WORDS words counts. The shortest such run from
+A text is cut into sentences after . ! ? and line ends. Of every WINDOW words of a sentence one has a cut behind it: the one
+with a comma or the like, or else of the smallest hash. Words alone decide, so a passage set into different surroundings
+is cut alike but for its first and last WINDOW - 1 words: every stretch of over 50 words that two texts share, with line
+ends at the same words, holds a run of at least MIN_WORDS words and is removed up to those edges. Every run of at least MIN_SENTENCES sentences with at least MIN_WORDS words counts. The shortest such run from
 each sentence on and the shortest one up to the end of each sentence are the spans, two a sentence at most: together those
 inside a longer run cover it, so that what any repeated run covers is found. A span's 128-bit hash covers its words (A-Z
 lower-cased, white space aside). Spans are counted over the whole corpus;
@@ -32,13 +33,30 @@ from tsforge.llm.words import LOWER, mix, word_hashes
 
 MIN_SENTENCES = 2
 MIN_WORDS = 30
-LONG_SENTENCE = 16
-CUT_EVERY = 6
+WINDOW = 8
 
 _ENDS, _PAUSES = (np.isin(np.arange(256), list(signs)) for signs in (b".!?", b",;:"))
 _ODD_FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
+def inner_cuts(hashed: np.ndarray, stop: np.ndarray, pause: np.ndarray) -> np.ndarray:
+    """Whether a cut is behind the word because it comes first in some WINDOW words of one sentence."""
+    cut = np.zeros(len(hashed), bool)
+    if len(hashed) >= WINDOW:
+        # 31 bits of the hash, then the place, which settles ties and is read back from the least of a window.
+        rank = (mix(hashed) >> np.uint64(33) << np.uint64(32)) | np.arange(len(hashed), dtype=np.uint64)
+        rank |= (~pause).astype(np.uint64) << np.uint64(63)
+        width = 1
+        while width < WINDOW:
+            step = min(width, WINDOW - width)
+            rank = np.minimum(rank[:-step], rank[step:])
+            width += step
+        number = np.cumsum(stop) - stop
+        rank = rank[number[WINDOW - 1 :] == number[: 1 - WINDOW]]
+        cut[(rank & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
+    return cut
+
+
 def sentences(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a UTF-8 text: hash and first byte of each word, first word of each sentence (and the number of words)."""
     data = np.frombuffer(raw, np.uint8)
@@ -53,11 +71,7 @@ def sentences(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     breaks = np.cumsum(data == 10)
     stop[:-1] |= breaks[ends[:-1] - 1] != breaks[starts[1:]]
     stop[-1] = True
-    whole = np.flatnonzero(stop) + 1
-    lengths = np.diff(np.concatenate(([0], whole)))
-    long = np.repeat(lengths > LONG_SENTENCE, lengths)
-    finer = _PAUSES[last] | (mix(hashed) % np.uint64(CUT_EVERY) == 0)
-    firsts = np.concatenate(([0], np.flatnonzero(stop | (long & finer)) + 1))
+    firsts = np.concatenate(([0], np.flatnonzero(stop | inner_cuts(hashed, stop, _PAUSES[last])) + 1))
     return hashed, starts, firsts[:-1], firsts
 
 
@@ -67,8 +81,8 @@ def _powers(factor: int, n: int) -> np.ndarray:
     return np.cumprod(out, out=out)
 
 
-def spans(hashed: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First sentence, end sentence and both hash halves (n x 2) of each span, in the order of first and end sentence."""
+def spans(hashed: np.ndarray, bounds: np.ndarray, n_halves: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First sentence, end sentence and hash halves (n x 2) of each span, in the order of first and end sentence."""
     n = len(bounds) - 1
     place = np.arange(n + 1)
     until = np.maximum(np.searchsorted(bounds, bounds + MIN_WORDS), place + MIN_SENTENCES)
@@ -77,7 +91,7 @@ def spans(hashed: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     pairs = np.concatenate((place[onward] * (n + 1) + until[onward], since[back] * (n + 1) + place[back]))
     first, end = np.divmod(np.unique(pairs), n + 1)
     halves = []
-    for factor in _ODD_FACTORS:
+    for factor in _ODD_FACTORS[:n_halves]:
         # Sum of word * factor^place, all modulo 2^64; an odd factor has an inverse.
         powers, down = _powers(factor, len(hashed)), _powers(pow(factor, -1, 2**64), len(hashed))
         sums = np.zeros(len(hashed) + 1, np.uint64)
@@ -106,6 +120,16 @@ def _span_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
+def _half_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        halves = [np.zeros(0, np.int64)]
+        for text in batch.column(0):
+            hashed, _, firsts, bounds = sentences(text.as_py().encode())
+            if len(firsts) >= MIN_SENTENCES:
+                halves.append(spans(hashed, bounds, 1)[2][:, 0])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(halves), pa.int64())], ["h1"])
+
+
 def _doc_id() -> Column:
     return F.col("doc_id").cast("long").alias("doc_id")
 
@@ -120,13 +144,15 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(text_or_empty(text).alias("_text"), _doc_id(), _mark(text).alias("mark"))
-    found = stored(rows.mapInArrow(_span_batches, "doc_id long, place long, h1 long, h2 long"), "spans")
+    # Made twice rather than stored: spans take more room than their texts.
+    found = rows.mapInArrow(_span_batches, "doc_id long, place long, h1 long, h2 long")
     at = F.struct("doc_id", "place")
     # Half the hash finds the spans that may recur: most do not, and only the others go on with both halves.
-    halves = stored(found.groupBy("h1").agg(F.count("*").alias("times")).filter("times > 1").select("h1"), "halves")
+    first = rows.select("_text").mapInArrow(_half_batches, "h1 long")
+    halves = stored(first.groupBy("h1").agg(F.count("*").alias("times")).filter("times > 1").select("h1"), "halves")
     release(spark)
     some = stored(found.join(halves, "h1", "left_semi"), "recurring")
-    discard(found)
+    discard(halves)
     release(spark)
     # Spans of repeated rows share their places, so that none of them lies after the first.
     counted = some.groupBy("h1", "h2").agg(F.min(at).alias("low"), F.count("*").alias("times"))
@@ -137,7 +163,7 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     hits = later.groupBy(key).agg(F.collect_set(number.cast("int")).alias("_spans"))  # of one text
     hits = stored(hits, "hits")
     discard(some)
-    del found, halves, some, counted, again, later
+    del found, first, halves, some, counted, again, later
     release(spark)
     return hits
 
