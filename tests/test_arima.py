@@ -188,3 +188,18 @@ def test_whole_comparison(spark):
     assert all(r.n_obs in (None, best[r.s].n_obs) for r in visual.values())
     assert len({r.n_obs for r in best.values()}) == 1
     assert all(r.mse == pytest.approx(best[r.s].mse) for r in fit)
+
+
+def test_slow_series_has_a_visual_model(spark):
+    """Orders beyond max_lag are found, fitted and forecast; other series do not depend on that."""
+    values = {"slow": 50 + ar1(240, 0.97, 31), "fast": 50 + ar1(240, 0.3, 32)}
+    day = dt.datetime(2024, 1, 1)
+    rows = [(s, day + dt.timedelta(days=i), f"{v:.4f}") for s, x in values.items() for i, v in enumerate(x)]
+    records = spark.createDataFrame(rows, "s string, Timestamp timestamp_ntz, SpotPrice string")
+    out = spot_forecast.run(records, ["s"], SpotConfig(n_grid=3, max_difference=1, max_lag=4))
+    visual, best = ({r.s: r for r in fits.collect()} for fits in (out.visual, out.best))
+    assert visual["slow"].p > 4 and visual["slow"].mse is not None and len(visual["slow"].ar) == visual["slow"].p
+    assert all(visual[s].n_obs == best[s].n_obs for s in values)
+    assert best["fast"].n_obs == 216 - (10 + 5 - 1 + 2)
+    errors = {(r.s, r.model): r.mse for r in out.errors.collect()}
+    assert errors["slow", "visual"] is not None and errors["fast", "visual"] is not None

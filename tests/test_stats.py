@@ -9,6 +9,7 @@ from tsforge.operators.stats import (
     mse,
     pacf,
     significant_lags,
+    significant_lags_to_end,
     unit_root,
     unit_root_augmented,
 )
@@ -133,3 +134,16 @@ def test_choose_d(spark):
 def test_mse_skips_unknown(spark):
     df = spark.createDataFrame([("a", 1.0, 3.0), ("a", 2.0, None)], "s string, x double, y double")
     assert mse(df, "x", "y", "s").first().mse == 4.0
+
+
+def test_lags_are_searched_to_the_end_of_the_series(spark):
+    values = {"slow": ar1(500, 0.97, 11), "fast": ar1(500, 0.3, 12), "flat": np.ones(50), "short": np.arange(4.0)}
+    df = series(spark, **values)
+    assert {r.s: r.n_acf for r in significant_lags(df, ["s"], "x", 10).collect()}["slow"] is None
+    out = {r.s: r for r in significant_lags_to_end(df, ["s"], "x", 10).collect()}
+    assert set(out) == set(values) and out["flat"].n_acf is None
+    for s in ("slow", "fast"):
+        rho = np.array([brute_acf(values[s], k) for k in range(200)])
+        band = [1.959963984540054 * np.sqrt((1 + 2 * (rho[1:k] ** 2).sum()) / 500) for k in range(1, 200)]
+        assert out[s].n_acf == next(k for k in range(1, 200) if abs(rho[k]) <= band[k - 1]) - 1
+    assert out["slow"].n_acf > 10

@@ -218,9 +218,10 @@ def _lagged(innov: DataFrame, keys: Sequence[str], n: int, position: str) -> Dat
 
 
 def arima_fit(
-    innov: DataFrame, orders: DataFrame, keys: Sequence[str], n: int = 6, position: str = "bin", first: int = 0
+    innov: DataFrame, orders: DataFrame, keys: Sequence[str], n: int = 6, position: str = "bin", first: int = 0,
+    n_ma: int | None = None,
 ) -> DataFrame:
-    """Fit the given orders (keys, p, d, q with p and q below n): coefficients and in-sample MSE.
+    """Fit the given orders (keys, p, d, q with p below n and q below n_ma, or n): coefficients and in-sample MSE.
 
     All orders of one (series, d) share a common sample, so each fit is a block of one moment matrix
     and the rows are read once. `first` is the first position of the sample: with a common one, fits of different d
@@ -228,10 +229,11 @@ def arima_fit(
     Orders that cannot be fitted have NULL results.
     """
     by = [*keys, "d"]
-    near = _lagged(innov, keys, n, position).filter(F.col(position) >= first)
-    lags = range(1, n)
-    needed = " and ".join(["e is not null", *(f"_z{k} is not null and _e{k} is not null" for k in lags)])
-    names = [*(f"_z{k}" for k in lags), *(f"_e{k}" for k in lags), "z"]
+    n_ma = n if n_ma is None else n_ma
+    near = _lagged(innov, keys, max(n, n_ma), position).filter(F.col(position) >= first)
+    lagged = [*(f"_z{k}" for k in range(1, n)), *(f"_e{k}" for k in range(1, n_ma))]
+    needed = " and ".join(["e is not null", *(f"{c} is not null" for c in lagged)])
+    names = [*lagged, "z"]
     moments = cross_moments(near.filter(needed), [*by, "_mean", "_std"], names)
     size = len(names) + 1
     wanted = orders.groupBy(*by).agg(F.collect_list(F.struct("p", "q")).alias("orders"))  # at most n * n

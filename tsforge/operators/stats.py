@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tsforge.functions.vectors import dot, let
 from tsforge.operators.keys import join_on
 from tsforge.operators.lags import with_neighbours
+from tsforge.session import cut_lineage
 
 # Normal quantiles at 97.5 % and 5 %.
 Z_975 = 1.959963984540054
@@ -130,6 +131,28 @@ def significant_lags(
     )
 
 
+def significant_lags_to_end(
+    series: DataFrame, keys: Sequence[str], value: str, max_lag: int, position: str = "bin"
+) -> DataFrame:
+    """significant_lags without a bound: series that lack a lag inside the band are searched again with twice the reach
+    until it is found or the series ends. NULL only for constant series and those that end first."""
+    length = F.count(value).alias("_n")
+    varies = F.coalesce(F.min(value) < F.max(value), F.lit(False)).alias("_varies")
+    lengths = cut_lineage(series.groupBy(*keys).agg(length, varies))
+    rest, done, reach = series, None, max_lag
+    while True:
+        lags = significant_lags(rest, keys, value, reach, position)
+        lags = cut_lineage(join_on(lags, lengths, keys))
+        further = (F.col("n_acf").isNull() | F.col("n_pacf").isNull()) & F.col("_varies") & (F.col("_n") - 1 > reach)
+        closed = lags.filter(~further).drop("_n", "_varies")
+        done = closed if done is None else done.unionByName(closed)
+        longest = lags.filter(further).agg(F.max("_n")).first()[0]
+        if longest is None:
+            return done
+        rest = join_on(series, lags.filter(further).select(*keys), keys)
+        reach = min(2 * reach, longest - 1)
+
+
 def lag_differences(
     series: DataFrame, keys: Sequence[str], value: str, max_d: int, position: str = "bin"
 ) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsforge.config import SpotConfig
@@ -24,7 +24,7 @@ from tsforge.operators.arima import (
 from tsforge.operators.grid import fill_series, resample_mean
 from tsforge.operators.keys import join_on
 from tsforge.operators.position import chronological_split
-from tsforge.operators.stats import choose_d, significant_lags
+from tsforge.operators.stats import choose_d, significant_lags_to_end
 from tsforge.session import cut_lineage
 
 VALUE = "spot_price"
@@ -56,7 +56,7 @@ def daily_series(records: DataFrame, keys: Sequence[str], config: SpotConfig) ->
 
 def visual_orders(train: DataFrame, keys: Sequence[str], config: SpotConfig) -> DataFrame:
     """Orders read off the correlations (p from ACF, q from PACF) and the unit-root search (d)."""
-    lags = significant_lags(train, keys, VALUE, config.max_lag)
+    lags = significant_lags_to_end(train, keys, VALUE, config.max_lag)
     d = choose_d(train, keys, VALUE, config.max_difference, None)
     return join_on(lags, d, keys).select(
         *keys, F.col("n_acf").alias("p"), "d", F.col("n_pacf").alias("q")
@@ -72,8 +72,9 @@ def run(records: DataFrame, keys: Sequence[str], config: SpotConfig) -> SpotFore
     """The whole comparison for every series at once.
 
     The binned means, the split series and the innovations are each read by several later steps, so
-    they are written to the shared folder once. Both models are fitted on one common sample, whatever their
-    orders, so that their criteria can be compared.
+    they are written to the shared folder once. Both models of a series are fitted on one common sample, whatever
+    their orders, so that their criteria can be compared. Series whose visual orders lie beyond max_lag are fitted
+    apart, by doubled numbers of lags, so that the samples of the others do not depend on them.
     """
     means = cut_lineage(daily_series(records, keys, config))
     series = fill_series(means, VALUE, keys)
@@ -83,19 +84,47 @@ def run(records: DataFrame, keys: Sequence[str], config: SpotConfig) -> SpotFore
     orders = range(max(config.n_grid, config.max_difference + 1))
     innov = cut_lineage(innovations(train, keys, VALUE, orders, LONG_AR))
 
-    reach = max(config.max_lag + 1, config.n_grid)
-    first = LONG_AR + reach - 1 + max(orders)
+    base = max(config.max_lag + 1, config.n_grid)
+
+    def doublings(order: str) -> Column:
+        lags = F.coalesce(order, F.lit(0)) + 1
+        return F.greatest(F.ceil(F.log2(lags / F.lit(base))), F.lit(0)).cast("int")
+
+    level = F.struct(doublings("p").alias("ar"), doublings("q").alias("ma"))
+    wanted = cut_lineage(visual_orders(train, keys, config).withColumn("_level", level))
+    levels = sorted(tuple(r[0]) for r in wanted.select("_level").distinct().collect()) or [(0, 0)]
     grid = order_grid(train, keys, config.n_grid)
-    visual = with_criteria(arima_fit(innov, visual_orders(train, keys, config), keys, reach, first=first))
-    best = with_criteria(best_order(arima_fit(innov, grid, keys, reach, first=first), keys))
-    visual, best = cut_lineage(visual), cut_lineage(best)
+    visual, best, parts = None, None, []
+    for ar, ma in levels:
+        n_ar, n_ma = base * 2**ar, base * 2**ma
+        reach = max(n_ar, n_ma)
+        # Residuals of an autoregression no longer than p would be sums of the model's own lags.
+        long_ar = max(LONG_AR, n_ar) if ar else LONG_AR
+        first = max(n_ar - 1, long_ar + n_ma - 1) + max(orders)
+        chosen = wanted.filter((F.col("_level.ar") == ar) & (F.col("_level.ma") == ma)).drop("_level")
+        members = chosen.select(*keys)
+        if long_ar > LONG_AR:
+            rows = cut_lineage(innovations(join_on(train, members, keys), keys, VALUE, orders, long_ar))
+        else:
+            rows = innov if len(levels) == 1 else join_on(innov, members, keys)
+        seen = with_criteria(arima_fit(rows, chosen, keys, n_ar, first=first, n_ma=n_ma))
+        least = with_criteria(best_order(arima_fit(rows, join_on(grid, members, keys), keys, base, first=first), keys))
+        seen, least = cut_lineage(seen), cut_lineage(least)
+        parts.append((rows, reach, {"visual": seen, "best": least}))
+        visual = seen if visual is None else visual.unionByName(seen)
+        best = least if best is None else best.unionByName(least)
 
     models, errors = {}, None
     every = split.select(*keys).distinct()
-    for label, fits in (("visual", visual), ("best", best)):
-        usable = fits.filter("mse is not null")
-        ahead = forecast(innov, usable, keys, horizon, reach)
-        models[label] = (fitted_values(innov, usable, keys, VALUE, reach), ahead)
+    for label in ("visual", "best"):
+        fitted = ahead = None
+        for rows, reach, fits in parts:
+            usable = fits[label].filter("mse is not null")
+            inside = fitted_values(rows, usable, keys, VALUE, reach)
+            later = forecast(rows, usable, keys, horizon, reach)
+            fitted = inside if fitted is None else fitted.unionByName(inside)
+            ahead = later if ahead is None else ahead.unionByName(later)
+        models[label] = (fitted, ahead)
         error = join_on(every, holdout_error(split, ahead, keys, VALUE), keys, "left").withColumn("model", F.lit(label))
         errors = error if errors is None else errors.unionByName(error)
     comparison = model_compare(split, keys, VALUE, models)
