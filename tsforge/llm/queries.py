@@ -8,7 +8,10 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsforge.llm import block_naming, exact_topk, odd_sketches, packing, quality, sentence_spans, stream_viterbi, token_files, trie_counts, url_filter
+from tsforge.llm import (
+    block_naming, collocations, exact_topk, odd_sketches, packing, quality, sentence_spans, stream_viterbi, token_files,
+    trie_counts, url_filter,
+)
 from tsforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,3 +169,46 @@ def op5_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_score").alias("score"),
         (F.col("_score") >= quality.CUT).cast("int").alias("predicted"),
     )
+
+
+@query(
+    "op12_collocations",
+    r"""
+    WITH p AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents),
+    w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+    g AS (
+        SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i : i + m - 1])) AS words
+        FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m),
+    f AS MATERIALIZED (SELECT lang, m, words, count(*) AS f FROM g GROUP BY ALL HAVING m = 1 OR count(*) >= 100),
+    t AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+    c AS (SELECT lang, m, words, f AS a FROM f WHERE m > 1 AND f >= 100),
+    parts AS (
+        SELECT lang, words[i : j] AS words, max(a) AS longer
+        FROM c, (SELECT unnest(range(1, 6)) AS i), (SELECT unnest(range(1, 6)) AS j)
+        WHERE i < j AND j <= m AND j - i + 1 < m
+        GROUP BY ALL),
+    d AS MATERIALIZED (
+        SELECT c.lang, c.words, a, k, c.words[1 : k] AS head, c.words[k + 1 :] AS tail
+        FROM c JOIN (SELECT unnest(range(1, 5)) AS k) ON k < m LEFT JOIN parts USING (lang, words)
+        WHERE longer IS NULL OR 100 * longer < 100 * a),
+    s AS (
+        SELECT d.lang, d.words, a, n, k, l.f AS l, r.f AS r,
+               (1000 * a::HUGEINT * n::HUGEINT) // (l.f::HUGEINT * r.f::HUGEINT) AS score
+        FROM d JOIN t USING (lang) JOIN f l ON l.lang = d.lang AND l.words = head
+             JOIN f r ON r.lang = d.lang AND r.words = tail),
+    b AS (SELECT *, row_number() OVER (PARTITION BY lang, words ORDER BY score, k) AS cut FROM s),
+    o AS (
+        SELECT *, row_number() OVER (
+            PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(words, ' ')) AS rank
+        FROM b WHERE cut = 1)
+    SELECT lang, rank, array_to_string(words, ' ') AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l,
+           CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+    FROM o WHERE rank <= 2000
+    """,
+)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
