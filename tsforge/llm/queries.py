@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsforge.llm import (
-    block_naming, collocations, exact_topk, odd_sketches, packing, quality, sentence_spans, stream_viterbi, token_files,
+    block_naming, collocations, exact_topk, golay_simhash, odd_sketches, packing, quality, sentence_spans, stream_viterbi, token_files,
     trie_counts, url_filter,
 )
 from tsforge.llm.common import table
@@ -212,3 +212,8 @@ def op5_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_golay_simhash")
+def op13_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golay_simhash.near_duplicates(table(spark, sf_dir, "documents"))
