@@ -163,7 +163,7 @@ def _phrase_batches(word_bitmap: bytes, pair_bitmap: bytes) -> Callable:
                 ends = np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]
                 phrases = pa.ListArray.from_arrays(pa.array(ends), spelled.take(pa.array(found.ravel())).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(found)), phrases, pa.array(times, pa.int64())], ["lang", "words", "f"]
+                    [pa.array([lang] * len(found), pa.string()), phrases, pa.array(times, pa.int64())], ["lang", "words", "f"]
                 )
 
     return run
