@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tsforge.llm import (
     block_naming, collocations, exact_topk, golay_simhash, odd_sketches, packing, quality, sentence_spans, stream_viterbi, token_files,
-    trie_counts, url_filter,
+    trie_counts, turn_repair, url_filter,
 )
 from tsforge.llm.common import table
 
@@ -217,3 +217,79 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_golay_simhash")
 def op13_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay_simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_turn_repair",
+    r"""
+    WITH RECURSIVE raw AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(
+                       coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                       lambda c: ascii(c)::BIGINT)),
+                   lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                       lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 20 AS kind
+        FROM conversations),
+    d AS (
+        SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+               CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+               unnest(CASE kind WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+        FROM raw WHERE kind <> 0),
+    f AS (
+        SELECT *, left(role, 1) AS initial, right(rtrim(text, E' \t\n\x0b\f\r'), 1) AS tail,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+               row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen
+        FROM d),
+    r AS (
+        SELECT *, tail = '' OR seen > 1 AS forced, CASE WHEN tail IN ('.', '!', '?') THEN 0 ELSE 3 END AS cut,
+               lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+               chr(10) || 'user:' || text AS as_user, chr(10) || 'assistant:' || text AS as_assistant
+        FROM f),
+    -- Per state: cost c, audit a, repaired text t (a line end before each row).
+    rec(conv_id, i, e, s, u, a) AS (
+        SELECT DISTINCT conv_id, 1::BIGINT, {'c': 0, 'a': '', 't': ''}, {'c': 1000000000, 'a': '', 't': ''},
+               {'c': 1000000000, 'a': '', 't': ''}, {'c': 1000000000, 'a': '', 't': ''}
+        FROM r
+        UNION ALL
+        SELECT y.conv_id, y.i + 1, {'c': e.c + 4, 'a': e.a || 'D', 't': e.t},
+               list_min([{'c': s.c + 4, 'a': s.a || 'D', 't': s.t},
+                         {'c': e.c + CASE WHEN forced OR initial <> 's' THEN 1000000000 ELSE cut END, 'a': e.a || 'K',
+                          't': e.t || chr(10) || role || ':' || text}]),
+               list_min([{'c': u.c + 4, 'a': u.a || 'D', 't': u.t},
+                         {'c': b.c + CASE WHEN forced OR initial <> 'u' THEN 1000000000 ELSE cut END, 'a': b.a || 'K',
+                          't': b.t || chr(10) || role || ':' || text},
+                         {'c': b.c + CASE WHEN forced THEN 1000000000 ELSE cut + 3 END, 'a': b.a || 'R',
+                          't': b.t || as_user}]),
+               list_min([{'c': a.c + 4, 'a': a.a || 'D', 't': a.t},
+                         {'c': u.c + CASE WHEN forced OR initial <> 'a' THEN 1000000000 ELSE cut END, 'a': u.a || 'K',
+                          't': u.t || chr(10) || role || ':' || text},
+                         {'c': u.c + CASE WHEN forced THEN 1000000000 ELSE cut + 3 END, 'a': u.a || 'R',
+                          't': u.t || as_assistant}])
+        FROM (SELECT *, list_min([e, s, a]) AS b FROM (
+                  SELECT conv_id, i, e, s, u, list_min([a, {'c': u.c + 3, 'a': u.a || 'I',
+                                                            't': u.t || chr(10) || 'assistant:'}]) AS a
+                  FROM (SELECT conv_id, i, e, s, a, list_min([u, {'c': e.c + 3, 'a': e.a || 'I', 't': e.t || chr(10) || 'user:'},
+                                                              {'c': s.c + 3, 'a': s.a || 'I', 't': s.t || chr(10) || 'user:'},
+                                                              {'c': a.c + 3, 'a': a.a || 'I', 't': a.t || chr(10) || 'user:'}]) AS u
+                        FROM rec))) y
+        JOIN r ON r.conv_id IS NOT DISTINCT FROM y.conv_id AND r.i = y.i),
+    o AS (
+        SELECT conv_id, list_min([e, a, {'c': u.c + 3, 'a': u.a || 'I', 't': u.t || chr(10) || 'assistant:'},
+                                  {'c': s.c + 6, 'a': s.a || 'II', 't': s.t || chr(10) || 'user:' || chr(10) || 'assistant:'}]) AS z
+        FROM rec WHERE (SELECT count(*) FROM r WHERE r.conv_id IS NOT DISTINCT FROM rec.conv_id) = i - 1),
+    n AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+               count(*) FILTER (tail = '') AS blank, count(*) FILTER (tail <> '' AND seen > 1) AS duplicate,
+               count(*) FILTER (NOT forced AND cut > 0) AS truncated,
+               count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM r GROUP BY conv_id)
+    SELECT q.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+           CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+           CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(z.c, 0) AS BIGINT) AS cost,
+           coalesce(z.a, '') AS audit, sha256(coalesce(substr(z.t, 2), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) q
+    LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM q.conv_id LEFT JOIN o ON o.conv_id IS NOT DISTINCT FROM q.conv_id
+    """,
+)
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_report(table(spark, sf_dir, "conversations"))
