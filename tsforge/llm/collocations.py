@@ -1,9 +1,11 @@
 """Phrase collocations: contiguous phrases whose parts go together more often than chance, per language.
 
-1. Candidates are phrases of 2 to LONGEST words with at least `least` occurrences, and so is every part of one. Two passes
-   over the texts therefore only prune: a bitmap of fixed size marks the hashes of words, a second one those of word
-   pairs, that occur often enough. Hashes that collide let more through, never less.
-2. The third pass counts the phrases that are left exactly, by their words: an occurrence is numbered from the numbers of
+1. Candidates are phrases of 2 to LONGEST words with at least `least` occurrences, and so is every part of one. PRUNED
+   passes over the texts therefore only prune: a bitmap of fixed size marks the hashes of words, the next ones those of
+   phrases of two and three words, that occur often enough; each leaves out what the one before has not. Tasks give out
+   sorted blocks of hashes and counts, cut at ranges of the hash, and the blocks of a range are merged. Hashes that
+   collide let more through, never less.
+2. The last pass counts the phrases that are left exactly, by their words: an occurrence is numbered from the numbers of
    its two overlapping parts, so no hash decides. The empty phrase counts all words of a language.
 3. The counts are laid out as two sorted streams, in prefix order (first word first) and in suffix order (last word
    first). Walking through one of them, the phrases that a phrase begins with have just gone by: their counts wait on a
@@ -14,7 +16,7 @@
 4. Both walks meet in one aggregation by phrase. A phrase goes if one longer by a word is as frequent as `share` per cent
    of it; that decides for all longer ones, because counts only fall as phrases grow. Scores are exact decimals.
 
-Memory: a task holds TOKENS words and the longest piece that crosses that border, and two bitmaps of BITMAP_BITS bits.
+Memory: a task holds some TOKENS words and a whole text, PRUNED bitmaps of BITMAP_BITS bits, and one range of hashes.
 
 Defined cases: NULL, empty and blank texts have no words, a NULL language is `und`; rows are counted as often as they
 occur, whatever their doc_id; equal scores rank by count, then by phrase; languages without candidates have no rows.
@@ -22,7 +24,8 @@ occur, whatever their doc_id; equal scores rank by count, then by phrase; langua
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,7 @@ from tsforge.llm.common import release, small_batches, stored, task_count, text_
 from tsforge.llm.words import LOWER, mix, word_hashes
 
 LONGEST = 5
+PRUNED = 3
 LEAST = 100
 TOP = 2_000
 TOKENS = 1_000_000
@@ -74,91 +78,104 @@ def marked(bitmap: bytes, hashed: np.ndarray) -> np.ndarray:
 
 
 def _word_marks(lang: str, words: list[bytes]) -> np.ndarray:
-    seed = np.uint64(word_hashes()[lang.encode() + b"\n"])
-    return mix(word_hashes().of(words) ^ seed)
+    """Hashes of the words of one language, by number."""
+    return mix(word_hashes().of(words) ^ np.uint64(word_hashes()[lang.encode() + b"\n"]))
 
 
-def _pair_marks(pairs: np.ndarray, hashed: np.ndarray) -> np.ndarray:
-    first, second = hashed[pairs >> 32], hashed[pairs & 0xFFFFFFFF]
-    return mix(first * np.uint64(0x9E3779B97F4A7C15) + second)
+def phrase_levels(numbers: np.ndarray, hashed: np.ndarray, bitmaps: Sequence[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each length from 1 to LONGEST: (first place of each distinct phrase, its hash, its count).
 
-
-def _pairs(numbers: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs of good words next to each other, and the pairs."""
-    ok = good[numbers]
-    at = np.flatnonzero(ok[:-1] & ok[1:])
-    return at, numbers[at] << 32 | numbers[at + 1]
+    A phrase is left out if the bitmap of its length does not have it, or if one of its parts is left out.
+    """
+    at, marks = np.flatnonzero(numbers > _NOTHING), hashed[_NOTHING + 1 :]
+    of = numbers[at] - (_NOTHING + 1)
+    for length in range(1, LONGEST + 1):
+        if not len(at):
+            return
+        if length == 1:
+            first = np.zeros(len(marks), np.int64)
+            first[of[::-1]] = np.arange(len(of))[::-1]
+        else:
+            distinct, first, of = np.unique(keys, return_index=True, return_inverse=True)
+            marks = mix(marks[distinct >> 32] * np.uint64(0x9E3779B97F4A7C15) + hashed[numbers[at[first] + length - 1]])
+        place, times = at[first], np.bincount(of)
+        if length <= len(bitmaps):
+            keep = marked(bitmaps[length - 1], marks)
+            renumbered, here = np.cumsum(keep) - 1, keep[of]
+            at, of, marks, place, times = at[here], renumbered[of[here]], marks[keep], place[keep], times[keep]
+        yield place, marks, times
+        # A phrase longer by a word: this one here and one of the same length at the next place.
+        follows = np.flatnonzero(at[1:] == at[:-1] + 1)
+        at, keys = at[follows], of[follows] << 32 | of[follows + 1]
 
 
-def _hash_counts(word_bitmap: bytes | None) -> Callable:
-    """Counts of the hashes of words or, given the bitmap of words, of pairs of marked words."""
+def _block_batches(bitmaps: Sequence[bytes], parts: int) -> Callable:
+    """Sorted blocks of hashes and counts of the phrases one word longer than the last bitmap's, cut at ranges of the hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, numbers, words in token_buffers(batches):
-            hashed = _word_marks(lang, words)
-            if word_bitmap is None:
-                times = np.bincount(numbers, minlength=len(words))
-                times[:2] = 0
-                found = np.flatnonzero(times)
-                hashed, times = hashed[found], times[found]
-            else:
-                good = marked(word_bitmap, hashed)
-                good[:2] = False
-                pairs, times = np.unique(_pairs(numbers, good)[1], return_counts=True)
-                hashed = _pair_marks(pairs, hashed)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashed.view(np.int64)), pa.array(times, pa.int64())], ["h", "times"]
-            )
+            levels = phrase_levels(numbers, _word_marks(lang, words), bitmaps)
+            for _, marks, times in islice(levels, len(bitmaps), len(bitmaps) + 1):
+                order = np.argsort(marks)
+                marks, times = marks[order], times[order].astype(np.uint32)
+                part = (marks >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+                edges = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]))
+                cut = [(marks[a:b].tobytes(), times[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:]) if b > a]
+                own = part[edges[:-1]].astype(np.int64) if len(part) else []
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own, pa.int64()), *(pa.array([c[i] for c in cut], pa.binary()) for i in (0, 1))],
+                    ["part", "marks", "times"],
+                )
 
     return run
 
 
-def _bitmap(texts: DataFrame, word_bitmap: bytes | None, least: int) -> bytes:
+def _merge_batches(least: int) -> Callable:
+    """Of blocks sorted by range: the bits of the hashes that occur at least `least` times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, marks, times = None, [], []
+
+        def merged() -> pa.RecordBatch:
+            keys, of = np.unique(np.frombuffer(b"".join(marks), np.uint64), return_inverse=True)
+            sums = np.bincount(of, np.frombuffer(b"".join(times), np.uint32), len(keys))  # exact below 2^53
+            bits = np.unique(keys[sums >= least] % np.uint64(BITMAP_BITS))
+            return pa.RecordBatch.from_arrays([pa.array(bits.view(np.int64))], ["bit"])
+
+        for batch in batches:
+            for part, m, t in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != own:
+                    yield merged()
+                    own, marks, times = part, [], []
+                marks.append(m)
+                times.append(t)
+        yield merged()
+
+    return run
+
+
+def _bitmap(texts: DataFrame, bitmaps: Sequence[bytes], least: int) -> bytes:
     """Bitmap of the hashes that occur at least `least` times; its size is fixed, whatever their number."""
-    counts = texts.mapInArrow(_hash_counts(word_bitmap), "h long, times long").groupBy("h").agg(F.sum("times").alias("times"))
-    bit = F.pmod(F.col("h").bitwiseAND(F.lit(BITMAP_BITS - 1)), F.lit(BITMAP_BITS))
-    cells = counts.filter(F.col("times") >= least).select(bit.alias("bit")).groupBy(
-        F.shiftright("bit", 6).alias("word")
-    ).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+    n = task_count(texts, 8 << 20)  # a range of hashes is merged in memory
+    blocks = texts.mapInArrow(_block_batches(bitmaps, n), "part long, marks binary, times binary")
+    dealt = blocks.repartition(n, "part").sortWithinPartitions("part")
+    cells = dealt.mapInArrow(_merge_batches(least), "bit long").groupBy(F.shiftright("bit", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")
+    )
     out = np.zeros(BITMAP_BITS // 64, np.int64)
     found = cells.toArrow()  # BITMAP_BITS / 64 rows at most
     out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return out.tobytes()
 
 
-def phrase_counts(numbers: np.ndarray, good: np.ndarray, good_pairs: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(word numbers of the distinct phrases of one length, their counts), for lengths 1 to LONGEST."""
-    times = np.bincount(numbers, minlength=len(good))
-    alone = np.flatnonzero(good & (times > 0))
-    yield alone[:, None], times[alone]
-    at, keys = _pairs(numbers, good)
-    for length in range(2, LONGEST + 1):
-        if not len(at):
-            return
-        distinct, first, number = np.unique(keys, return_index=True, return_inverse=True)
-        if length == 2:
-            keep = good_pairs(distinct)
-            at, number = at[keep[number]], number[keep[number]]
-            if not len(at):
-                return
-            distinct, first, number = np.unique(number, return_index=True, return_inverse=True)
-        yield numbers[at[first][:, None] + np.arange(length)], np.bincount(number)
-        # A phrase longer by one word: this one here and one of the same length at the next place.
-        follows = np.flatnonzero(at[1:] == at[:-1] + 1)
-        keys = number[follows] << 32 | number[follows + 1]
-        at = at[follows]
-
-
-def _phrase_batches(word_bitmap: bytes, pair_bitmap: bytes) -> Callable:
+def _phrase_batches(bitmaps: Sequence[bytes]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, numbers, words in token_buffers(batches):
-            hashed = _word_marks(lang, words)
-            good = marked(word_bitmap, hashed)
-            good[:2] = False
             spelled = pa.array(words, pa.binary())
             total = int((numbers != _BREAK).sum())
             parts = [(np.zeros((1, 0), np.int64), np.array([total]))] if total else []
-            parts += phrase_counts(numbers, good, lambda pairs: marked(pair_bitmap, _pair_marks(pairs, hashed)))
+            levels = phrase_levels(numbers, _word_marks(lang, words), bitmaps)
+            parts += [(numbers[p[:, None] + np.arange(m + 1)], times) for m, (p, _, times) in enumerate(levels)]
             for found, times in parts:
                 ends = np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]
                 phrases = pa.ListArray.from_arrays(pa.array(ends), spelled.take(pa.array(found.ravel())).cast(pa.string()))
@@ -244,10 +261,11 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, text: str = "text", la
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), text_or_empty(text).alias("text"))
     texts = texts.filter(F.length("text") > 0)
-    word_bitmap = _bitmap(texts, None, least)
-    pair_bitmap = _bitmap(texts, word_bitmap, least)
-    release(docs.sparkSession)
-    found = texts.mapInArrow(_phrase_batches(word_bitmap, pair_bitmap), "lang string, words array<string>, f long")
+    bitmaps: list[bytes] = []
+    for _ in range(PRUNED):
+        bitmaps.append(_bitmap(texts, bitmaps, least))
+        release(docs.sparkSession)
+    found = texts.mapInArrow(_phrase_batches(bitmaps), "lang string, words array<string>, f long")
     counts = found.groupBy("lang", "words").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.size("words") == 0))
     return stored(counts, "phrase-counts")
 
