@@ -6,7 +6,8 @@
    sorted blocks of hashes and counts, cut at ranges of the hash, and the blocks of a range are merged. Hashes that
    collide let more through, never less.
 2. The last pass counts the phrases that are left exactly, by their words: an occurrence is numbered from the numbers of
-   its two overlapping parts, so no hash decides. The empty phrase counts all words of a language.
+   its two overlapping parts, and summed by spelling, so no hash decides. The empty phrase counts all words of a
+   language.
 3. The counts are laid out as two sorted streams, in prefix order (first word first) and in suffix order (last word
    first). Walking through one of them, the phrases that a phrase begins with have just gone by: their counts wait on a
    stack of at most LONGEST + 1 entries. That gives, without a lookup, the count of the left part of every cut in prefix
@@ -24,11 +25,13 @@ occur, whatever their doc_id; equal scores rank by count, then by phrase; langua
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +112,13 @@ def phrase_levels(numbers: np.ndarray, hashed: np.ndarray, bitmaps: Sequence[byt
         at, keys = at[follows], of[follows] << 32 | of[follows + 1]
 
 
+def _ranges(marks: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted hashes: the numbers of the ranges that they lie in, of `parts` equal ones, and where these begin and end."""
+    part = (marks >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+    return part[first].astype(np.int64), np.append(first, len(part))
+
+
 def _block_batches(bitmaps: Sequence[bytes], parts: int) -> Callable:
     """Sorted blocks of hashes and counts of the phrases one word longer than the last bitmap's, cut at ranges of the hash."""
 
@@ -118,10 +128,8 @@ def _block_batches(bitmaps: Sequence[bytes], parts: int) -> Callable:
             for _, marks, times in islice(levels, len(bitmaps), len(bitmaps) + 1):
                 order = np.argsort(marks)
                 marks, times = marks[order], times[order].astype(np.uint32)
-                part = (marks >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-                edges = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]))
-                cut = [(marks[a:b].tobytes(), times[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:]) if b > a]
-                own = part[edges[:-1]].astype(np.int64) if len(part) else []
+                own, edges = _ranges(marks, parts)
+                cut = [(marks[a:b].tobytes(), times[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(own, pa.int64()), *(pa.array([c[i] for c in cut], pa.binary()) for i in (0, 1))],
                     ["part", "marks", "times"],
@@ -168,21 +176,62 @@ def _bitmap(texts: DataFrame, bitmaps: Sequence[bytes], least: int) -> bytes:
     return out.tobytes()
 
 
-def _phrase_batches(bitmaps: Sequence[bytes]) -> Callable:
+def _phrase_batches(bitmaps: Sequence[bytes], parts: int) -> Callable:
+    """Blocks of phrases and counts, cut at ranges of the hash; the empty phrase counts words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, numbers, words in token_buffers(batches):
-            spelled = pa.array(words, pa.binary())
+            spelled = pa.array(words, pa.binary()).cast(pa.string())
             total = int((numbers != _BREAK).sum())
-            parts = [(np.zeros((1, 0), np.int64), np.array([total]))] if total else []
             levels = phrase_levels(numbers, _word_marks(lang, words), bitmaps)
-            parts += [(numbers[p[:, None] + np.arange(m + 1)], times) for m, (p, _, times) in enumerate(levels)]
-            for found, times in parts:
-                ends = np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]
-                phrases = pa.ListArray.from_arrays(pa.array(ends), spelled.take(pa.array(found.ravel())).cast(pa.string()))
+            found = [(pa.array([""][: total], pa.string()), np.zeros(min(1, total), np.uint64), np.full(min(1, total), total))]
+            for length, (place, marks, times) in enumerate(levels, 1):
+                ends = pa.array(np.arange(len(place) + 1, dtype=np.int32) * length)
+                taken = spelled.take(pa.array(numbers[place[:, None] + np.arange(length)].ravel()))
+                found.append((pc.binary_join(pa.ListArray.from_arrays(ends, taken), " "), marks, times))
+            phrases = pa.concat_arrays([f[0].cast(pa.string()) for f in found])
+            marks, times = (np.concatenate([f[i] for f in found]) for i in (1, 2))
+            order = np.argsort(marks, kind="stable")
+            own, edges = _ranges(marks[order], parts)
+            ends = pa.array(edges.astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(own, pa.int64()), pa.array([lang] * len(own), pa.string()),
+                    pa.ListArray.from_arrays(ends, phrases.take(pa.array(order))),
+                    pa.ListArray.from_arrays(ends, pa.array(times[order], pa.int64())),
+                ],
+                ["part", "lang", "phrases", "times"],
+            )
+
+    return run
+
+
+def _sum_batches(least: int) -> Callable:
+    """Of blocks sorted by range: the phrases with at least `least` occurrences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: int | None = None
+        sums: dict[str, Counter] = {}
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            for lang, counts in sums.items():
+                kept = [(p, n) for p, n in counts.items() if n >= least or not p]
+                words = pa.array([p.split(" ") if p else [] for p, _ in kept], pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(found), pa.string()), phrases, pa.array(times, pa.int64())], ["lang", "words", "f"]
+                    [pa.array([lang] * len(kept), pa.string()), words, pa.array([n for _, n in kept], pa.int64())],
+                    ["lang", "words", "f"],
                 )
 
+        for batch in batches:
+            for part, lang, phrases, times in zip(*(c.to_pylist() if i < 2 else c for i, c in enumerate(batch.columns))):
+                if part != own:
+                    yield from summed()
+                    own, sums = part, {}
+                counts = sums.setdefault(lang, Counter())
+                for phrase, n in zip(phrases.as_py(), times.as_py()):
+                    counts[phrase] += n
+        yield from summed()
+
     return run
 
 
@@ -258,16 +307,17 @@ def counted_parts(counts: DataFrame) -> DataFrame:
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, words, f of all phrases of 0 (every word of the language) to LONGEST words with f >= least; stored."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 100)  # blocks of phrases are wider than texts
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), text_or_empty(text).alias("text"))
     texts = texts.filter(F.length("text") > 0)
     bitmaps: list[bytes] = []
     for _ in range(PRUNED):
         bitmaps.append(_bitmap(texts, bitmaps, least))
         release(docs.sparkSession)
-    found = texts.mapInArrow(_phrase_batches(bitmaps), "lang string, words array<string>, f long")
-    counts = found.groupBy("lang", "words").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.size("words") == 0))
-    return stored(counts, "phrase-counts")
+    n = task_count(texts, 8 << 20)
+    found = texts.mapInArrow(_phrase_batches(bitmaps, n), "part long, lang string, phrases array<string>, times array<long>")
+    dealt = found.repartition(n, "part").sortWithinPartitions("part")
+    return stored(dealt.mapInArrow(_sum_batches(least), "lang string, words array<string>, f long"), "phrase-counts")
 
 
 def collocations(
