@@ -23,6 +23,7 @@ from tsforge.operators.arima import (
     model_compare,
     order_grid,
 )
+from tsforge.operators.css import css_fit, own_fitted, with_own_errors
 from tsforge.operators.lags import drop_missing, iterated_difference, lag_difference
 from tsforge.operators.quality import split_covers_all
 from tsforge.operators.stats import (
@@ -388,9 +389,14 @@ def _innov(spark, sf_dir) -> DataFrame:
     return cut_lineage(innovations(fx.train_of(_split(spark, sf_dir)), KEYS, VALUE, range(6)))
 
 
+def _grid(innov: DataFrame) -> DataFrame:
+    """All orders, started by regression and refitted by their own errors."""
+    return css_fit(innov, cut_lineage(arima_grid_fit(innov, KEYS)), KEYS)
+
+
 @query("arima_grid_fit")
 def _(spark, sf_dir):
-    return arima_grid_fit(_innov(spark, sf_dir), KEYS)
+    return _grid(_innov(spark, sf_dir))
 
 
 @query(
@@ -470,23 +476,51 @@ def _(spark, sf_dir):
     return ahead.select(*KEYS, "bin", n("step"), r("forecast", 2))
 
 
+@query(
+    "arima_own_fitted",
+    """SELECT o.series, s.bin, round(s.spot_price - o.e, 2) AS fitted
+       FROM own_errors o JOIN spot_train s ON s.series = o.series AND s.bin = o.bin0 + o.k - 1 WHERE o.k > 1""",
+)
+def _(spark, sf_dir):
+    # Given coefficients, errors by the model's own recursion; blocks short enough for several a series.
+    innov = _small(spark, sf_dir)[1]
+    chosen = cut_lineage(arima_grid_fit(innov, KEYS, 2).filter(SMALL_ORDER))
+    return own_fitted(innov, chosen, KEYS, VALUE, block=500).select(*KEYS, "bin", r("fitted", 2))
+
+
+@query(
+    "arima_own_forecast",
+    """SELECT series, bin0 + len(ws) - 1 + j AS bin, j AS step,
+              round(y_end + (a * ws[len(ws)] + b * e) * (1 - power(a, j)) / (1 - a), 2) AS forecast
+       FROM (SELECT *, unnest(range(1, h + 1)) AS j
+             FROM own_errors JOIN (SELECT series, arg_max(spot_price, bin) AS y_end FROM spot_train GROUP BY 1) USING (series)
+             JOIN (SELECT series, count(*) AS h FROM spot_split WHERE split = 'test' GROUP BY 1) USING (series)
+             WHERE k = len(ws))""",
+)
+def _(spark, sf_dir):
+    split, innov = _small(spark, sf_dir)
+    chosen = cut_lineage(arima_grid_fit(innov, KEYS, 2).filter(SMALL_ORDER))
+    ahead = forecast(with_own_errors(innov, chosen, KEYS), chosen, KEYS, fx.horizon_of(split), 2)
+    return ahead.select(*KEYS, "bin", n("step"), r("forecast", 2))
+
+
 @query("arima_best_order")
 def _(spark, sf_dir):
-    return best_order(arima_grid_fit(_innov(spark, sf_dir), KEYS), KEYS)
+    return best_order(_grid(_innov(spark, sf_dir)), KEYS)
 
 
 @query("arima_fitted")
 def _(spark, sf_dir):
     innov = _innov(spark, sf_dir)
-    return fitted_values(innov, best_order(arima_grid_fit(innov, KEYS), KEYS), KEYS, VALUE)
+    return own_fitted(innov, cut_lineage(best_order(_grid(innov), KEYS)), KEYS, VALUE)
 
 
 @query("arima_forecast")
 def _(spark, sf_dir):
     split = _split(spark, sf_dir)
     innov = cut_lineage(innovations(fx.train_of(split), KEYS, VALUE, range(6)))
-    best = best_order(arima_grid_fit(innov, KEYS), KEYS)
-    return forecast(innov, best, KEYS, fx.horizon_of(split))
+    best = cut_lineage(best_order(_grid(innov), KEYS))
+    return forecast(with_own_errors(innov, best, KEYS), best, KEYS, fx.horizon_of(split))
 
 
 @query("spot_forecast_comparison")

@@ -293,9 +293,16 @@ SHARED: dict[str, str] = {
                      CASE WHEN q = 0 THEN 0.0 WHEN p = 0 THEN ey / ee
                           ELSE (ey * vv - vy * ve) / (vv * ee - ve * ve) END AS b
               FROM small_sums, range(2) x(p), range(2) y(q))""",
+    # Errors of the (1,1,1) model by its own recursion, one value after the other; nothing is before the first.
+    "own_lists": "SELECT series, min(bin) AS bin0, list(w ORDER BY bin) AS ws FROM ar1_diffs WHERE d = 1 GROUP BY 1",
+    "own_errors": """
+        SELECT series, bin0, ws, a, b, CAST(1 AS BIGINT) AS k, ws[1] AS e
+        FROM own_lists JOIN (SELECT series, a, b FROM small_fits WHERE p = 1 AND d = 1 AND q = 1) USING (series)
+        UNION ALL
+        SELECT series, bin0, ws, a, b, k + 1, ws[k + 1] - a * ws[k] - b * e FROM own_errors WHERE k < len(ws)""",
 }
 
-RECURSIVE = {"levinson"}
+RECURSIVE = {"levinson", "own_errors"}
 
 
 def with_shared(select: str) -> str:

@@ -13,7 +13,6 @@ from tsforge.functions.numeric import price_to_double
 from tsforge.operators.arima import (
     arima_fit,
     best_order,
-    fitted_values,
     forecast,
     holdout_error,
     information_criteria,
@@ -21,6 +20,7 @@ from tsforge.operators.arima import (
     model_compare,
     order_grid,
 )
+from tsforge.operators.css import css_fit, own_fitted, with_own_errors
 from tsforge.operators.grid import fill_series, resample_mean
 from tsforge.operators.keys import join_on
 from tsforge.operators.position import chronological_split
@@ -107,9 +107,11 @@ def run(records: DataFrame, keys: Sequence[str], config: SpotConfig) -> SpotFore
             rows = cut_lineage(innovations(join_on(train, members, keys), keys, VALUE, orders, long_ar))
         else:
             rows = innov if len(levels) == 1 else join_on(innov, members, keys)
-        seen = with_criteria(arima_fit(rows, chosen, keys, n_ar, first=first, n_ma=n_ma))
-        least = with_criteria(best_order(arima_fit(rows, join_on(grid, members, keys), keys, base, first=first), keys))
-        seen, least = cut_lineage(seen), cut_lineage(least)
+        # Regressions give the coefficients from which each model's own errors are minimised.
+        seen = cut_lineage(arima_fit(rows, chosen, keys, n_ar, first=first, n_ma=n_ma))
+        least = cut_lineage(arima_fit(rows, join_on(grid, members, keys), keys, base, first=first))
+        seen = cut_lineage(with_criteria(css_fit(rows, seen, keys)))
+        least = cut_lineage(with_criteria(best_order(css_fit(rows, least, keys), keys)))
         parts.append((rows, reach, {"visual": seen, "best": least}))
         visual = seen if visual is None else visual.unionByName(seen)
         best = least if best is None else best.unionByName(least)
@@ -120,8 +122,8 @@ def run(records: DataFrame, keys: Sequence[str], config: SpotConfig) -> SpotFore
         fitted = ahead = None
         for rows, reach, fits in parts:
             usable = fits[label].filter("mse is not null")
-            inside = fitted_values(rows, usable, keys, VALUE, reach)
-            later = forecast(rows, usable, keys, horizon, reach)
+            inside = own_fitted(rows, usable, keys, VALUE)
+            later = forecast(with_own_errors(rows, usable, keys), usable, keys, horizon, reach)
             fitted = inside if fitted is None else fitted.unionByName(inside)
             ahead = later if ahead is None else ahead.unionByName(later)
         models[label] = (fitted, ahead)
