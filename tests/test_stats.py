@@ -147,3 +147,26 @@ def test_lags_are_searched_to_the_end_of_the_series(spark):
         band = [1.959963984540054 * np.sqrt((1 + 2 * (rho[1:k] ** 2).sum()) / 500) for k in range(1, 200)]
         assert out[s].n_acf == next(k for k in range(1, 200) if abs(rho[k]) <= band[k - 1]) - 1
     assert out["slow"].n_acf > 10
+
+
+def test_long_reach_has_a_flat_plan_and_plain_results(spark):
+    from tsforge.operators.stats import acf_array, lag_products, levinson, pacf_array
+
+    rnd = np.random.default_rng(3)
+    groups = {"a": np.cumsum(rnd.normal(size=700)), "b": rnd.normal(size=40), "c": np.full(30, 2.0)}
+    rows = [(g, t, float(x)) for g, w in groups.items() for t, x in enumerate(w)]
+    series = spark.createDataFrame(rows, "g string, bin long, y double").repartition(3)
+    size = {k: len(acf_array(series, ["g"], "y", k)._jdf.queryExecution().optimizedPlan().toString()) for k in (10, 600)}
+    assert size[600] - size[10] < 50
+    for block in (64, 8_192):
+        sums = {r["g"]: r["products"] for r in lag_products(series, ["g"], "y", 50, block=block).collect()}
+        for g, w in groups.items():
+            plain = [float((w[k:] * w[: len(w) - k]).sum()) if k < len(w) else 0.0 for k in range(51)]
+            assert np.allclose(sums[g], plain, atol=1e-8)
+    got = {r["g"]: r for r in pacf_array(series, ["g"], "y", 600).collect()}
+    x = groups["a"] - groups["a"].mean()
+    r = np.array([float((x[k:] * x[: len(x) - k]).sum()) for k in range(601)]) / float((x * x).sum())
+    assert np.allclose(got["a"]["acf"], r, atol=1e-9)
+    assert np.allclose(got["a"]["pacf"], levinson(r), atol=1e-6)
+    assert got["b"]["acf"][39] is not None and got["b"]["acf"][40] is None
+    assert got["c"]["acf"][:2] == [1.0, None] and got["c"]["pacf"][1] is None

@@ -190,6 +190,21 @@ def _(spark, sf_dir):
     return acf(fx.spot_train(spark, sf_dir), KEYS, VALUE, LAGS).select(*KEYS, n("lag"), r("acf"))
 
 
+@query(
+    "acf_long_reach",
+    """SELECT p.series, p.lag, round(p.s / z.s, 6) AS acf
+       FROM (SELECT a.series, a.bin - b.bin AS lag, sum((a.spot_price - m.m) * (b.spot_price - m.m)) AS s
+             FROM spot_train a JOIN spot_train b ON b.series = a.series AND b.bin BETWEEN a.bin - 500 AND a.bin
+             JOIN (SELECT series, avg(spot_price) AS m FROM spot_train GROUP BY 1) m ON m.series = a.series
+             GROUP BY 1, 2) p
+       JOIN (SELECT series, sum((spot_price - m) * (spot_price - m)) AS s
+             FROM spot_train JOIN (SELECT series, avg(spot_price) AS m FROM spot_train GROUP BY 1) USING (series)
+             GROUP BY 1) z ON z.series = p.series""",
+)
+def _(spark, sf_dir):
+    return acf(fx.spot_train(spark, sf_dir), KEYS, VALUE, 500).select(*KEYS, n("lag"), r("acf"))
+
+
 @query(
     "pacf",
     """SELECT series, k AS lag, round(last, 6) AS pacf FROM levinson

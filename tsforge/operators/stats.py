@@ -15,6 +15,11 @@ from tsforge.operators.keys import join_on
 from tsforge.operators.lags import with_neighbours
 from tsforge.session import cut_lineage
 
+# Values in one block of lag_products.
+BLOCK = 8_192
+# Up to so many lags partial autocorrelations are one expression.
+SHORT = 40
+
 # Normal quantiles at 97.5 % and 5 %.
 Z_975 = 1.959963984540054
 Z_050 = -1.6448536269514722
@@ -39,22 +44,63 @@ def mse(df: DataFrame, actual: str, fitted: str, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(error * error).alias("mse"))
 
 
+def lag_products(
+    series: DataFrame, keys: Sequence[str], value: str, max_lag: int, position: str = "bin", block: int = BLOCK
+) -> DataFrame:
+    """keys, products: sums of value[t] * value[t - k] for k = 0..max_lag, as an array; NULL values count as 0.
+
+    Series are cut into blocks at least as long as the reach; a block also gets the max_lag values before it, and all its
+    lags come from one Fourier transform. Vectors of blocks are added. The plan does not grow with the reach.
+    """
+    block = max(block, max_lag)
+    home = F.floor(F.col(position) / F.lit(block))
+    near_end = F.pmod(F.col(position), F.lit(block)) >= block - max_lag
+    copies = F.array_compact(F.array(home, F.when(near_end, home + 1)))
+    entry = F.struct(F.col(position).cast("long").alias("at"), F.col(value).cast("double").alias("x"))
+    blocks = (
+        series.select(*keys, position, value, F.explode(copies).alias("_block"))
+        .groupBy(*keys, "_block").agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
+        .select(*keys, "_block", F.col("_rows.at").alias("at"), F.col("_rows.x").alias("x"))
+    )
+
+    def correlate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for number, at, x in zip(pdf["_block"], pdf["at"], pdf["x"]):
+                whole = np.zeros(max_lag + block)
+                whole[np.asarray(at) - (int(number) * block - max_lag)] = np.nan_to_num(np.asarray(x, float), nan=0.0)
+                size = 1 << (len(whole) - 1).bit_length()
+                own = whole[max_lag:]
+                ahead = np.fft.irfft(np.conj(np.fft.rfft(own, size)) * np.fft.rfft(whole, size), size)
+                out.append(ahead[max_lag::-1].tolist())
+            yield pdf[[*keys]].assign(products=out)
+
+    schema = T.StructType([*(series.schema[k] for k in keys), T.StructField("products", T.ArrayType(T.DoubleType()))])
+    parts = blocks.mapInPandas(correlate, schema)
+    sums = parts.select(*keys, F.posexplode("products").alias("_k", "_p")).groupBy(*keys, "_k").agg(F.sum("_p").alias("_p"))
+    return sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_k", "_p"))).alias("_s")).select(
+        *keys, F.col("_s._p").alias("products")
+    )
+
+
 def acf_array(
     series: DataFrame, keys: Sequence[str], value: str, max_lag: int, position: str = "bin"
 ) -> DataFrame:
-    """Autocorrelations of lags 0..max_lag per series as one array, with the series length."""
-    centre = series.groupBy(*keys).agg(F.avg(value).alias("_mean"))
-    centred = join_on(series, centre, keys).withColumn("_x", F.col(value) - F.col("_mean"))
-    near = with_neighbours(
-        centred.select(*keys, position, "_x"),
-        keys,
-        {f"_lag{k}": ("_x", -k) for k in range(1, max_lag + 1)},
-        position,
+    """Autocorrelations of lags 0..max_lag per series as one array, with the series length.
+
+    NULL beyond the series' own reach of n - 1 lags, and for constant series.
+    """
+    facts = series.groupBy(*keys).agg(
+        F.avg(value).alias("_mean"), F.count(value).alias("n"), (F.min(value) < F.max(value)).alias("_varies")
     )
-    power = F.sum(F.col("_x") * F.col("_x"))
-    products = [F.sum(F.col("_x") * F.col(f"_lag{k}")) for k in range(1, max_lag + 1)]
-    ratios = [F.lit(1.0), *(F.try_divide(p, power) for p in products)]
-    return near.groupBy(*keys).agg(F.count("_x").alias("n"), F.array(*ratios).alias("acf"))
+    centred = join_on(series, facts, keys).withColumn("_x", F.col(value) - F.col("_mean"))
+    products = lag_products(centred.select(*keys, position, "_x"), keys, "_x", max_lag, position)
+    power = F.col("products")[0]
+
+    def ratio(p: Column, k: Column) -> Column:
+        return F.when(k == 0, F.lit(1.0)).when(F.col("_varies") & (k < F.col("n")), F.try_divide(p, power))
+
+    return join_on(products, facts, keys).select(*keys, "n", F.transform("products", ratio).alias("acf"))
 
 
 def acf(series: DataFrame, keys: Sequence[str], value: str, max_lag: int, position: str = "bin") -> DataFrame:
@@ -90,9 +136,31 @@ def partial_autocorrelations(r: Column) -> Column:
 def pacf_array(
     series: DataFrame, keys: Sequence[str], value: str, max_lag: int, position: str = "bin"
 ) -> DataFrame:
-    return acf_array(series, keys, value, max_lag, position).withColumn(
-        "pacf", partial_autocorrelations(F.col("acf"))
-    )
+    r = acf_array(series, keys, value, max_lag, position)
+    if max_lag <= SHORT:
+        return r.withColumn("pacf", partial_autocorrelations(F.col("acf")))
+
+    def recursion(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(pacf=[levinson(np.array(a, float)).tolist() for a in pdf["acf"]])
+
+    schema = T.StructType([*r.schema.fields, T.StructField("pacf", T.ArrayType(T.DoubleType()))])
+    nan_is_null = F.transform("pacf", lambda x: F.when(~F.isnan(x), x))
+    return r.mapInPandas(recursion, schema).withColumn("pacf", nan_is_null)
+
+
+def levinson(r: np.ndarray) -> np.ndarray:
+    """Durbin-Levinson recursion over autocorrelations r[0..K], a row of K steps at a time; NaN where it breaks down."""
+    out = np.full(len(r), np.nan)
+    out[0] = 1.0
+    phi = np.zeros(0)
+    for k in range(1, len(r)):
+        below = 1.0 - phi @ r[1:k]
+        if not np.isfinite(below) or below == 0.0 or not np.isfinite(r[k]):
+            break
+        out[k] = (r[k] - phi @ r[k - 1 : 0 : -1]) / below
+        phi = np.append(phi - out[k] * phi[::-1], out[k])
+    return out
 
 
 def pacf(series: DataFrame, keys: Sequence[str], value: str, max_lag: int, position: str = "bin") -> DataFrame:
