@@ -14,6 +14,7 @@ SCHEMA = T.StructType([
     T.StructField("label", T.StringType()),
     T.StructField("kept", T.StringType()),
     T.StructField("start", T.DoubleType()),
+    *(T.StructField(name, T.StringType()) for name in ("_key", "_Score", "_n_removed", "_spans", "_same")),
 ])
 
 
@@ -44,7 +45,7 @@ def awkward() -> list[tuple[int | None, str | None]]:
 
 def frame(spark, rows=None):
     rows = awkward() if rows is None else rows
-    return spark.createDataFrame([(i, t, 7, "x", "y", 0.5) for i, t in rows], SCHEMA).repartition(3)
+    return spark.createDataFrame([(i, t, 7, "x", "y", 0.5, *"abcde") for i, t in rows], SCHEMA).repartition(3)
 
 
 def rows_of(df) -> list[tuple]:

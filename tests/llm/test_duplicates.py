@@ -259,3 +259,21 @@ def test_passages_of_51_words_at_any_offset_are_found(spark, kind):
             assert len(kept) <= k + rest + 14 and kept[:k] == given[:k] and kept[-rest:] == given[-rest:]
         elif kind != "repeating":  # a passage that repeats itself loses its own later part
             assert kept == given
+
+
+def test_near_duplicates_in_large_buckets(spark, monkeypatch):
+    """One large group of near copies beside others, in cells smaller than their buckets; many rows without an id."""
+    monkeypatch.setattr(odd_sketches._next_pairs, "__defaults__", (4,))
+    rnd = random.Random(4)
+    words = prose(77, 70).split()
+    docs = []
+    for i in range(50):
+        copy = list(words)
+        for _ in range(rnd.randint(0, 3)):
+            copy[rnd.randrange(len(copy))] = f"edit{rnd.random()}"
+        docs.append((i if i % 3 else None, " ".join(copy)))
+    docs += families()[:20]
+    assert rows_of(odd_sketches.near_duplicates(frame(spark, docs), 5)) == plain_near(docs, 5)
+    left = odd_sketches.keep_one(frame(spark, docs), 5)
+    assert left.columns == SCHEMA.names
+    assert {r["_key"] for r in left.collect()} == {"a"}

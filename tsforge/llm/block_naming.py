@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsforge.llm.common import ranked, stored, text_or_empty
+from tsforge.llm.common import ranked, stored, text_or_empty, unused
 
 BLOCK_BYTES = 16_384
 MAX_SEEDS = 8
@@ -128,12 +128,13 @@ def keep_first(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYT
         decided.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("same")),
         "block-decisions",
     ).filter("kept")
+    own, same = unused(docs, "_key"), unused(docs, "_same")
     key = F.struct("doc_id", F.sha2(normalised(text), 256).alias("text_sha256"))
-    stay = counted.select(F.struct("doc_id", "text_sha256").alias("_key"), "same")
-    found = docs.withColumn("_key", key).join(stay, "_key")
-    single = found.filter("same = 1").select(*docs.columns)
+    stay = counted.select(F.struct("doc_id", "text_sha256").alias(own), F.col("same").alias(same))
+    found = docs.withColumn(own, key).join(stay, own)
+    single = found.filter(F.col(same) == 1).select(*docs.columns)
     if counted.filter("same > 1").isEmpty():
         return single
     # Rows repeated under one doc_id: any of them may stay, as long as it is one.
-    again = found.filter("same > 1").dropDuplicates(["_key"]).select(*docs.columns)
+    again = found.filter(F.col(same) > 1).dropDuplicates([own]).select(*docs.columns)
     return single.unionByName(again)

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from tsforge.session import scratch_path, stored, task_count
 
 __all__ = [
-    "discard", "ranked", "release", "scratch_path", "small_batches", "stored", "table", "task_count", "text_or_empty", "worker_state",
+    "discard", "ranked", "release", "scratch_path", "small_batches", "stored", "table", "task_count", "text_or_empty", "unused",
+    "worker_state",
 ]
 
 #: Rows in one Arrow batch on the way to Python: whole texts are wide, so the default of 10,000 is too many.
@@ -63,6 +64,14 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, made longer until df has no such column, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ranked(keys: DataFrame, order: Sequence[str], name: str, base: int = 0) -> DataFrame:
     """Distinct rows numbered base, base + 1, ... : by a hash bucket, then by `order` inside it.
 

@@ -10,7 +10,8 @@
    of its buckets, and only the pair with the closest sketches is confirmed: one pair per node. Confirmed links join
    nodes to components.
 3. Then all pairs of nodes that share a bucket but not a component are compared by their sketches, in cells of a bounded
-   number of nodes. A cell gives out only pairs that join different components, one less than it holds components at
+   number of nodes. Of a large bucket, the nodes of its largest component are dealt out once, and only the others are
+   copied to each of these blocks. A cell gives out only pairs that join different components, one less than it holds components at
    most. They are confirmed, components are joined, and the cells of those buckets look again, until no pair is left;
    a node of which a pair has failed then gives out all its others. Nothing is capped: every pair of a bucket is alike,
    is rejected by its sketches or on its full sets, or lies inside one component.
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsforge.llm.common import discard, release, small_batches, stored, text_or_empty
+from tsforge.llm.common import discard, release, small_batches, stored, text_or_empty, unused
 from tsforge.llm.components import components
 from tsforge.llm.words import mix, shingles
 
@@ -46,7 +47,7 @@ PARITY_BITS = 2_048
 MAX_ROUNDS = 100
 THRESHOLD = 80  # per cent
 SURELY_BELOW = 0.62  # estimated similarity under which a pair is not confirmed
-CELL = 256
+CELL = 4_096
 HASH_CHUNK = 2_048
 
 
@@ -170,9 +171,10 @@ def _confirm_batches(threshold: int) -> Callable:
 def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, threshold: int, text: str) -> DataFrame:
     """Those of the stored, distinct pairs (u, v) whose full sets are alike. A set is made again from one of its texts."""
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    ids = wanted.join(nodes.select("node", "doc_id"), "node").select(F.col("node").alias("wanted"), "doc_id")
-    texts = docs.select(F.struct("doc_id").alias("_key"), text_or_empty(text).alias("_text"))
-    texts = ids.select(F.struct("doc_id").alias("_key"), "wanted").join(texts, "_key").select("wanted", "_text")
+    picked = wanted.join(nodes.select("node", "pick"), "node").select(F.col("pick").alias("_key"), F.col("node").alias("wanted"))
+    texts = docs.select(F.struct(*_row_key(text)).alias("_key"), text_or_empty(text).alias("_text"))
+    # Rows repeated under one key have the same text: one of them will do.
+    texts = picked.join(texts, "_key").dropDuplicates(["_key", "wanted"]).select("wanted", "_text")
     sets = texts.mapInArrow(_set_batches(k), "wanted binary, node binary, shingles binary")
     sets = stored(sets.filter("wanted = node").select("node", "shingles"), "shingle-sets")
     # A hot u has its partners in several chunks, each with its own copy of the set of u.
@@ -246,14 +248,13 @@ def _cell_batches(threshold: int, limit: int) -> Callable:
 def joining_pairs(cell: list[dict], threshold: int, limit: int) -> list[tuple[bytes, bytes]]:
     """Pairs of a cell that its sketches allow and that join its components, each pair two that were apart before.
 
-    Where a pair of a node has failed in an earlier round, all other pairs of that node are given out.
+    Where a pair of a node has failed in an earlier round, all pairs of that node are given out; failed ones go later.
     """
     n = np.array([x["n"] for x in cell])
     side = np.array([x["side"] for x in cell])
     label = np.unique([x["label"] for x in cell], return_inverse=True)[1]
     sketch = np.array([x["sketch"] for x in cell], np.int64).view(np.uint64)
     parity = np.array([x["parity"] for x in cell], np.int64).view(np.uint64)
-    place = {x["node"]: i for i, x in enumerate(cell)}
     out = []
     for i, own in enumerate(cell[:-1]):
         later = np.arange(i + 1, len(cell))
@@ -267,9 +268,7 @@ def joining_pairs(cell: list[dict], threshold: int, limit: int) -> list[tuple[by
             later = later[apart * (100 + threshold) <= (100 - threshold) * (n[later] + n[i])]
         if len(later):
             later = later[np.bitwise_count(sketch[later] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= limit]
-        failed = [place[x] for x in own["failed"] or () if x in place] if len(later) else []
-        if failed:
-            later = later[~np.isin(later, failed)]
+        if own["failed"]:
             out += [tuple(sorted((own["node"], cell[j]["node"]))) for j in later]
             continue
         while len(later):
@@ -281,33 +280,51 @@ def joining_pairs(cell: list[dict], threshold: int, limit: int) -> list[tuple[by
 
 
 def _next_pairs(
-    nodes: DataFrame, members: DataFrame, labels: DataFrame, failed: DataFrame, threshold: int, limit: int
+    nodes: DataFrame, members: DataFrame, labels: DataFrame, failed: DataFrame, threshold: int, limit: int, cell: int = CELL
 ) -> DataFrame:
     """bucket, u, v: nodes that share a bucket, lie in different components and may be alike; not all that join the same
-    two components."""
+    two components.
+
+    A bucket of more than `cell` nodes is dealt out by its largest component: the nodes of that one go to one block each
+    and meet the others, of which every block has a copy; among themselves they need not meet.
+    """
     named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = named.groupBy("bucket").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")
+    sizes = named.groupBy("bucket", "label").agg(F.count("*").alias("n_label"))
+    mixed = sizes.groupBy("bucket").agg(
+        F.max(F.struct("n_label", "label")).alias("main"), F.sum("n_label").alias("size"), F.count("*").alias("n_labels")
+    ).filter("n_labels > 1")
+    large = F.col("size") > cell
+    others = F.col("size") - F.col("main.n_label")
+    mixed = mixed.select(
+        "bucket", F.when(large, F.col("main.label")).alias("main"),
+        F.when(large, F.ceil(F.col("main.n_label") / cell)).otherwise(0).cast("int").alias("main_blocks"),
+        F.when(large, F.ceil(others / cell)).otherwise(1).cast("int").alias("other_blocks"),
     )
-    mixed = mixed.filter("low <> high").select("bucket", F.ceil(F.col("size") / CELL).cast("int").alias("blocks"))
-    both = failed.select(F.col("u").alias("node"), "v").union(failed.select("v", "u"))
-    known = both.groupBy("node").agg(F.collect_set("v").alias("failed"))  # of one node; narrow
-    facts = nodes.select("node", "n", "sketch", "parity").join(known, "node", "left")
-    dealt = named.join(mixed, "bucket").join(facts, "node")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    # A block meets every other block of its bucket, and itself.
-    dealt = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = dealt.groupBy(
-        "bucket", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")
-    ).agg(
-        F.collect_list(  # some 2 * CELL nodes
-            F.struct(
-                "node", "label", "n", "sketch", "parity", "failed",
-                F.when(F.col("block") == F.col("other"), -1).otherwise(F.col("block")).alias("side"),
-            )
-        ).alias("cell")
+    both = failed.select(F.col("u").alias("node")).union(failed.select(F.col("v").alias("node"))).distinct()
+    facts = nodes.select("node", "n", "sketch", "parity").join(both.withColumn("failed", F.lit(True)), "node", "left")
+    dealt = named.join(mixed, "bucket").join(facts, "node").withColumn("hash", F.xxhash64("node"))
+    in_main = F.col("label").eqNullSafe(F.col("main"))
+    own = F.when(in_main, F.pmod("hash", F.greatest("main_blocks", F.lit(1)))).otherwise(F.pmod("hash", "other_blocks"))
+    dealt = dealt.withColumn("own", own.cast("int"))
+
+    def up_to(n: str) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.greatest(F.col(n) - 1, F.lit(0))), lambda i: i < F.col(n))
+
+    def place(a: Column, b: Column, side: Column, across: bool) -> Column:
+        return F.struct(F.lit(across).alias("across"), a.alias("a"), b.alias("b"), side.cast("int").alias("side"))
+
+    # Blocks of the largest component against blocks of others; and blocks of others against each other.
+    mains = F.transform(up_to("other_blocks"), lambda o: place(F.col("own"), o, F.lit(0), True))
+    across = F.transform(up_to("main_blocks"), lambda m: place(m, F.col("own"), F.lit(1), True))
+    among = F.transform(up_to("other_blocks"), lambda o: place(
+        F.least(o, F.col("own")), F.greatest(o, F.col("own")), F.when(o == F.col("own"), -1).otherwise(F.col("own")), False
+    ))
+    dealt = dealt.withColumn("cell", F.explode(F.when(in_main, mains).otherwise(F.concat(across, among))))
+    cells = dealt.groupBy("bucket", "cell.across", "cell.a", "cell.b").agg(
+        F.collect_list(F.struct("node", "label", "n", "sketch", "parity", "failed", "cell.side")).alias("cell")  # some 2 * cell
     )
-    return cells.select("bucket", "cell").mapInArrow(_cell_batches(threshold, limit), "bucket long, u binary, v binary")
+    found = cells.select("bucket", "cell").mapInArrow(_cell_batches(threshold, limit), "bucket long, u binary, v binary")
+    return found.join(failed.select("u", "v"), ["u", "v"], "left_anti").select("bucket", "u", "v")
 
 
 def _row_key(text: str) -> list[Column]:
@@ -328,7 +345,7 @@ def _decided(docs: DataFrame, k: int, threshold: int, surely_below: float, text:
     signed = stored(rows.mapInArrow(_sketch_batches(k), schema), "sketches")
     nodes = stored(
         signed.filter("n > 0").groupBy("node").agg(
-            F.min("doc_id").alias("doc_id"),
+            F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "t1", "t2")).alias("pick"),
             *(F.first(c).alias(c) for c in ("n", "bands", "sketch", "parity")),
         ),
         "nodes",
@@ -377,16 +394,16 @@ def keep_one(
 ) -> DataFrame:
     """The rows of docs that stay: one of each component (of its smallest doc_id), with all their columns."""
     decided = _decided(docs, k, threshold, surely_below, text)
-    key = F.struct("doc_id", "t1", "t2")
+    key, own = F.struct("doc_id", "t1", "t2"), unused(docs, "_key")
     # Rows without shingles stay; of one repeated row, one.
     group = F.struct("label", F.when(F.col("label").isNull(), key).alias("own"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), key.alias("key"))
     first = decided.groupBy(group.alias("_group")).agg(F.min(order).alias("first"))
-    stay = first.select(F.col("first.key").alias("_key"))
-    kept = docs.withColumn("_key", F.struct(*_row_key(text))).join(stay, "_key", "left_semi")
-    repeated = decided.groupBy(key.alias("_key")).count().filter("count > 1").select("_key")
-    repeated = stored(repeated.join(stay, "_key", "left_semi"), "repeated-rows")
+    stay = first.select(F.col("first.key").alias(own))
+    kept = docs.withColumn(own, F.struct(*_row_key(text))).join(stay, own, "left_semi")
+    repeated = decided.groupBy(key.alias(own)).count().filter("count > 1").select(own)
+    repeated = stored(repeated.join(stay, own, "left_semi"), "repeated-rows")
     if repeated.isEmpty():
-        return kept.drop("_key")
-    once = kept.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
-    return kept.join(repeated, "_key", "left_anti").unionByName(once).drop("_key")
+        return kept.drop(own)
+    once = kept.join(repeated, own, "left_semi").dropDuplicates([own])
+    return kept.join(repeated, own, "left_anti").unionByName(once).drop(own)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tsforge.llm.common import small_batches, stored, text_or_empty
+from tsforge.llm.common import small_batches, stored, text_or_empty, unused
 from tsforge.llm.words import mix, word_hashes, words
 
 FEATURES = 1 << 18
@@ -193,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     return {"ratios": bytes(model["ratios"]), "weights": bytes(model["weights"]), "bias": model["bias"]}
 
 
-def _scorer(model: dict, text: str, names: list[str]) -> Callable:
+def _scorer(model: dict, text: str, names: list[str], score: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratios = np.frombuffer(model["ratios"], "<f4").astype(np.float64)
         weights = np.frombuffer(model["weights"], "<f4").astype(np.float64)
@@ -203,16 +203,18 @@ def _scorer(model: dict, text: str, names: list[str]) -> Callable:
                 row = features(value.as_py())
                 margin = float(weights[row] @ _values(row, ratios)) + model["bias"]
                 scores.append(1 / (1 + math.exp(-min(max(margin, -40.0), 40.0))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(scores)], [*names, "_score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(scores, pa.float64())], [*names, score])
 
     return run
 
 
-def scored(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """docs with _score, the probability of label 1."""
+def scored(docs: DataFrame, model: dict, text: str = "text", score: str = "_score") -> DataFrame:
+    """docs with a column `score`, the probability of label 1."""
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(_scorer(model, text, docs.columns), T.StructType([*docs.schema.fields]).add("_score", T.DoubleType()))
+    schema = T.StructType([*docs.schema.fields]).add(score, T.DoubleType())
+    return docs.mapInArrow(_scorer(model, text, docs.columns, score), schema)
 
 
 def keep_good(docs: DataFrame, model: dict, cut: float = CUT, text: str = "text") -> DataFrame:
-    return scored(docs, model, text).filter(F.col("_score") >= cut).select(*docs.columns)
+    score = unused(docs, "_score")
+    return scored(docs, model, text, score).filter(F.col(score) >= cut).select(*docs.columns)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tsforge.llm.common import discard, release, small_batches, stored, text_or_empty
+from tsforge.llm.common import discard, release, small_batches, stored, text_or_empty, unused
 from tsforge.llm.words import LOWER, mix, word_hashes
 
 MIN_SENTENCES = 2
@@ -177,11 +177,11 @@ def covered(hashed: np.ndarray, bounds: np.ndarray, numbers: list[int]) -> np.nd
     return np.cumsum(change[:-1]) > 0
 
 
-def _removal_batches(names: list[str], text: str) -> Callable:
+def _removal_batches(names: list[str], text: str, spans_in: str, added: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, removed, cuts = [], [], []
-            for whole, numbers in zip(batch.column(text), batch.column("_spans")):
+            for whole, numbers in zip(batch.column(text), batch.column(spans_in)):
                 value, runs = whole.as_py(), numbers.as_py()
                 where: list[list[int]] = []
                 gone = 0
@@ -202,21 +202,25 @@ def _removal_batches(names: list[str], text: str) -> Callable:
             columns = [pa.array(texts, pa.string()) if n == text else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(removed, pa.int32()), pa.array(cuts, pa.list_(pa.list_(pa.int64())))],
-                [*names, "_n_removed", "_removed_bytes"],
+                [*names, *added],
             )
 
     return run
 
 
-def cleaned(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All rows and columns of docs with the text cleaned, and _n_removed, _removed_bytes ([from, to) in UTF-8)."""
-    hits = repeated_spans(docs, text)
-    found = docs.withColumn("_key", F.struct(_doc_id(), _mark(text).alias("mark"))).join(hits, "_key", "left")
-    schema = T.StructType([*docs.schema.fields]).add("_n_removed", T.IntegerType())
-    schema = schema.add("_removed_bytes", T.ArrayType(T.ArrayType(T.LongType())))
-    return found.drop("_key").mapInArrow(_removal_batches(docs.columns, text), schema)
+def cleaned(
+    docs: DataFrame, text: str = "text", removed: str = "_n_removed", where: str = "_removed_bytes"
+) -> DataFrame:
+    """All rows and columns of docs with the text cleaned, and two new columns: the number of sentences removed, and their
+    places ([from, to) in UTF-8)."""
+    own, found_spans = unused(docs, "_key"), unused(docs, "_spans")
+    hits = repeated_spans(docs, text).withColumnsRenamed({"_key": own, "_spans": found_spans})
+    found = docs.withColumn(own, F.struct(_doc_id(), _mark(text).alias("mark"))).join(hits, own, "left")
+    schema = T.StructType([*docs.schema.fields]).add(removed, T.IntegerType())
+    schema = schema.add(where, T.ArrayType(T.ArrayType(T.LongType())))
+    return found.drop(own).mapInArrow(_removal_batches(docs.columns, text, found_spans, [removed, where]), schema)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with repeated passages removed from the texts."""
-    return cleaned(docs, text).select(*docs.columns)
+    return cleaned(docs, text, unused(docs, "_n_removed"), unused(docs, "_removed_bytes")).select(*docs.columns)
