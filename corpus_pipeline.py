@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsforge.llm import block_naming, odd_sketches, packing, quality, sentence_spans
-from tsforge.llm.common import stored, table
+from tsforge.llm.common import stored, table, unused
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
@@ -30,8 +30,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that occurred before; documents of which nothing is left go. n_chars follows the text."""
-    left = sentence_spans.cleaned(docs)
-    changed = F.col("_n_removed") > 0
+    removed = unused(docs, "_n_removed")
+    left = sentence_spans.cleaned(docs, removed=removed, where=unused(docs, "_removed_bytes"))
+    changed = F.col(removed) > 0
     left = left.filter(~changed | (F.length(F.trim("text")) > 0))
     kind = dict(docs.dtypes).get("n_chars")
     if kind:
