@@ -138,6 +138,17 @@ def spot_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token of every page and the next one that it names; some pages were lost, and some lead back."""
+    page, lost, back = F.col("page"), F.col("page") % 7 == 3, F.col("page") % 11 == 10
+    landed = page_copies(spot_records(spark, sf_dir)).select("series", "page").filter(~lost)
+    following = F.when(back, page - 4).otherwise(page + 1)
+    return landed.select(
+        "series", F.when(page > 0, F.concat(F.lit("page-"), page.cast("string"))).alias("token"),
+        F.concat(F.lit("page-"), following.cast("string")).alias("next_token"),
+    )
+
+
 def spot_daily(spark: SparkSession, sf_dir: str, bin_seconds: int = 86_400) -> DataFrame:
     records = spot_records(spark, sf_dir).withColumn("price", F.col("SpotPrice").try_cast("double"))
     return resample_mean(records, SERIES, bin_seconds)

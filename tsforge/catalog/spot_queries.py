@@ -23,6 +23,7 @@ from tsforge.operators.arima import (
     model_compare,
     order_grid,
 )
+from tsforge.operators.chains import chain_report, page_chains
 from tsforge.operators.css import css_fit, own_fitted, with_own_errors
 from tsforge.operators.lags import drop_missing, iterated_difference, lag_difference
 from tsforge.operators.quality import split_covers_all
@@ -63,6 +64,20 @@ def _(spark, sf_dir):
     )
 
 
+@query("page_chains", "SELECT series, token, chain, CAST(steps AS BIGINT) AS steps, missing, cycle FROM link_chains")
+def _(spark, sf_dir):
+    return page_chains(fx.page_links(spark, sf_dir), KEYS)
+
+
+@query(
+    "chain_report",
+    """SELECT series, chain, cycle, count(*) AS pages, CAST(max(steps) + 1 AS BIGINT) AS longest, any_value(missing) AS missing
+       FROM link_chains GROUP BY 1, 2, 3""",
+)
+def _(spark, sf_dir):
+    return chain_report(page_chains(fx.page_links(spark, sf_dir), KEYS), KEYS)
+
+
 @query(
     "spot_csv_scan",
     """SELECT series, "Timestamp", round(spot_price, 4) AS spot_price FROM spot_series""",

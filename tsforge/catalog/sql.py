@@ -293,6 +293,25 @@ SHARED: dict[str, str] = {
                      CASE WHEN q = 0 THEN 0.0 WHEN p = 0 THEN ey / ee
                           ELSE (ey * vv - vy * ve) / (vv * ee - ve * ve) END AS b
               FROM small_sums, range(2) x(p), range(2) y(q))""",
+    # Pages by the token that they answer, walked from page to page; some were lost, and some lead back.
+    "link_rows": """
+        SELECT DISTINCT series, CASE WHEN page > 0 THEN 'page-' || page ELSE '' END AS token,
+               'page-' || CASE WHEN page % 11 = 10 THEN page - 4 ELSE page + 1 END AS next_token
+        FROM page_copies WHERE page % 7 <> 3""",
+    "link_ways": """
+        SELECT series, token, token AS last, next_token, [token] AS seen, false AS cycle FROM link_rows
+        UNION ALL
+        SELECT w.series, w.token, l.token, l.next_token, list_append(w.seen, l.token), list_contains(w.seen, l.token)
+        FROM link_ways w JOIN link_rows l ON l.series = w.series AND l.token = w.next_token WHERE NOT w.cycle""",
+    "link_ends": """
+        SELECT series, token, arg_max(last, len(seen)) AS last, arg_max(next_token, len(seen)) AS next_token,
+               arg_max(seen, len(seen)) AS seen, bool_or(cycle) AS cycle
+        FROM link_ways GROUP BY 1, 2""",
+    "link_chains": """
+        SELECT series, nullif(token, '') AS token, cycle, CASE WHEN NOT cycle THEN len(seen) - 1 END AS steps,
+               CASE WHEN NOT cycle THEN next_token END AS missing,
+               CASE WHEN cycle THEN list_min(seen[list_position(seen, last) + 1 :]) ELSE nullif(last, '') END AS chain
+        FROM link_ends""",
     # Errors of the (1,1,1) model by its own recursion, one value after the other; nothing is before the first.
     "own_lists": "SELECT series, min(bin) AS bin0, list(w ORDER BY bin) AS ws FROM ar1_diffs WHERE d = 1 GROUP BY 1",
     "own_errors": """
@@ -302,7 +321,7 @@ SHARED: dict[str, str] = {
         SELECT series, bin0, ws, a, b, k + 1, ws[k + 1] - a * ws[k] - b * e FROM own_errors WHERE k < len(ws)""",
 }
 
-RECURSIVE = {"levinson", "own_errors"}
+RECURSIVE = {"levinson", "link_ways", "own_errors"}
 
 
 def with_shared(select: str) -> str:
