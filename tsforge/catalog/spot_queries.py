@@ -41,7 +41,7 @@ from tsforge.operators.stats import (
 from tsforge.plans import spot_forecast
 from tsforge.session import cut_lineage, scratch_path
 from tsforge.sources.spot import read_pages, read_series, records_of_pages, save_series
-from tsforge.streaming.series import merge_bins, run_to_end, stream_bins, stream_dedupe
+from tsforge.streaming.series import merge_bins, run_to_end, stream_bins, stream_dedupe, stream_dedupe_within, with_late
 
 KEYS = fx.SERIES
 VALUE = "spot_price"
@@ -589,3 +589,15 @@ def _(spark, sf_dir):
     copies = fx.page_copies(records).drop("page")
     once = stream_dedupe(copies, ["series", "Timestamp", "SpotPrice"])
     return run_to_end(spark, once, "stream-dedupe")
+
+
+@query("stream_dedupe_within", 'SELECT DISTINCT series, "Timestamp", "SpotPrice" FROM spot_records')
+def _(spark, sf_dir):
+    # Copies arrive in several files, each a micro-batch: what one leaves behind the watermark is late in the next.
+    columns = ["series", "Timestamp", "SpotPrice"]
+    copies, path = fx.page_copies(fx.spot_records(spark, sf_dir)), scratch_path(spark, "copies")
+    copies.repartition(4, F.col("page") % 4).write.parquet(path)
+    copies = spark.read.schema(copies.schema).parquet(path)
+    source = spark.readStream.schema(copies.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    landed = run_to_end(spark, stream_dedupe_within(source, columns, "Timestamp", "30 days"), "stream-dedupe-within")
+    return with_late(landed, copies, columns)

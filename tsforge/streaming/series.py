@@ -57,6 +57,30 @@ def stream_dedupe(records: DataFrame, columns: Sequence[str]) -> DataFrame:
     return records.dropDuplicates(list(columns))
 
 
+def stream_dedupe_within(records: DataFrame, columns: Sequence[str], ts: str, delay: str) -> DataFrame:
+    """Each distinct record once, with state only for records that the watermark has not passed.
+
+    ts (UTC wall time) is one of the columns, so copies have the same event time: a copy behind the watermark is dropped
+    and never given out twice. The first copy of a record may be dropped as well, if it comes later than delay:
+    with_late adds those.
+    """
+    if ts not in columns:
+        raise ValueError("copies need the same event time: ts has to be one of the columns")
+    timed = records.select(*columns).withColumn("_at", instant(ts)).withWatermark("_at", delay)
+    return timed.dropDuplicatesWithinWatermark(list(columns)).select(*columns)
+
+
+def with_late(landed: DataFrame, records: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """What a stream has landed, and those of all records that it dropped as late, each once.
+
+    A join of what arrived with what has landed, by the whole record; narrow it to the times that may have been late by
+    filtering both.
+    """
+    have = landed.select(F.struct(*columns).alias("_key"))
+    late = records.select(F.struct(*columns).alias("_key")).join(have, "_key", "left_anti").distinct()
+    return landed.select(*columns).unionByName(late.select("_key.*"))
+
+
 def run_to_end(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
     """Process everything available now into a Parquet table below the shared folder and read it."""
     path = scratch_path(spark, label)
