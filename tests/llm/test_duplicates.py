@@ -174,20 +174,20 @@ def plain_cleaned(docs):
 
 def test_repeated_spans(spark):
     docs = [(i, t) for n, (i, t) in enumerate(awkward()) if not (i == 20 and t.startswith("another")) and i is not None]
-    got = sentence_spans.cleaned(frame(spark, docs))
+    got = sentence_spans.cleaned(frame(spark, docs), removed="gone", where="places")
     assert got.columns[: len(SCHEMA.names)] == SCHEMA.names
-    assert rows_of(got.select("doc_id", "text", "_n_removed")) == plain_cleaned(docs)
+    assert rows_of(got.select("doc_id", "text", "gone")) == plain_cleaned(docs)
     removed = {r["doc_id"]: r for r in got.collect()}
-    assert removed[24]["_n_removed"] == 0 and removed[25]["_n_removed"] >= 3
-    assert removed[19]["text"].strip() == "" and removed[18]["_n_removed"] == 0
+    assert removed[24]["gone"] == 0 and removed[25]["gone"] >= 3
+    assert removed[19]["text"].strip() == "" and removed[18]["gone"] == 0
 
 
 def test_passage_inside_other_sentences_is_found(spark):
     passage = prose(77, 80).replace("\n", " ")
     docs = [(i, prose(500 + i, 45).rstrip(".,\n") + " " + passage + " " + prose(600 + i, 45)) for i in range(5)]
     docs += [(50 + i, prose(700 + i, 120)) for i in range(5)]
-    rows = {r["doc_id"]: r for r in sentence_spans.cleaned(frame(spark, docs)).collect()}
-    assert rows[0]["_n_removed"] == 0 and all(rows[50 + i]["_n_removed"] == 0 for i in range(5))
+    rows = {r["doc_id"]: r for r in sentence_spans.cleaned(frame(spark, docs), removed="gone", where="places").collect()}
+    assert rows[0]["gone"] == 0 and all(rows[50 + i]["gone"] == 0 for i in range(5))
     for i in range(1, 5):
         kept = rows[i]["text"].split()
         assert len(kept) <= 90 + 30 and prose(500 + i, 45).split()[:30] == kept[:30]
@@ -195,7 +195,7 @@ def test_passage_inside_other_sentences_is_found(spark):
 
 def test_spans_without_ids_and_of_nothing(spark):
     text = prose(1, 100)
-    rows = rows_of(sentence_spans.cleaned(frame(spark, [(None, text), (3, text)])).select("doc_id", "_n_removed"))
+    rows = rows_of(sentence_spans.cleaned(frame(spark, [(None, text), (3, text)]), removed="gone", where="places").select("doc_id", "gone"))
     assert dict(rows)[None] == 0 and dict(rows)[3] > 0
     assert sentence_spans.remove_repeats(frame(spark, [])).count() == 0
     assert rows_of(sentence_spans.remove_repeats(frame(spark, [(1, None), (2, "")])).select("doc_id", "text")) == [(1, None), (2, "")]
@@ -231,7 +231,7 @@ def test_every_repeated_run_is_removed_whole(spark):
     for i in range(10, 40):
         at = rnd.randrange(50)
         docs.append((i, " ".join(plain_sentences(100 + i, [7, 12]) + pool[at : at + rnd.randint(2, 10)] + plain_sentences(200 + i, [3]))))
-    rows = {r["doc_id"]: r["text"] for r in sentence_spans.cleaned(frame(spark, docs)).collect()}
+    rows = {r["doc_id"]: r["text"] for r in sentence_spans.cleaned(frame(spark, docs), removed="gone", where="places").collect()}
     got = {i: len(t.split()) - len(rows[i].split()) for i, t in docs}
     assert got == every_run(docs) and got[1] == 55
 
@@ -251,7 +251,7 @@ def test_passages_of_51_words_at_any_offset_are_found(spark, kind):
             k = (7 * n + 11 * copy) % 30
             docs.append((2 * n + copy, " ".join(before[:k] + words + after[: 29 - k] + ["end."])))
             at[2 * n + copy] = (k, 29 - k + 1)
-    rows = {r["doc_id"]: r["text"].split() for r in sentence_spans.cleaned(frame(spark, docs)).collect()}
+    rows = {r["doc_id"]: r["text"].split() for r in sentence_spans.cleaned(frame(spark, docs), removed="gone", where="places").collect()}
     for i, t in docs:
         k, rest = at[i]
         kept, given = rows[i], t.split()

@@ -50,10 +50,14 @@ def test_awkward_texts_and_labels(spark):
     docs = frame(spark)
     good, bad = spark.createDataFrame([(i, 1) for i in range(10, 30)], "doc_id long, quality int"), [(14, 0), (15, None), (16, 7), (None, 1), (999, 0)]
     for labels in (good, good.union(spark.createDataFrame(bad, good.schema)), good.limit(0)):
-        out = quality.scored(docs, quality.train(docs, labels))
-        assert out.columns == [*SCHEMA.names, "_score"]
-        assert out.filter("_score between 0 and 1").count() == len(awkward())
-    assert quality.scored(frame(spark, []), quality.train(frame(spark, []), good)).count() == 0
+        model = quality.train(docs, labels)
+        out = quality.scored(docs, model, score="own_score")
+        assert out.columns == [*SCHEMA.names, "own_score"]
+        assert out.filter("own_score between 0 and 1").count() == len(awkward())
+        kept = quality.keep_good(docs, model)
+        assert kept.columns == SCHEMA.names
+        assert kept.filter("_Score = 'b'").count() == out.filter("own_score >= 0.3").count()
+    assert quality.scored(frame(spark, []), quality.train(frame(spark, []), good), score="own_score").count() == 0
 
 
 def test_descent_finds_the_separating_model():

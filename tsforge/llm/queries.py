@@ -149,7 +149,7 @@ def op9_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_sentence_spans")
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sentence_spans.cleaned(table(spark, sf_dir, "documents"))
+    out = sentence_spans.cleaned(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
         "doc_id",
         "text",
