@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import SCHEMA, awkward, frame, prose, rows_of
@@ -201,6 +202,31 @@ def test_spans_without_ids_and_of_nothing(spark):
     assert rows_of(sentence_spans.remove_repeats(frame(spark, [(1, None), (2, "")])).select("doc_id", "text")) == [(1, None), (2, "")]
 
 
+def test_spans_of_grouped_texts_are_those_of_each_text():
+    texts = [(t or "").encode() for _, t in awkward()] + [b"", prose(9, 2_000).encode(), b"\n\n", b"One. two. " * 40]
+    row, number, halves = sentence_spans.group_spans(texts)
+    for i, raw in enumerate(texts):
+        hashed, _, _, bounds = sentence_spans.sentences(raw)
+        alone = sentence_spans.spans(hashed, bounds)[2]
+        assert np.array_equal(halves[row == i], alone)
+        assert np.array_equal(number[row == i], np.arange(len(alone)))
+    assert np.array_equal(sentence_spans.group_spans(texts, 1)[2], halves[:, :1])
+    column = pa.array([t.decode() for t in texts])
+    groups = list(sentence_spans._groups(column))
+    assert [t for _, group in groups for t in group] == texts
+    assert [begin for begin, _ in groups] == list(np.cumsum([0] + [len(g) for _, g in groups[:-1]]))
+    assert list(sentence_spans._groups(column.slice(0, 0))) == []
+
+
+def test_salted_spans_give_the_same_result(spark, monkeypatch):
+    passage = prose(78, 70)
+    docs = [(i, f"{prose(800 + i, 40)}\n{passage}\n{prose(900 + i, 40)}") for i in range(60)]
+    monkeypatch.setattr(sentence_spans, "HOT_ROWS", 4)
+    got = sentence_spans.cleaned(frame(spark, docs), removed="gone", where="places").select("doc_id", "text", "gone")
+    assert rows_of(got) == plain_cleaned(docs)
+    assert sum(gone > 0 for _, _, gone in rows_of(got)) == 59
+
+
 def every_run(docs):
     """By all runs of sentences (texts whose sentences end with a full stop only): number of removed words by doc_id."""
     seen, out = {}, {}

@@ -10,8 +10,9 @@ lower-cased, white space aside). Spans are counted over the whole corpus;
 the first occurrence, by (doc_id, place), stays and the sentences of every other occurrence are removed, with the
 white space after them. What no repeated span covers is not touched.
 
-Spans meet in an aggregation that merges a task's spans first, and in an equi-join of narrow rows that adaptive
-execution splits for hot spans. Only texts that lose sentences are cut again.
+Texts are cut and hashed in groups of some GROUP_BYTES, as one text with a line end between two of them. Spans meet in an
+aggregation that merges a task's spans first, and in equi-joins of narrow rows, where a span with more than its share of
+the rows is salted. Only texts that lose sentences are cut again.
 
 Defined cases: NULL texts stay NULL and empty ones empty; texts with fewer sentences or words than a span have none;
 rows repeated with the same doc_id and text are one document, each of them loses what it loses; a missing doc_id
@@ -34,6 +35,8 @@ from tsforge.llm.words import LOWER, mix, word_hashes
 MIN_SENTENCES = 2
 MIN_WORDS = 30
 WINDOW = 8
+GROUP_BYTES = 1 << 19
+HOT_ROWS = 10_000
 
 _ENDS, _PAUSES = (np.isin(np.arange(256), list(signs)) for signs in (b".!?", b",;:"))
 _ODD_FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -81,53 +84,75 @@ def _powers(factor: int, n: int) -> np.ndarray:
     return np.cumprod(out, out=out)
 
 
-def spans(hashed: np.ndarray, bounds: np.ndarray, n_halves: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First sentence, end sentence and hash halves (n x 2) of each span, in the order of first and end sentence."""
+def spans(
+    hashed: np.ndarray, bounds: np.ndarray, n_halves: int = 2, rows: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First sentence, end sentence and hash halves (n x n_halves) of each span, in the order of first and end sentence.
+
+    rows, in ascending order, tells which text each sentence belongs to; without it all are of one text.
+    """
     n = len(bounds) - 1
-    place = np.arange(n + 1)
-    until = np.maximum(np.searchsorted(bounds, bounds + MIN_WORDS), place + MIN_SENTENCES)
-    since = np.minimum(np.searchsorted(bounds, bounds - MIN_WORDS, "right") - 1, place - MIN_SENTENCES)
-    onward, back = until <= n, since >= 0
-    pairs = np.concatenate((place[onward] * (n + 1) + until[onward], since[back] * (n + 1) + place[back]))
+    place = np.arange(n)
+    low, high = (0, n) if rows is None else (np.searchsorted(rows, rows), np.searchsorted(rows, rows, "right"))
+    until = np.maximum(np.searchsorted(bounds, bounds[:-1] + MIN_WORDS), place + MIN_SENTENCES)
+    end = place + 1
+    since = np.minimum(np.searchsorted(bounds, bounds[1:] - MIN_WORDS, "right") - 1, end - MIN_SENTENCES)
+    onward, back = until <= high, since >= low
+    pairs = np.concatenate((place[onward] * (n + 1) + until[onward], since[back] * (n + 1) + end[back]))
     first, end = np.divmod(np.unique(pairs), n + 1)
-    halves = []
-    for factor in _ODD_FACTORS[:n_halves]:
+    halves = np.empty((len(first), n_halves), np.uint64)
+    a, b = bounds[first], bounds[end]
+    for half, factor in enumerate(_ODD_FACTORS[:n_halves]):
         # Sum of word * factor^place, all modulo 2^64; an odd factor has an inverse.
         powers, down = _powers(factor, len(hashed)), _powers(pow(factor, -1, 2**64), len(hashed))
         sums = np.zeros(len(hashed) + 1, np.uint64)
         np.cumsum(mix(hashed ^ np.uint64(factor)) * powers[:-1], out=sums[1:])
-        a, b = bounds[first], bounds[end]
-        halves.append(mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)))
-    return first, end, np.stack(halves, axis=1).astype(np.uint64).view(np.int64)
+        halves[:, half] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+    return first, end, halves.view(np.int64)
+
+
+def _groups(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts in turn, some GROUP_BYTES at a time (or one longer text), with the number of the first one."""
+    group: list[bytes] = []
+    begin, size = 0, 0
+    for row, text in enumerate(texts.cast(pa.binary())):
+        if group and size + len(text.as_buffer()) > GROUP_BYTES:
+            yield begin, group
+            group, begin, size = [], row, 0
+        group.append(text.as_py())
+        size += len(group[-1])
+    if group:
+        yield begin, group
+
+
+def group_spans(texts: list[bytes], n_halves: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the spans of all texts: text, number among the spans of that text, hash halves."""
+    hashed, starts, firsts, bounds = sentences(b"\n".join(texts))
+    begins = np.cumsum([0] + [len(text) + 1 for text in texts[:-1]])
+    rows = np.searchsorted(begins, starts[firsts], "right") - 1
+    first, _, halves = spans(hashed, bounds, n_halves, rows)
+    row = rows[first]
+    return row, np.arange(len(row)) - np.searchsorted(row, row), halves
 
 
 def _span_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns: list[list[np.ndarray]] = [[] for _ in range(4)]
         marks = batch.column(2).to_numpy()
-        for row, text in enumerate(batch.column(0)):
-            hashed, _, firsts, bounds = sentences(text.as_py().encode())
-            if len(firsts) < MIN_SENTENCES:
-                continue
-            first, _, halves = spans(hashed, bounds)
-            place = marks[row] + np.arange(len(first))
-            for column, values in zip(columns, (np.full(len(first), row), place, halves[:, 0], halves[:, 1])):
-                column.append(values)
-        row, place, h1, h2 = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns)
-        ids = batch.column(1).take(pa.array(row, pa.int32()))
-        yield pa.RecordBatch.from_arrays(
-            [ids, *(pa.array(x, pa.int64()) for x in (place, h1, h2))], ["doc_id", "place", "h1", "h2"]
-        )
+        for begin, texts in _groups(batch.column(0)):
+            row, number, halves = group_spans(texts)
+            row += begin
+            ids = batch.column(1).take(pa.array(row, pa.int64()))
+            columns = (marks[row] + number, halves[:, 0], halves[:, 1])
+            yield pa.RecordBatch.from_arrays(
+                [ids, *(pa.array(x, pa.int64()) for x in columns)], ["doc_id", "place", "h1", "h2"]
+            )
 
 
 def _half_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        halves = [np.zeros(0, np.int64)]
-        for text in batch.column(0):
-            hashed, _, firsts, bounds = sentences(text.as_py().encode())
-            if len(firsts) >= MIN_SENTENCES:
-                halves.append(spans(hashed, bounds, 1)[2][:, 0])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(halves), pa.int64())], ["h1"])
+        for _, texts in _groups(batch.column(0)):
+            halves = group_spans(texts, 1)[2]
+            yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0], pa.int64())], ["h1"])
 
 
 def _doc_id() -> Column:
@@ -139,6 +164,22 @@ def _mark(text: str) -> Column:
     return F.shiftleft(F.shiftrightunsigned(F.xxhash64(text_or_empty(text)), 33), 32)
 
 
+def _salted_join(rows: DataFrame, keyed: DataFrame, on: list[str], how: str) -> DataFrame:
+    """rows joined to a stored table with one row a key and the number of its rows in `times`.
+
+    A key with more than HOT_ROWS rows and a 1,000th of all is dealt to several tasks, by a salt. Such keys, fewer than
+    1,000, are the only thing broadcast.
+    """
+    share = max(HOT_ROWS, (keyed.agg(F.sum("times")).first()[0] or 0) // 1000)
+    copies = F.ceil(F.col("times") / share)
+    hot = keyed.filter(F.col("times") > share).select(*on, copies.alias("_copies"))
+    salt = F.coalesce(F.pmod(F.xxhash64("doc_id", "place"), "_copies"), F.lit(0)).cast("int").alias("_salt")
+    dealt = rows.join(F.broadcast(hot), on, "left").select(*rows.columns, salt)
+    kept = keyed.drop("times").columns
+    spread = keyed.select(*kept, F.explode(F.sequence(F.lit(0), (copies - 1).cast("int"))).alias("_salt"))
+    return dealt.join(spread, [*on, "_salt"], how).drop("_salt")
+
+
 def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """_key (doc_id and mark of a text), _spans: numbers of all its spans that occurred before."""
     spark = docs.sparkSession
@@ -149,20 +190,21 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     at = F.struct("doc_id", "place")
     # Half the hash finds the spans that may recur: most do not, and only the others go on with both halves.
     first = rows.select("_text").mapInArrow(_half_batches, "h1 long")
-    halves = stored(first.groupBy("h1").agg(F.count("*").alias("times")).filter("times > 1").select("h1"), "halves")
+    halves = stored(first.groupBy("h1").agg(F.count("*").alias("times")).filter("times > 1"), "halves")
     release(spark)
-    some = stored(found.join(halves, "h1", "left_semi"), "recurring")
+    some = stored(_salted_join(found, halves, ["h1"], "left_semi"), "recurring")
     discard(halves)
     release(spark)
     # Spans of repeated rows share their places, so that none of them lies after the first.
     counted = some.groupBy("h1", "h2").agg(F.min(at).alias("low"), F.count("*").alias("times"))
-    again = counted.filter("times > 1").select("h1", "h2", "low")
-    later = some.join(again, ["h1", "h2"]).filter(~at.eqNullSafe(F.col("low"))).select("doc_id", "place")
+    again = stored(counted.filter("times > 1"), "again")
+    later = _salted_join(some, again, ["h1", "h2"], "inner").filter(~at.eqNullSafe(F.col("low")))
     number = F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
     key = F.struct("doc_id", (F.col("place") - number).alias("mark")).alias("_key")
     hits = later.groupBy(key).agg(F.collect_set(number.cast("int")).alias("_spans"))  # of one text
     hits = stored(hits, "hits")
     discard(some)
+    discard(again)
     del found, first, halves, some, counted, again, later
     release(spark)
     return hits
@@ -170,7 +212,7 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def covered(hashed: np.ndarray, bounds: np.ndarray, numbers: list[int]) -> np.ndarray:
     """Which sentences lie in the spans of these numbers."""
-    first, end, _ = spans(hashed, bounds)
+    first, end, _ = spans(hashed, bounds, 0)
     change = np.zeros(len(bounds), np.int64)
     np.add.at(change, first[numbers], 1)
     np.add.at(change, end[numbers], -1)

@@ -32,7 +32,7 @@ class WordHashes(dict):
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.array([self[w] for w in words], np.uint64)
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def word_hashes() -> WordHashes:
