@@ -77,6 +77,32 @@ def test_token_files(spark, shard_ids):
     assert (manifest.count() > 5) == (shard_ids == 200)
 
 
+def test_two_writers_of_one_shard(tmp_path):
+    """A second attempt starts, writes and ends while the first still writes: the shard is whole at every moment."""
+    writers = [token_files.ShardWriter(f"file://{tmp_path}", 3, 2, 100, attempt) for attempt in (7, 8)]
+    for writer in writers:
+        writer.add(1, b"\x05\x00\x01\x00")
+    opened, first = [], writers[0]
+
+    class Meanwhile:
+        """Lets the other writer run between the first one's opening of its file and its move."""
+
+        def open_output_stream(self, path):
+            opened.append(path)
+            return plain.open_output_stream(path)
+
+        def move(self, source, target):
+            assert writers[1].close()["file"] == target.rsplit("/", 1)[1]
+            token_files.read_shard((tmp_path / "part-0000003-00000.tok").read_bytes())
+            plain.move(source, target)
+
+    plain, first.fs = first.fs, Meanwhile()
+    assert first.close()["n_ids"] == 2
+    assert [p.name for p in tmp_path.iterdir()] == ["part-0000003-00000.tok"] and len(opened) == 1
+    ids, bounds, doc_ids, without = token_files.read_shard((tmp_path / "part-0000003-00000.tok").read_bytes())
+    assert (ids.tolist(), bounds.select(0, 1).tolist(), doc_ids.tolist(), without) == ([5, 1], [2], [1], 0)
+
+
 def test_token_files_of_an_empty_table(spark):
     folder, manifest = token_files.write_shards(frame(spark, []), LOWER)
     assert manifest.count() == 0

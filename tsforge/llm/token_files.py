@@ -9,8 +9,9 @@ so shards in name order are documents in doc_id order. A shard holds
     footer     id width, documents without doc_id (they come first), byte places of bounds and doc_ids, magic
 
 A shard is closed once it has SHARD_IDS ids, so no file or buffer grows with the input; only one document longer than
-that makes a larger shard. Tasks write under a temporary name and rename, and a repeated task writes the same names:
-lost executors and second attempts leave no half-written shard under a valid name. `write_shards` returns the manifest,
+that makes a larger shard. Every attempt of a task writes under temporary names of its own and renames, and a repeated task
+ends with the same names and bytes: neither lost executors nor a second attempt beside the first leave a half-written
+shard under a valid name. `write_shards` returns the manifest,
 one narrow row per shard. Executors reach the target folder with pyarrow.fs (local or shared file systems, HDFS, S3, GCS).
 
 Reading back goes through Spark's binary file source; offsets inside a shard come from the select structure, and the
@@ -47,12 +48,12 @@ MANIFEST = "part int, shard int, file string, n_documents long, n_ids long, n_by
 class ShardWriter:
     """Collects the documents of one task and writes shards."""
 
-    def __init__(self, folder: str, part: int, width: int, shard_ids: int) -> None:
+    def __init__(self, folder: str, part: int, width: int, shard_ids: int, attempt: int = 0) -> None:
         from pyarrow import fs
 
         self.fs, self.root = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder))
         self.fs.create_dir(self.root, recursive=True)
-        self.part, self.width, self.shard_ids, self.shard = part, width, shard_ids, 0
+        self.part, self.width, self.shard_ids, self.attempt, self.shard = part, width, shard_ids, attempt, 0
         self._empty()
 
     def _empty(self) -> None:
@@ -80,10 +81,11 @@ class ShardWriter:
         at = self.n * self.width
         foot = struct.pack(FOOTER, self.width, self.without, at, at + len(bounds), MAGIC)
         parts = [*self.ids, bounds, docs, foot]
-        with self.fs.open_output_stream(f"{self.root}/_{name}.writing") as out:
+        own = f"{self.root}/_{name}.{self.attempt}.writing"
+        with self.fs.open_output_stream(own) as out:
             for x in parts:
                 out.write(x)
-        self.fs.move(f"{self.root}/_{name}.writing", f"{self.root}/{name}")
+        self.fs.move(own, f"{self.root}/{name}")
         row = {
             "part": self.part, "shard": self.shard, "file": name, "n_documents": len(self.ends), "n_ids": self.n,
             "n_bytes": sum(map(len, parts)),
@@ -110,7 +112,8 @@ def _writer(folder: str, tokenizer_path: str, end_id: int, shard_ids: int) -> Ca
         encoder = word_ids(tokenizer_path)
         width = 2 if encoder.code == "H" else 4
         end = end_id.to_bytes(width, "little")
-        writer = ShardWriter(folder, TaskContext.get().partitionId(), width, shard_ids)
+        task = TaskContext.get()
+        writer = ShardWriter(folder, task.partitionId(), width, shard_ids, task.taskAttemptId())
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
