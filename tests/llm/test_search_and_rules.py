@@ -101,6 +101,13 @@ def test_url_rules(spark):
     assert got == sorted(((i, *plain_verdict(u, url_filter.RULES)) for i, u, _, _ in rows), key=repr)
 
 
+def test_hosts_of_many_labels_are_not_expanded_label_by_label(spark):
+    urls = [f"http://{'a.' * n}{end}/en/" for n in (0, 1, 4_000, 40_000) for end in ("net", "example.net", "b.c", "net.")]
+    pages = spark.createDataFrame([(i, u, "", "") for i, u in enumerate(urls)], PAGES)
+    got = rows_of(url_filter.judge_urls(pages))
+    assert got == sorted(((i, *plain_verdict(u, url_filter.RULES)) for i, u in enumerate(urls)), key=repr)
+
+
 def test_url_rules_with_inner_prefixes_and_equal_lengths(spark):
     rules = [("a.com", "/ab", "block"), ("a.com", "", "allow"), ("b.a.com", "/x", "allow"), ("a.com", "/abcd", "allow")]
     urls = ["http://b.a.com/x", "http://a.com/abc", "http://a.com/abcde", "http://c.a.com", "http://ba.com/ab"]

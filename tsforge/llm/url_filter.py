@@ -1,7 +1,7 @@
 """Filtering of URLs by host and path rules.
 
-A URL is expanded into expressions: each suffix of its host that starts at a label, joined to each prefix of its path
-whose length some rule's path has. Expressions and rules meet in an equi-join on the first 32 bits of their SHA-256
+A URL is expanded into expressions: each suffix of its host that has as many labels as some rule's host, joined to each
+prefix of its path whose length some rule's path has; hosts of any number of labels give equally many. Expressions and rules meet in an equi-join on the first 32 bits of their SHA-256
 digest; the full digest confirms the hit, and of several rules the longest (then the one that sorts first) decides.
 Every distinct (host, path) is judged once, so that a hot host or a repeated URL costs little; the join back to the
 rows is a plain equi-join, which adaptive execution splits. The rules side is broadcast only if Spark finds it small.
@@ -69,11 +69,9 @@ def judge_urls(
     if not rules:
         return rows.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     lengths = sorted({len(path) for _, path, _ in rules})
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."),
-    )
+    depths = sorted({len(host.split(".")) for host, _, _ in rules})
+    # A host of fewer labels is whole there, and no rule of that depth is equal to it.
+    suffixes = F.array_distinct(F.array(*(F.substring_index("host", ".", -n) for n in depths)))
     prefixes = F.transform(
         F.filter(F.array(*(F.lit(n) for n in lengths)), lambda n: n <= F.length("path")),
         lambda n: F.substring(F.col("path"), F.lit(1), n),
