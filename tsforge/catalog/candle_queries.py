@@ -12,6 +12,7 @@ from tsforge.catalog import fixtures as fx
 from tsforge.catalog.registry import n, query, r, single
 from tsforge.catalog.sql import FREQ, ROOT2
 from tsforge.functions.clock import epoch_seconds, local_wall_time, weekday_monday0
+from tsforge.functions.matrix import matrix_feature, step_changes
 from tsforge.functions.numeric import day_cosine, day_sine, mean_of_present
 from tsforge.functions.vectors import one_step_change
 from tsforge.operators.baseline import window_regression
@@ -635,6 +636,13 @@ def _(spark, sf_dir):
     ).select(*SAMPLE, n("step"), (r("extra", 5) + 0.0).alias("extra"))
 
 
+@query("extra_feature_matrix", f"SELECT {KEYS_SQL}, step, round(extra, 5) + 0.0 AS extra FROM back_hour")
+def _(spark, sf_dir):
+    return with_extra_feature(_windows(spark, sf_dir), matrix_feature(step_changes)).select(
+        *_sample_keys(), F.posexplode("x_extra").alias("step", "extra")
+    ).select(*SAMPLE, n("step"), (r("extra", 5) + 0.0).alias("extra"))
+
+
 @query(
     "feature_tensor",
     f"""SELECT {KEYS_SQL}, step, round((price - price_mean) / nullif(price_std, 0), 5) + 0.0 AS z_price,
