@@ -1,11 +1,12 @@
 import datetime as dt
+import re
 from dataclasses import replace
 
 import pytest
 
 from tsforge.catalog import fixtures as fx
 from tsforge.session import cut_lineage, scratch_path, shared_root
-from tsforge.sources.candles import candle_scan, duplicate_bars, star_join
+from tsforge.sources.candles import candle_scan, drop_star, duplicate_bars, star_join, store_star
 from tsforge.sources.events import bars_from_events
 from tsforge.sources.spot import read_pages, read_series, records_of_pages, save_series
 from tsforge.sources.splits import read_splits, split_summary, write_splits
@@ -24,6 +25,37 @@ def test_scan_returns_the_bars_of_one_instrument(spark):
     assert duplicate_bars(star.candlestick.unionByName(star.candlestick.limit(3))).count() == 3
 
 
+def exchanges(df):
+    """Shuffles and sorted joins of the growing tables; the look-up of a name has its own plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return len(re.findall(r"Exchange hashpartitioning\((timestamp|volume)_id#", plan)), plan.count("SortMergeJoin")
+
+
+def test_stored_star_gives_the_same_bars_without_a_shuffle(spark):
+    star = fx.star(spark, SMALL)
+    stored = store_star(star, buckets=4, prefix="bars_test")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        assert sorted(star_join(stored).collect()) == sorted(star_join(star).collect())
+        # As with dimensions too large to broadcast; the names of the scan are resolved before it starts.
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plain, bucketed = (candle_scan(x, "mid", "view", "Hour") for x in (star, stored))
+        assert exchanges(bucketed) == (0, 1)
+        assert exchanges(plain)[0] >= 4
+        assert sorted(bucketed.collect()) == sorted(plain.collect())
+        files = spark.table("bars_test_candlestick").inputFiles()
+        assert 1 <= len(files) <= 4
+        twice = store_star(stored, buckets=2, prefix="bars_again")
+        assert sorted(candle_scan(twice, "mid", "view", "Hour").collect()) == sorted(plain.collect())
+        none = store_star(replace(star, candlestick=star.candlestick.limit(0)), buckets=2, prefix="bars_none")
+        assert star_join(none).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        for prefix in ("bars_test", "bars_again", "bars_none"):
+            drop_star(spark, prefix)
+    assert not spark.catalog.tableExists("bars_test_candlestick")
+
+
 @pytest.mark.parametrize("name", ["mid", "ask"])
 def test_dimension_must_match_once(spark, name):
     star = fx.star(spark, SMALL)

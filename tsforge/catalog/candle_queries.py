@@ -68,7 +68,7 @@ from tsforge.operators.windows import (
 )
 from tsforge.plans.candle_features import prepare, tag_run, with_signals
 from tsforge.session import scratch_path
-from tsforge.sources.candles import candle_scan, duplicate_bars, star_join
+from tsforge.sources.candles import candle_scan, duplicate_bars, star_join, store_star
 from tsforge.sources.lookup import shift_lookup_scan
 from tsforge.sources.splits import read_splits, split_summary, write_splits
 
@@ -122,6 +122,17 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "star_join_stored",
+    """SELECT 'mid' AS price_type, 'Hour' AS "interval", instrument, timestamp, o, l, h, c, volume
+       FROM bars_hour""",
+)
+def _(spark, sf_dir):
+    return star_join(store_star(fx.star(spark, sf_dir))).select(
+        "price_type", "interval", "instrument", "timestamp", "o", "l", "h", "c", n("volume")
+    )
+
+
 @query(
     "duplicate_bars",
     """SELECT instrument, timestamp, count(*) AS n
