@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 from tests.llm.helpers import awkward, frame, prose, rows_of
 from tsforge.llm import elias_fano, packing, stream_viterbi, token_files, trie_counts
+from tsforge.llm.common import worker_state
 from tsforge.llm.fast_ids import WordIds
 from tsforge.llm.piece_model import PieceModel, marked
 
@@ -244,3 +245,10 @@ def test_library_as_unigram_agrees():
     encoder = stream_viterbi.StreamingEncoder(PieceModel(PIECES))
     for word in {w.strip(".,") for w in prose(12, 400).split()}:
         assert encoder.encode(marked(word)) == library.encode(word)
+
+
+def test_a_worker_holds_one_cache_of_words():
+    for name in ("_first", "_second"):
+        worker_state(name, dict, alone=True)["seen"] = name
+    assert worker_state("_second", dict, alone=True) == {"seen": "_second"}
+    assert worker_state("_first", dict, alone=True) == {}

@@ -52,10 +52,16 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
-def worker_state(name: str, build: Callable[[], Any]) -> Any:
-    """A value kept for as long as the Python worker lives; functions themselves come anew with every task."""
+def worker_state(name: str, build: Callable[[], Any], alone: bool = False) -> Any:
+    """A value kept for as long as the Python worker lives; functions themselves come anew with every task.
+
+    One that is to stand alone takes the place of all others when it is built: a worker then holds the cache of the
+    operator that runs, not those of all that have run.
+    """
     home = sys.modules.setdefault("_tsforge_worker", types.ModuleType("_tsforge_worker"))
     if not hasattr(home, name):
+        for other in [x for x in vars(home) if alone and not x.startswith("__")]:
+            delattr(home, other)
         setattr(home, name, build())
     return getattr(home, name)
 

@@ -132,4 +132,4 @@ class WordIds(dict):
 
 def word_ids(path: str) -> WordIds:
     """The worker's encoder for this file."""
-    return worker_state(f"ids:{path}", lambda: WordIds(path))
+    return worker_state(f"ids:{path}", lambda: WordIds(path), alone=True)

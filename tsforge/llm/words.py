@@ -36,7 +36,7 @@ class WordHashes(dict):
 
 
 def word_hashes() -> WordHashes:
-    return worker_state("hashes", WordHashes)
+    return worker_state("hashes", WordHashes, alone=True)
 
 
 def words(text: str | None) -> list[bytes]:
