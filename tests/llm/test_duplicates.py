@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ import pytest
 
 from tests.llm.helpers import SCHEMA, awkward, frame, prose, rows_of
 from tsforge.llm import block_naming, components, odd_sketches, sentence_spans
+from tsforge.session import shared_root
 
 
 def norm(text):
@@ -303,3 +305,30 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     left = odd_sketches.keep_one(frame(spark, docs), 5)
     assert left.columns == SCHEMA.names
     assert {r["_key"] for r in left.collect()} == {"a"}
+
+
+def test_few_pairs_of_a_node_are_given_out_at_once():
+    """All of them may have to be confirmed: one after the other, each would take a round over the whole buckets."""
+    def node(i, label):
+        return {"node": bytes([i]), "label": label, "n": 10, "sketch": [0] * 8, "parity": [0] * 32, "failed": None, "side": -1}
+
+    cell = [node(0, b"a"), *(node(i, b"b") for i in range(1, 5))]
+    pairs = odd_sketches.joining_pairs(cell, 80, 100)
+    assert sorted(pairs) == [(bytes([0]), bytes([i])) for i in range(1, 5)]
+    many = [node(i, bytes([i])) for i in range(100)]
+    assert 99 <= len(odd_sketches.joining_pairs(many, 80, 100)) <= 100 * odd_sketches.FEW
+
+
+def test_buckets_of_one_node_are_left_out(spark):
+    nodes = spark.createDataFrame([(b"a", [1, 2, 3]), (b"b", [1, 5, 3]), (b"c", [1, 6, 7])], "node binary, bands array<long>")
+    found = sorted((r["bucket"], bytes(r["node"]), bytes(r["leader"])) for r in odd_sketches.shared_buckets(nodes).collect())
+    assert found == [(1, b"a", b"a"), (1, b"b", b"a"), (1, b"c", b"a"), (3, b"a", b"a"), (3, b"b", b"a")]
+
+
+def test_components_leave_one_table_behind(spark):
+    home = Path(shared_root(spark).removeprefix("file:")) / "tsforge"
+    before = set(home.glob("*"))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "u long, v long")
+    found = components.components(edges)
+    assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(21)}
+    assert [p.name[:10] for p in set(home.glob("*")) - before] == ["small-star"]

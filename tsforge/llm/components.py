@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsforge.llm.common import stored
+from tsforge.llm.common import discard, stored
 
 MAX_ROUNDS = 60
 
@@ -40,8 +40,10 @@ def components(edges: DataFrame) -> DataFrame:
     tied = stored(edges.select("u", "v").filter("u <> v").distinct(), "edges")
     mark = _mark(tied)
     for _ in range(MAX_ROUNDS):
-        large = stored(_star(_both(tied), True), "large-star")
+        before, large = tied, stored(_star(_both(tied), True), "large-star")
         tied = stored(_star(_both(large), False), "small-star")
+        discard(before)
+        discard(large)
         previous, mark = mark, _mark(tied)
         if mark == previous:
             nodes = tied.select(F.col("v").alias("node"), F.col("u").alias("label"))

@@ -6,14 +6,14 @@
    sets of any size, and one of all shingles. The latter never differs in more bits than the sets do in shingles, so it
    rejects only pairs that are surely not alike, and for sets up to some thousand shingles hardly any other is left.
    Texts with equal sets are one node from here on, however many there are.
-2. Nodes that share a band key are candidates. In the first round each node is compared with the smallest node of each
+2. Nodes that share a band key are candidates; band keys of one node only are left out from then on. In the first round each node is compared with the smallest node of each
    of its buckets, and only the pair with the closest sketches is confirmed: one pair per node. Confirmed links join
    nodes to components.
 3. Then all pairs of nodes that share a bucket but not a component are compared by their sketches, in cells of a bounded
    number of nodes. Of a large bucket, the nodes of its largest component are dealt out once, and only the others are
    copied to each of these blocks. A cell gives out only pairs that join different components, one less than it holds components at
-   most. They are confirmed, components are joined, and the cells of those buckets look again, until no pair is left;
-   a node of which a pair has failed then gives out all its others. Nothing is capped: every pair of a bucket is alike,
+   most, besides the pairs of nodes that have FEW. They are confirmed, components are joined, and the cells of those
+   buckets look again, until no pair is left; a node of which a pair has failed then gives out all its others. Nothing is capped: every pair of a bucket is alike,
    is rejected by its sketches or on its full sets, or lies inside one component.
 4. Pairs are confirmed on the full sets by integer arithmetic: 100 * |A and B| >= 80 * |A or B|.
 
@@ -48,6 +48,7 @@ MAX_ROUNDS = 100
 THRESHOLD = 80  # per cent
 SURELY_BELOW = 0.62  # estimated similarity under which a pair is not confirmed
 CELL = 4_096
+FEW = 16  # so many pairs of a node are given out at once: waiting for the first to fail would take another round
 HASH_CHUNK = 2_048
 
 
@@ -209,11 +210,16 @@ def _sizes_allow(a: str, b: str, threshold: int) -> Column:
     return 100 * F.least(a, b) >= threshold * F.greatest(a, b)
 
 
-def _first_pairs(nodes: DataFrame, members: DataFrame, threshold: int, limit: int) -> DataFrame:
-    """Per node the closest of the smallest nodes of its buckets."""
+def shared_buckets(nodes: DataFrame) -> DataFrame:
+    """bucket, node, leader (its smallest node) of the buckets with more than one node."""
+    members = nodes.select("node", F.explode("bands").alias("bucket"))
     leaders = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("size"))
-    met = members.join(leaders.filter("size > 1").drop("size"), "bucket").filter("node <> leader")
-    met = met.select("node", "leader").distinct()
+    return members.join(leaders.filter("size > 1").drop("size"), "bucket").select("bucket", "node", "leader")
+
+
+def _first_pairs(nodes: DataFrame, shared: DataFrame, threshold: int, limit: int) -> DataFrame:
+    """Per node the closest of the smallest nodes of its buckets."""
+    met = shared.filter("node <> leader").select("node", "leader").distinct()
     own = nodes.select("node", F.col("n").alias("n1"), F.col("sketch").alias("s1"))
     other = nodes.select(F.col("node").alias("leader"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
     scored = met.join(own, "node").join(other, "leader").filter(_sizes_allow("n1", "n2", threshold))
@@ -248,7 +254,8 @@ def _cell_batches(threshold: int, limit: int) -> Callable:
 def joining_pairs(cell: list[dict], threshold: int, limit: int) -> list[tuple[bytes, bytes]]:
     """Pairs of a cell that its sketches allow and that join its components, each pair two that were apart before.
 
-    Where a pair of a node has failed in an earlier round, all pairs of that node are given out; failed ones go later.
+    Where a node has FEW pairs, or one that has failed in an earlier round, all its pairs are given out; failed ones go
+    later.
     """
     n = np.array([x["n"] for x in cell])
     side = np.array([x["side"] for x in cell])
@@ -268,7 +275,7 @@ def joining_pairs(cell: list[dict], threshold: int, limit: int) -> list[tuple[by
             later = later[apart * (100 + threshold) <= (100 - threshold) * (n[later] + n[i])]
         if len(later):
             later = later[np.bitwise_count(sketch[later] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= limit]
-        if own["failed"]:
+        if own["failed"] or len(later) <= FEW:
             out += [tuple(sorted((own["node"], cell[j]["node"]))) for j in later]
             continue
         while len(later):
@@ -350,16 +357,19 @@ def _decided(docs: DataFrame, k: int, threshold: int, surely_below: float, text:
         ),
         "nodes",
     )
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = stored(shared_buckets(nodes), "shared-buckets")
+    release(docs.sparkSession)
+    members = shared.select("bucket", "node")
     limit = most_differing(surely_below)
-    pairs = stored(_first_pairs(nodes, members, threshold, limit), "pairs")
-    links = failed = None
+    pairs = stored(_first_pairs(nodes, shared, threshold, limit), "pairs")
+    links = failed = labels = None
     release(docs.sparkSession)
     for _ in range(MAX_ROUNDS):
         good = confirm(pairs, nodes, docs, k, threshold, text)
-        bad = pairs.join(good, ["u", "v"], "left_anti")
+        bad = stored(pairs.join(good, ["u", "v"], "left_anti"), "failed-pairs")
         links, failed = (good, bad) if links is None else (links.union(good), failed.union(bad))
-        labels = stored(components(links), "labels")
+        if labels is None or not good.isEmpty():
+            labels = stored(components(links), "labels")
         found = stored(_next_pairs(nodes, members, labels, failed, threshold, limit), "bucket-pairs")
         release(docs.sparkSession)
         if found.isEmpty():
