@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import types as T
 
@@ -107,3 +108,12 @@ def test_walk_over_ranges(parts):
         assert f == counts[lang, words]
         assert under == [counts[lang, words[:m]] for m in range(len(words))]
         assert longer == max((n for (g, w), n in counts.items() if g == lang and w[:-1] == words and w), default=0)
+
+
+def test_distinct_pairs_are_those_of_a_plain_sort():
+    rng = np.random.default_rng(3)
+    for most in (1, 5, 1 << 20, (1 << 31) - 1):  # the last ones do not fit beside their places
+        for n in (1, 2, 3_000):
+            keys = rng.integers(0, most, n) << 32 | rng.integers(0, most, n)
+            for got, plain in zip(collocations.distinct_pairs(keys), np.unique(keys, return_index=True, return_inverse=True)):
+                assert (got == plain).all()
